@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, media, toxicity, url_filters
+from . import byte_bpe, media, secrets, toxicity, url_filters
 from .shared import table
 
 #: The vocabulary of the token queries; operators take any path.
@@ -28,6 +28,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"), secrets.Scanner(secrets.example_credentials()))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_secret_scans": op4_secret_scans,
     "op7_media_columns": op7_media_columns,
     "op10_toxicity": op10_toxicity,
 }
