@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, media, secrets, toxicity, url_filters
+from . import byte_bpe, media, near_dedup, secrets, toxicity, url_filters
 from .shared import table
 
 #: The vocabulary of the token queries; operators take any path.
@@ -36,6 +36,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
     "op7_media_columns": op7_media_columns,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
