@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, media, near_dedup, secrets, toxicity, url_filters
+from . import byte_bpe, line_dedup, media, near_dedup, secrets, toxicity, url_filters
 from .shared import table
 
 #: The vocabulary of the token queries; operators take any path.
@@ -40,6 +41,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("line_dedup.lines").cast("long").alias("n_lines"), F.col("line_dedup.removed_lines").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": op4_secret_scans,
     "op7_media_columns": op7_media_columns,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -67,4 +74,15 @@ ORACLES: dict[str, str] = {
             FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
         SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
         FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id AND f.n = 1""",
+    "op9_line_dedup": f"""
+        WITH split AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        numbered AS (SELECT doc_id, text, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM split),
+        hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM numbered),
+        cut AS (SELECT *, (h * 31 + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 17) % {line_dedup.DIVISOR} = 0 AS ends FROM hashed),
+        placed AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM cut),
+        chunk AS (SELECT doc_id, no, count(*) AS n, count(*) FILTER (WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]')) AS full_lines, string_agg(line, chr(10) ORDER BY i) AS body FROM placed GROUP BY doc_id, no),
+        ranked AS (SELECT *, CASE WHEN full_lines >= 2 THEN row_number() OVER (PARTITION BY body ORDER BY doc_id, no) ELSE 1 END AS place FROM chunk)
+        SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE place > 1), 0)::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (WHERE place = 1), '')) AS kept_sha256
+        FROM ranked GROUP BY doc_id""",
 }
