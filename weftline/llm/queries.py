@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, media, near_dedup, secrets, toxicity, url_filters
+from . import byte_bpe, decontamination, line_dedup, media, near_dedup, secrets, toxicity, url_filters
 from .shared import table
 
 #: The vocabulary of the token queries; operators take any path.
@@ -20,6 +20,10 @@ PATTERN = public_tokenizers.PATTERN
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
@@ -53,6 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
     "op7_media_columns": op7_media_columns,
