@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_dedup, media, near_dedup, secrets, toxicity, url_filters
-from .shared import table
+from . import byte_bpe, decontamination, line_dedup, media, near_dedup, secrets, token_counts, toxicity, url_filters
+from .shared import shared_dir, table
 
 #: The vocabulary of the token queries; operators take any path.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +38,15 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), secrets.Scanner(secrets.example_credentials()))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch, sent twice as by a retry; the second is left alone."""
+    store = token_counts.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    batch = token_counts.counted(table(spark, sf_dir, "documents"), "byte_bpe_50k", RANKS, PATTERN)
+    store.commit("documents", batch)
+    store.commit("documents", batch)
+    return store.totals()
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
+    "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
