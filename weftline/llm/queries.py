@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_dedup, media, near_dedup, secrets, token_counts, toxicity, url_filters
+from . import byte_bpe, decontamination, line_dedup, media, near_dedup, secrets, suffix_dedup, token_counts, toxicity, url_filters
 from .shared import shared_dir, table
 
 #: The vocabulary of the token queries; operators take any path.
@@ -38,6 +38,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), secrets.Scanner(secrets.example_credentials()))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch, sent twice as by a retry; the second is left alone."""
     store = token_counts.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
