@@ -35,8 +35,16 @@ _SPAN = LENGTH - GRAM + 1
 _U = np.uint64
 _PLACE = _U((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.concatenate([[1], np.full(2 * PIECE, _BASE, _U)]).astype(_U), dtype=_U)
-_INVERSE = np.cumprod(np.concatenate([[1], np.full(2 * PIECE, pow(_BASE, -1, 1 << 64), _U)]).astype(_U), dtype=_U)
+
+
+def _powers(base: int) -> np.ndarray:
+    """1, base, base**2 and so on, modulo 2**64."""
+    out = np.full(2 * PIECE + 1, base, _U)
+    out[0] = 1
+    return np.cumprod(out, dtype=_U)
+
+
+_POWERS, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +73,7 @@ def samples(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         return none, none, none, none
     starts = np.cumsum(sizes) - sizes
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * _POWERS[: len(data)], out=sums[1:])
+    np.cumsum((data.astype(_U) + _U(1)) * _POWERS[: len(data)], out=sums[1:], dtype=_U)
     grams = _mix((sums[GRAM:] - sums[:-GRAM]) * _INVERSE[: len(data) - GRAM + 1])
     least = _sliding_least((grams & ~_PLACE) | np.arange(len(grams), dtype=_U), _SPAN)
     at = (least & _PLACE).astype(np.int64)
