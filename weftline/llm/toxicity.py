@@ -33,6 +33,8 @@ from .shared import materialise, slices
 TRAINING_ROWS = 12_000
 #: Share of the toxic training rows in which a suspect word or beginning stands at least.
 LEAST_SHARE = 0.01
+#: Toxic rows in which it stands at least, and toxic rows that a calibration fold needs.
+LEAST_ROWS, LEAST_FOLD = 10, 20
 #: Insults and slurs against persons in four languages; a parameter of features().
 LEXICON = frozenset(
     "idiot idiots moron morons scum loser losers clown clowns stupid worthless disgusting pathetic trash garbage dumb fool fools "
@@ -159,7 +161,7 @@ def marks_of(text: str) -> set[str]:
 def suspects_of(counts: list[tuple[str, int, int]], bad: int, good: int) -> frozenset[str]:
     """Of (mark, toxic rows, other rows) those that speak for toxic rows, by smoothed log odds over rows."""
     odds = lambda t, o: math.log((t + 0.5) / (bad + 1)) - math.log((o + 0.5) / (good + 1))
-    return frozenset(w for w, t, o in counts if t >= max(4, LEAST_SHARE * bad) and odds(t, o) > 2)
+    return frozenset(w for w, t, o in counts if t >= max(LEAST_ROWS, LEAST_SHARE * bad) and odds(t, o) > 2)
 
 
 def grows(key: str) -> bool:
@@ -173,7 +175,7 @@ def fit(keys: list[str], x: np.ndarray, marks: np.ndarray, suspects: frozenset[s
     if not len(marks) or marks.min() == marks.max():
         return Model(constant=float(marks.mean()) if len(marks) else 0.0)
     grown = np.array([grows(k) for k in keys])
-    if len({*marks[~grown]}) < 2 or len({*marks[grown]}) < 2:
+    if marks[~grown].sum() < LEAST_FOLD or len({*marks[~grown]}) < 2 or len({*marks[grown]}) < 2:
         grown[:] = True
     tx, ty = x[grown], marks[grown]
     cuts = [np.unique(np.quantile(tx[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(tx.shape[1])]
@@ -211,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marks = rows.select("id", "mark").collect()
     bad = sum(r.mark for r in marks if grows(r.id))
     good = sum(1 - r.mark for r in marks if grows(r.id))
-    least = max(4, LEAST_SHARE * bad)
+    least = max(LEAST_ROWS, LEAST_SHARE * bad)
     counted = rows.mapInArrow(spelled, "word string, mark int").groupBy("word").agg(F.sum("mark").alias("bad"), F.sum(F.lit(1) - F.col("mark")).alias("good")).filter(F.col("bad") >= least)
     suspects = suspects_of([tuple(r) for r in counted.toLocalIterator()], bad, good)
 
