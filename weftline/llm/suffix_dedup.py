@@ -236,12 +236,14 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     keyed = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).withColumn("d", F.unhex(F.md5("text")))
-    unique = keyed.groupBy("d").agg(F.count("*").alias("count"), F.first("text").alias("text"))
+    # The same aggregate, column for column, wherever texts are needed: then one exchange serves all.
+    unique = keyed.groupBy("d").agg(F.first("text").alias("text"))
+    copies = keyed.groupBy("d").agg(F.count("*").alias("count")).filter("count > 1")
 
-    sampled = unique.filter(F.length("text") >= LENGTH).select("d", "text").mapInArrow(_sampled, "gram long, d binary, lo long, n int")
+    sampled = unique.mapInArrow(_sampled, "gram long, d binary, lo long, n int")
     again = sampled.withColumn("times", F.count("*").over(Window.partitionBy("gram"))).filter("times > 1").drop("times")
     asked = again.groupBy("d").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("held"))
-    contexts = unique.select("d", "text").join(asked, "d").select("d", "text", "held").mapInArrow(_contexts, "gram long, d binary, lo long, n int, c binary, context binary")
+    contexts = unique.join(asked, "d").select("d", "text", "held").mapInArrow(_contexts, "gram long, d binary, lo long, n int, c binary, context binary")
     different = contexts.groupBy("gram", "c").agg(F.first("n").alias("n"), (F.count("*") > 1).alias("many"), F.first("context").alias("context"))
     sorts = different.repartition(_parts(docs), "gram").sortWithinPartitions("gram").select("gram", "c", "n", "many", "context")
     found = sorts.mapInArrow(_sorted_contexts, "c binary, start int, stop int, string binary").repartition(_parts(docs), "c")
@@ -252,7 +254,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     runs = found.filter("string is null").select("c", "start", "stop").union(loose.join(counted, "string").select("c", "start", "stop"))
     spans = contexts.select("d", "lo", "c").join(runs, "c").select("d", (F.col("lo") + F.col("start")).alias("a"), (F.col("lo") + F.col("stop")).alias("b"))
     spans = spans.groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    results = unique.join(spans, "d", "left").select("d", "text", "count", "spans").mapInArrow(_results, "d binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    results = unique.join(spans, "d", "left").join(copies, "d", "left").select("d", "text", F.coalesce("count", F.lit(1)).alias("count"), "spans").mapInArrow(_results, "d binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return keyed.select("id", "d").join(results, "d").select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
