@@ -1,4 +1,4 @@
 """Every registered query with its DuckDB counterpart."""
 
-QUERIES = {}
-ORACLES = {}
+from . import retrieval_queries, text_queries, world_queries  # noqa: F401  they register
+from .registry import ORACLES, QUERIES  # noqa: F401
