@@ -26,6 +26,16 @@ def _of_kind(value: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
+def json_value(text: Column) -> Column:
+    """SC20: the variant of a text that is one JSON value and nothing else, or null.
+
+    The parser stops behind the first value; as the first of two in an array, a value with a tail loses the second.
+    """
+    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"end"]'))), "$", "array<variant>")
+    whole = (F.size(pair) == 2) & F.coalesce(F.try_variant_get(F.get(pair, 1), "$", "string") == "end", F.lit(False))
+    return F.when(whole, F.get(pair, 0))
+
+
 def _all_typed(items: Column, fields: tuple[str, ...]) -> Column:
     """PRJ13, PRJ14: every item is an object whose fields are strings, neither coerced nor missing."""
     good = lambda e: F.when(_of_kind(e, "OBJECT"), F.least(*[_of_kind(F.try_variant_get(e, f"$.{f}", "variant"), "STRING") for f in fields])).otherwise(False)
@@ -38,7 +48,7 @@ def parse(responses: DataFrame, response: str = "response") -> DataFrame:
     Any wrong item fails the whole response. The session needs spark.sql.variant.allowDuplicateKeys for repeated keys.
     """
     text = F.coalesce(F.col(response), F.lit(""))
-    rows = responses.withColumn("__whole", F.contains(text, F.lit(MARKER))).withColumn("__json", F.try_parse_json(F.when(F.col("__whole"), json_body(text))))
+    rows = responses.withColumn("__whole", F.contains(text, F.lit(MARKER))).withColumn("__json", json_value(F.when(F.col("__whole"), json_body(text))))
     rows = rows.withColumn("__nodes", F.try_variant_get("__json", "$.nodes", "array<variant>")).withColumn("__edges", F.try_variant_get("__json", "$.edges", "array<variant>"))
     error = (
         F.when(~F.col("__whole"), INCOMPLETE).when(F.col("__json").isNull(), INVALID_JSON).when(~_of_kind(F.col("__json"), "OBJECT"), INVALID_SCHEMA)

@@ -37,7 +37,7 @@ def sql_strip(x: str) -> str:
 
 def sql_uuid5(namespace: str, name: str) -> str:
     d = f"sha1(unhex(replace({namespace}, '-', '')) || encode({name}))"
-    return f"(SELECT substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab', (('0x' || substr(d, 17, 1))::INT % 4) + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) FROM (SELECT {d} AS d))"
+    return f"(SELECT substr(sha_, 1, 8) || '-' || substr(sha_, 9, 4) || '-5' || substr(sha_, 14, 3) || '-' || substr('89ab', (('0x' || substr(sha_, 17, 1))::INT % 4) + 1, 1) || substr(sha_, 18, 3) || '-' || substr(sha_, 21, 12) FROM (SELECT {d} AS sha_))"
 
 
 def sql_world(x: str) -> str:
