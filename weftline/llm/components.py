@@ -20,20 +20,19 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether each node has one link to a least node that itself has none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(links.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 or up + top > 1").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node with a link; links are (a, b), a component is named by its least node.
 
     Each round is written to the shared folder, so a lost executor costs one round. The number of rounds grows with the
     logarithm of the longest chain. Null ends and loops are ignored; no links give no rows.
     """
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     now = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = mark(now)
-    while seen[0]:
-        after = materialise(_stars(_stars(now, True), False), "links")
-        found = mark(after)
-        now = after
-        if found == seen:
-            break
-        seen = found
+    while not _is_forest_of_stars(now):
+        now = materialise(_stars(_stars(now, True), False), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()

@@ -7,10 +7,12 @@ Jaccard similarity with concentration bounds. Bands of ROWS bins are hashed: BAN
 0.8 with a probability of 1e-7.
 
 Texts with equal sets are one node, named by the least id. In each bucket (a band's value) all members are compared with
-its least member on their full sets. What is left are pairs within a bucket that no links connect: while these are
-many, each bucket compares all members with the least member of another component; when they are few (or each bucket
-has had ROUNDS such turns), all of them are compared. So no link between members of a bucket that would join two
-components is lost, and groups of copies cost links in proportion to their members.
+its least member on their full sets, which costs rows in proportion to the members. Buckets whose members these links
+leave in several components are mixed; nodes that mixed buckets connect form a group. All pairs of a group that lie in
+different components are compared on their full sets within tasks, at most BLOCK members against BLOCK at a time: a
+group is cut into blocks, each pair of blocks is a task's work, and what leaves a task is links between components, not
+pairs. So no link between members of a bucket is lost, and no pairs are written. A group of g members moves
+g * g / BLOCK sets.
 
 Defined cases: words are runs of other characters than space and \\t \\n \\v \\f \\r, with A-Z lower-cased; texts with
 fewer words than a shingle are one shingle; null texts and texts without words have an empty set and link with nothing.
@@ -28,14 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise
+from .shared import materialise, partitions
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-#: Turns in which buckets compare their members with one member before all pairs left are compared.
-ROUNDS = 3
-#: Pairs left for each node from which another turn is worth it.
-MANY = 4
+#: Members of a group that are compared with as many others at once, and members that share a shingle from which its pairs are counted by a matrix product.
+BLOCK, DENSE = 2048, 24
 _REMEMBERED = 400_000
 _U = np.uint64
 
@@ -143,36 +143,114 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("both", F.size(F.array_intersect("x", "y"))).filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) that connect what lies in common buckets; nodes (node, bands), texts (node, text)."""
+def intersections(found: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairs' intersections. Rare elements are counted pair by pair, frequent ones by matrix products."""
+    n = len(found)
+    out = np.zeros(n * n, np.float32)
+    owner = np.repeat(np.arange(n), [len(x) for x in found])
+    values = np.concatenate(found)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    times = np.diff(np.append(starts, len(values)))
+    for d in np.unique(times):
+        at = starts[times == d]
+        if d < 2 or d > DENSE:
+            continue
+        held = owner[at[:, None] + np.arange(d)]
+        for i, j in zip(*np.triu_indices(d, 1)):
+            np.add.at(out, held[:, i] * n + held[:, j], np.float32(1))
+    out = out.reshape(n, n)
+    often = np.flatnonzero(times > DENSE)
+    for a in range(0, len(often), 4096):
+        part = often[a : a + 4096]
+        table = np.zeros((n, len(part)), np.float32)
+        column = np.repeat(np.arange(len(part)), times[part])
+        place = np.repeat(starts[part] - (np.cumsum(times[part]) - times[part]), times[part]) + np.arange(times[part].sum())
+        table[owner[place], column] = 1
+        out += table @ table.T
+    return np.maximum(out, out.T)
+
+
+def _joining(rows: list[tuple], percent: int, apart: bool) -> list[tuple[int, int]]:
+    """Links between components that pairs of rows (component, block, set) give; apart: only between different blocks."""
+    parts = np.array([r[0] for r in rows], np.int64)
+    if parts.min() == parts.max():
+        return []
+    blocks, sizes = np.array([r[1] for r in rows]), np.array([len(r[2]) for r in rows], np.float64)
+    both = intersections([r[2] for r in rows]).astype(np.float64)
+    good = both * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])
+    good &= parts[:, None] < parts[None, :]
+    if apart:
+        good &= blocks[:, None] != blocks[None, :]
+    i, j = np.nonzero(good)
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = top.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for x, y in np.unique(np.stack([parts[i], parts[j]], axis=1), axis=0).tolist():
+        a, b = root(x), root(y)
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _compared(percent: int):
+    """Rows (a, b) of linked components from rows (crowd, i, j, component, block, members), sorted by the first three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links():
+            found = _joining(held, percent, now[1] != now[2]) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(5)))
+            members = batch.column(5)
+            flat, ends = members.flatten().to_numpy(zero_copy_only=False), np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))
+            for (crowd, i, j, component, block), size, end in zip(keys, members.value_lengths().to_pylist(), ends):
+                if now != (crowd, i, j):
+                    if held:
+                        yield links()
+                    now, held = (crowd, i, j), []
+                held.append((component, block, flat[end - size : end].copy()))
+        if held:
+            yield links()
+
+    return run
+
+
+def joined(nodes: DataFrame, texts: DataFrame, given: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of nodes (node, bands) that verified links or given ones (a, b) join; texts are (node, text)."""
+    spark = nodes.sparkSession
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").select("bucket", "leader")
     members = materialise(placed.join(shared, "bucket").select("bucket", "leader", "node").distinct(), "buckets")
-    wanted = members.select("node").distinct()
-    held = materialise(sets(texts.join(wanted, "node"), width), "shingles")
-    tried = materialise(members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    found = materialise(_verified(tried, held, percent), "verified")
-    count = wanted.count()
-    for turn in range(ROUNDS + 1):
-        named = components(found)
-        placed = members.select("bucket", "node").join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-        left = materialise(placed.join(mixed, "bucket"), "left")
-        size = left.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.first("n").alias("n")).agg(F.coalesce(F.sum(F.expr("k * (n - k)")), F.lit(0))).first()[0] / 2
-        if not size:
-            break
-        if size <= MANY * count or turn == ROUNDS:
-            other = left.select("bucket", F.col("node").alias("other"), F.col("component").alias("theirs"))
-            pairs = left.join(other, "bucket").filter("component < theirs").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        else:
-            heads = left.filter("component = high").groupBy("bucket").agg(F.min("node").alias("head"))
-            pairs = left.filter("component <> high").join(heads, "bucket").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(_verified(fresh, held, percent), "verified")
-        if size <= MANY * count or turn == ROUNDS:
-            return found.union(more)
-        tried, found = tried.union(fresh), found.union(more)
-    return found
+    held = materialise(sets(texts.join(members.select("node").distinct(), "node"), width), "shingles")
+    tried = members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    named = materialise(components(_verified(tried, held, percent).union(given)), "components")
+
+    now = members.select("bucket", "node").join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high").select("bucket", "first")
+    left = materialise(now.join(mixed, "bucket").select("first", "node", "component").distinct(), "left")
+    crowds = materialise(components(left.select(F.col("first").alias("a"), F.col("node").alias("b"))), "crowds")
+    sizes = crowds.groupBy(F.col("component").alias("crowd")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = crowds.select("node", F.col("component").alias("crowd")).join(left.select("node", "component").distinct(), "node").join(sizes, "crowd")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "block", "node").join(held, "node").drop("node")
+    dealt = rows.repartition(partitions(spark), "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j").select("crowd", "i", "j", "component", "block", "members")
+    lifted = materialise(dealt.mapInArrow(_compared(percent), "a long, b long"), "lifted")
+    # Components meet in a graph of components, which is small.
+    moved = components(lifted).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = members.select("node").union(named.select("node")).distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return materialise(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -185,8 +263,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     texts = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     nodes = materialise(named, "nodes")
     own = full.join(several, "id").join(nodes, "digest").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    joined = components(links(nodes, texts, width, percent).union(own))
+    found = joined(nodes, texts, own, width, percent)
     node = signed.filter("n_shingles > 0").join(nodes.select("digest", "node"), "digest", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
     node = node.union(signed.filter("n_shingles = 0").select("id", "n_shingles", "id"))
-    placed = node.join(joined, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    placed = node.join(found, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return placed.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
