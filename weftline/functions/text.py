@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,7 +65,6 @@ def suffix(path: Column) -> Column:
 
 def name_key_folded(text: Column) -> Column:
     """SC4 with full case folding, which Spark lacks: an Arrow UDF over Python's casefold()."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def folded(values: pd.Series) -> pd.Series:
