@@ -5,8 +5,8 @@ or deleted line moves boundaries near it only. Chunks of two non-blank lines or
 removed everywhere but at their first place, least by (id, text hash, number), after their bytes are compared.
 
 Distribution: chunk hashes are counted with map-side combination; only hashes that repeat meet their occurrences again,
-in a join that can be split at a hot hash; only repeated chunks carry their text. Documents are shuffled once by their
-own key, for both joins.
+in a join that can be split at a hot hash; only repeated chunks carry their text. Documents are shuffled by their own
+key: their texts for the comparison, their rows for the result.
 
 Defined cases: null text stays null and has no lines removed. A text without a repeated chunk is unchanged to the byte;
 one whose every chunk goes becomes empty and its row stays. Lines end at \\n alone, so \\r stays in its line. Rows that
@@ -62,16 +62,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", diviso
     plain = F.coalesce(F.col(text), F.lit(""))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(plain).alias("t"), F.xxhash64(plain, F.lit(1)).alias("u")).alias("doc"), plain.alias("text"), whole.alias("row"))
+    keyed = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(plain).alias("t"), F.xxhash64(plain, F.lit(1)).alias("u")).alias("doc"), whole.alias("row"))
+    held = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
 
-    occurs = keyed.select("doc", F.explode(chunks(F.col("text"), divisor)).alias("c")).filter((F.col("c.lines") > 1) & _many(F.col("c.text")))
+    occurs = keyed.select("doc", F.explode(chunks(held, divisor)).alias("c")).filter((F.col("c.lines") > 1) & _many(F.col("c.text")))
     hashed = occurs.select("doc", F.col("c.no").alias("no"), F.xxhash64("c.text").alias("h"))
     counted = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no")).alias("first")).filter("n > 1")
     repeated = hashed.join(counted.select("h"), "h").groupBy("doc").agg(F.collect_set("no").alias("nos"))
 
     # The texts of repeated chunks: grouping by them compares bytes, and a hash that two texts share does no harm.
     dealt = keyed.repartition(parts, "doc")
-    asked = dealt.select("doc", "text").join(repeated, "doc").select("doc", F.explode(F.filter(chunks(F.col("text"), divisor), lambda c: F.array_contains("nos", c["no"]))).alias("c"))
+    asked = dealt.select("doc", held.alias("text")).join(repeated, "doc").select("doc", F.explode(F.filter(chunks(F.col("text"), divisor), lambda c: F.array_contains("nos", c["no"]))).alias("c"))
     asked = asked.select("doc", F.col("c.no").alias("no"), F.col("c.lines").alias("lines"), F.col("c.text").alias("text"), F.xxhash64("c.text").alias("h"))
     first = asked.groupBy("h", "text").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     gone = asked.join(first, ["h", "text"]).filter(F.struct("doc", "no") != F.col("first")).groupBy("doc").agg(F.collect_set("no").alias("nos"), F.sum("lines").alias("lines"))
@@ -79,9 +80,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", diviso
 
 
 def _rebuilt(found: DataFrame, docs: DataFrame, text: str, divisor: int) -> DataFrame:
-    left = F.array_join(F.transform(F.filter(chunks(F.col("text"), divisor), lambda c: ~F.array_contains("nos", c["no"])), lambda c: c["text"]), _NEWLINE)
+    left = F.array_join(F.transform(F.filter(chunks(F.col(f"row.`{text}`"), divisor), lambda c: ~F.array_contains("nos", c["no"])), lambda c: c["text"]), _NEWLINE)
     stripped = F.when(F.col("nos").isNull(), F.col(f"row.`{text}`")).otherwise(left)
     columns = [stripped.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    lines = F.when(F.col(f"row.`{text}`").isNull(), 0).otherwise(F.size(F.split("text", _NEWLINE, -1)))
+    lines = F.when(F.col(f"row.`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"row.`{text}`"), _NEWLINE, -1)))
     told = F.struct(F.coalesce(F.size("nos"), F.lit(0)).alias("removed_chunks"), F.coalesce("lines", F.lit(0).cast("long")).alias("removed_lines"), lines.alias("lines"))
     return found.select(*columns, told.alias("line_dedup"))
