@@ -36,7 +36,7 @@ def test_ingest_resume_append_retrieve(spark, tmp_path):
     table = world._table("chunks")
     table.write(world._keep(table.read(CHUNKS).withColumn("chunk_text", F.when(F.col("book_number") == 2, "other").otherwise(F.col("chunk_text")))))
     stale = world.retrieve("archive of Ostra burned", top_k=1)
-    assert stale["warnings"] == ["CHUNK_STALE"] and stale["chunks"] == []
+    assert stale["warnings"] == ["RETRIEVAL_CHUNK_VECTOR_STALE"] and stale["chunks"] == []
     assert world.report()["embedding"] == "partial"
 
 

@@ -57,8 +57,8 @@ def test_rollups(spark):
 
 
 def test_asset_rules(spark):
-    rows = spark.createDataFrame([(bytearray(b"\x89PNG\r\n\x1a\ntest"), ".png", "image"), (bytearray(b"nope"), ".png", "image"), (bytearray(b""), ".ttf", "font"), (bytearray(b"RIFFxxxxWEBP"), ".webp", "image"), (bytearray(b"x"), ".exe", "image"), (bytearray(b"\xff\xd8\xff"), ".jpg", "image")], "c binary, s string, k string")
-    assert [r[0] for r in rows.select(status.asset_error(F.col("c"), F.col("s"), F.col("k"))).collect()] == [None, "BAD_SIGNATURE", "EMPTY", None, "UNSUPPORTED_TYPE", None]
+    rows = spark.createDataFrame([(bytearray(b"\x89PNG\r\n\x1a\ntest"), ".png", "image"), (bytearray(b"nope"), ".png", "image"), (bytearray(b""), ".ttf", "font"), (bytearray(b"RIFFxxxxWEBP"), ".webp", "image"), (bytearray(b"x"), ".exe", "image"), (bytearray(b"\xff\xd8\xff"), ".jpg", "image"), (bytearray(b"\0\0\0 ftypmif1\0\0\0\0avif"), ".avif", "image")], "c binary, s string, k string")
+    assert [r[0] for r in rows.select(status.asset_error(F.col("c"), F.col("s"), F.col("k"))).collect()] == [None, "IMAGE_SIGNATURE_INVALID", "ASSET_EMPTY", None, "ASSET_TYPE_UNSUPPORTED", None, None]
     safe = spark.createDataFrame([("image", "a", "x.png"), ("image", "a", "../x"), ("video", "a", "x"), ("font", "", "x"), (None, "a", "x")], "k string, a string, n string")
     assert [r[0] for r in safe.select(status.safe_record(F.col("k"), F.col("a"), F.col("n"))).collect()] == [True, False, False, False, False]
 

@@ -103,7 +103,7 @@ def image_signature(content: Column, suffix: Column) -> Column:
     begins = lambda at, hexed: F.substring(content, at, len(hexed) // 2) == F.unhex(F.lit(hexed))
     return (
         F.when(suffix == ".png", begins(1, "89504E470D0A1A0A")).when(suffix.isin(".jpg", ".jpeg"), begins(1, "FFD8FF"))
-        .when(suffix == ".webp", begins(1, "52494646") & begins(9, "57454250")).when(suffix == ".avif", begins(5, "66747970") & (begins(9, "61766966") | begins(9, "61766973")))
+        .when(suffix == ".webp", begins(1, "52494646") & begins(9, "57454250")).when(suffix == ".avif", begins(5, "66747970") & F.hex(F.substring(content, 9, 24)).rlike("^(?:..)*?(?:61766966|61766973)"))
         .otherwise(False)
     )
 
@@ -112,8 +112,8 @@ def asset_error(content: Column, suffix: Column, kind: Column, limit: int = 2 *
     """FLT14: the first rule an upload breaks, or null."""
     image, font = suffix.isin(".png", ".jpg", ".jpeg", ".webp", ".avif"), suffix.isin(".ttf", ".otf")
     return (
-        F.when(~F.when(kind == "image", image).otherwise(font), "UNSUPPORTED_TYPE").when(F.length(content) == 0, "EMPTY").when(F.length(content) > limit, "TOO_LARGE")
-        .when((kind == "image") & ~image_signature(content, suffix), "BAD_SIGNATURE")
+        F.when(~F.when(kind == "image", image).otherwise(font), "ASSET_TYPE_UNSUPPORTED").when(F.length(content) == 0, "ASSET_EMPTY").when(F.length(content) > limit, "ASSET_TOO_LARGE")
+        .when((kind == "image") & ~image_signature(content, suffix), "IMAGE_SIGNATURE_INVALID")
     )
 
 

@@ -27,6 +27,10 @@ EDGES = "book_number int, chunk_number int, edge_id string, source_node_id strin
 NODE_VECTORS = "node_id string, vector array<float>"
 
 
+#: What a hit that fails verification is called.
+_WARNINGS = {"missing": "RETRIEVAL_CHUNK_FILE_MISSING", "stale": "RETRIEVAL_CHUNK_VECTOR_STALE"}
+
+
 class WorldLocked(ValueError):
     """FLT18: the splitter or profile of a world cannot change without a full re-ingest."""
 
@@ -53,9 +57,9 @@ class World:
         if saved:
             self.info = json.loads(saved[0].json)
             if self.info["splitter"] != asdict(splitter):
-                raise WorldLocked("WORLD_SPLITTER_LOCKED")
+                raise WorldLocked("WORLD_SPLITTER_CONFIG_LOCKED")
             if self.info["profile"] != models.profile:
-                raise WorldLocked("WORLD_PROFILE_LOCKED")
+                raise WorldLocked("WORLD_EMBEDDING_PROFILE_LOCKED")
         else:
             self.info = {"world_uuid": str(uuid.uuid4()), "name": name, "splitter": asdict(splitter), "profile": models.profile, "run": None, "status": None}
 
@@ -227,7 +231,7 @@ class World:
         if not text.strip():
             return {"success": False, "errors": ["EMPTY_RETRIEVAL_QUERY"], "chunks": [], "context": ""}
         if not k:
-            return {"success": True, "errors": [], "warnings": ["NO_EMBEDDED_CHUNKS"], "chunks": [], "context": ""}
+            return {"success": True, "errors": [], "warnings": ["WORLD_HAS_NO_EMBEDDED_CHUNKS"], "chunks": [], "context": ""}
         asked = work.called(self.models.embed, text.strip())
         if "vector" not in asked:
             return {"success": False, "errors": [asked["code"]], "chunks": [], "context": ""}
@@ -240,4 +244,4 @@ class World:
             self._table("points").write(self._keep(reconcile.delete(self._table("points").read(POINTS), bad, "point_id")))
             fixed = states.join(bad, "point_id", "left").withColumn("text_hash", F.when(F.col("point_id").isin([r.point_id for r in gone]), F.col("now")).otherwise(F.col("text_hash")))
             self._table("states").write(self._keep(fixed.withColumn("status", F.when(F.col("point_id").isin([r.point_id for r in gone]), "pending").otherwise(F.col("status"))).select(*states.columns)))
-        return {"success": True, "errors": [], "warnings": [f"CHUNK_{r.outcome.upper()}" for r in gone], "chunks": [r.asDict() for r in valid], "context": "\n\n".join(r.chunk_text for r in valid if r.chunk_text)}
+        return {"success": True, "errors": [], "warnings": [_WARNINGS[r.outcome] for r in gone], "chunks": [r.asDict() for r in valid], "context": "\n\n".join(r.chunk_text for r in valid if r.chunk_text)}
