@@ -1,0 +1,71 @@
+from weftline.operators.credential_pool import Credential, CredentialPool
+from weftline.operators.scheduling import Quota
+
+
+class Clock:
+    now = 1000.0
+
+    def __call__(self):
+        return self.now
+
+
+def pool(*names, quota=None, **more):
+    clock = Clock()
+    return CredentialPool([Credential("p", n, **more) for n in names], "m", clock, quota), clock
+
+
+def test_rotation_and_one_in_flight():
+    held, _ = pool("a", "b", "c")
+    taken = [held.select() for _ in range(4)]
+    assert [c and c.name for c in taken] == ["a", "b", "c", None]
+    held.succeeded(taken[1])
+    assert held.select().name == "b"
+
+
+def test_project_shares_a_scope():
+    held, _ = pool("a", "b", project="x")
+    assert held.select().name == "a" and held.select() is None
+
+
+def test_eligibility():
+    held = CredentialPool([Credential("p", "a", models=frozenset({"other"})), Credential("p", "b", models=frozenset({"m"}))], "m", Clock())
+    assert [c.name for c in held.credentials] == ["b"]
+    assert CredentialPool([], "m", Clock()).select() is None
+
+
+def test_cooldowns_by_scope():
+    held, clock = pool("a")
+    held.rate_limited(held.select(), "model", 30)
+    assert held.select() is None and held.wait() == 2.0
+    other = CredentialPool(held.credentials, "n", clock, cooldowns=held.cooldowns)
+    assert other.select() is not None
+    clock.now += 29.5
+    assert held.wait() == 0.5
+    clock.now += 1
+    held.rate_limited(held.select(), "project")
+    assert CredentialPool(held.credentials, "n", clock, cooldowns=held.cooldowns).select() is None
+    clock.now += 61
+    assert held.select() is not None
+
+
+def test_run_block_and_no_wait():
+    held, clock = pool("a")
+    held.rate_limited(held.select(), block_run=True)
+    clock.now += 1000
+    assert held.select() is None and held.wait() is None
+
+
+def test_quota_windows():
+    held, clock = pool("a", quota=Quota(requests_per_minute=2, tokens_per_minute=100, requests_per_day=4))
+    take = lambda n: (c := held.select(n)) and (held.succeeded(c) or c)
+    assert take(60) and not take(50) and take(40) and not take(0)
+    clock.now += 61
+    assert take(100)
+    c = held.select(0)
+    assert c
+    held.release(c, 0)
+    assert take(0)
+    clock.now += 61
+    assert not take(0)
+    clock.now += 86_400
+    assert take(0)
