@@ -71,12 +71,15 @@ def _placed(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, window: int = WINDOW) -> DataFrame:
-    """(key, item, windows, matched, coverage, slots, changed, verbatim) for each text that holds an item."""
+    """(key, item, windows, matched, coverage, slots, changed, verbatim, text_hash) for each text that holds an item.
+
+    text_hash is xxhash64 of the text (empty for null), by which rows without an id can be told apart.
+    """
     items = benchmark.select(F.col(item).alias("item"), tokens(F.col(item_text)).alias("tokens"), slots(F.col(item_text)).alias("slots")).filter(F.size("tokens") > 0)
     items = items.withColumn("length", F.least(F.size("tokens"), F.lit(window)))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # as many as a window has tokens at most
     if not lengths:
-        return docs.limit(0).select(F.col(key), *(F.lit(None).cast(t).alias(c) for c, t in ((item, benchmark.schema[item].dataType), ("windows", "long"), ("matched", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"), ("verbatim", "boolean"))))
+        return docs.limit(0).select(F.col(key), *(F.lit(None).cast(t).alias(c) for c, t in ((item, benchmark.schema[item].dataType), ("windows", "long"), ("matched", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"), ("verbatim", "boolean"), ("text_hash", "long"))))
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1), lambda i: F.slice("tokens", i, F.col("length")))).alias("at", "tokens")
     parts = items.select("item", "length", at)
     ordinary = F.size(F.filter("tokens", lambda t: ~t.isin(NAME, NUMBER, UNIT)))
@@ -96,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     # The texts of candidates alone are read again, with positions and values.
     chosen = candidates.select("c_id", "t").distinct()
     same = keyed["id"].eqNullSafe(chosen["c_id"]) & (keyed["t"] == chosen["t"])
-    read = keyed.join(chosen, same, "left_semi").dropDuplicates(["id", "t"]).select(F.xxhash64("id", "t").alias("doc"), "id", tokens(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"))
+    read = keyed.join(chosen, same, "left_semi").dropDuplicates(["id", "t"]).select(F.xxhash64("id", "t").alias("doc"), "id", "t", tokens(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"))
     asked = candidates.select(F.xxhash64("c_id", "t").alias("doc"), "item").join(parts, "item")
     spots = None
     for n in lengths:
@@ -114,5 +117,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     # A passage whose slots contradict each other is another text in the same template.
     kept = found.join(judged, ["doc", "item", "diagonal"], "left").filter("given is null or given = read")
     out = kept.groupBy("doc", "item").agg(F.countDistinct("at").alias("matched"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.min(F.coalesce("changed", F.lit(0))).alias("changed"))
-    out = out.join(totals, "item").filter(F.col("matched") >= F.col("total") * coverage).join(read.select("doc", "id"), "doc")
-    return out.select(F.col("id").alias(key), F.col("item").alias(item), F.col("total").alias("windows"), "matched", F.round(F.col("matched") / F.col("total"), 6).alias("coverage"), "slots", "changed", (F.col("changed") == 0).alias("verbatim"))
+    out = out.join(totals, "item").filter(F.col("matched") >= F.col("total") * coverage).join(read.select("doc", "id", "t"), "doc")
+    return out.select(F.col("id").alias(key), F.col("item").alias(item), F.col("total").alias("windows"), "matched", F.round(F.col("matched") / F.col("total"), 6).alias("coverage"), "slots", "changed", (F.col("changed") == 0).alias("verbatim"), F.col("t").alias("text_hash"))

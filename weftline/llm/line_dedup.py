@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 #: One line in so many ends a chunk.
 DIVISOR = 3
 _NEWLINE = "\n"
@@ -58,7 +60,7 @@ def _many(text: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """docs with repeated chunks taken out of text, and the columns removed_chunks, removed_lines and lines as struct `line_dedup`."""
+    """docs with repeated chunks taken out of text, and a last column line_dedup (or fresh() of that): struct<removed_chunks, removed_lines, lines>."""
     plain = F.coalesce(F.col(text), F.lit(""))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -85,4 +87,4 @@ def _rebuilt(found: DataFrame, docs: DataFrame, text: str, divisor: int) -> Data
     columns = [stripped.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     lines = F.when(F.col(f"row.`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"row.`{text}`"), _NEWLINE, -1)))
     told = F.struct(F.coalesce(F.size("nos"), F.lit(0)).alias("removed_chunks"), F.coalesce("lines", F.lit(0).cast("long")).alias("removed_lines"), lines.alias("lines"))
-    return found.select(*columns, told.alias("line_dedup"))
+    return found.select(*columns, told.alias(fresh("line_dedup", docs.columns)))

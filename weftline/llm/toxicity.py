@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, slices
+from .shared import materialise
 
 TRAINING_ROWS = 12_000
 #: Share of the toxic training rows in which a suspect word or beginning stands at least.
@@ -111,6 +111,10 @@ class Model:
             return np.full(len(x), self.constant)
         return np.clip(np.interp(self.margin(x), *self.steps), 0.0, 1.0)
 
+    def score_texts(self, texts: list[str]) -> np.ndarray:
+        found = [features(x, self.suspects) for x in texts]
+        return self.score(np.array(found, float).reshape(len(texts), len(NAMES)))
+
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares rising function of x, by pooling adjacent violators."""
@@ -225,19 +229,25 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([r.id for r in got], np.array([r.x for r in got]).reshape(len(got), len(NAMES)), np.array([r.mark for r in got]), suspects)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(keep or key, held_out, score, predicted) for each row of docs; keep names columns that are passed through."""
-    columns = keep or [key]
-    schema = docs.select(*columns).schema
-    place = columns.index(key)
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, held_out, score, predicted) for each row of docs."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = model.score_texts(batch.column(1).to_pylist())
+            out = [held_out(k) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[key, "held_out", "score", "predicted"])
+
+    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs whose score is below one half, with all columns as they are."""
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            found = [features(x, model.suspects) for a, b in slices(texts) for x in texts[a:b]]
-            p = model.score(np.array(found).reshape(len(texts), len(NAMES)))
-            out = [held_out(k) for k in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[*columns, "held_out", "score", "predicted"])
-
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(run, f"{out}, held_out boolean, score double, predicted int")
+            yield batch.filter(pa.array(model.score_texts([x or "" for x in batch.column(place).to_pylist()]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
