@@ -105,23 +105,70 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byt
         yield owners, offsets, held
 
 
+def _own_repeats(texts: list[bytes], own: np.ndarray, gram: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(samples to keep, resolved (text, start, strings)): contexts that a text holds twice are settled where they are met.
+
+    Rulers and repeated lines give a sample at each period; one of them stands for all in the sorting.
+    """
+    keep = np.ones(len(own), bool)
+    order = np.lexsort((gram, own))
+    same = (own[order][1:] == own[order][:-1]) & (gram[order][1:] == gram[order][:-1])
+    twice = np.zeros(len(own), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    seen: dict[tuple, int] = {}
+    settled: dict[int, list[tuple[int, int]]] = {}
+    for i in np.flatnonzero(twice).tolist():
+        t, a, k = int(own[i]), int(lo[i]), int(n[i])
+        key = (t, texts[t][a : a + k - 1 + LENGTH])
+        if key in seen:
+            keep[i] = False
+            settled.setdefault(t, []).extend([(a, a + k), *([(first, first + k)] if (first := seen[key]) >= 0 else [])])
+            seen[key] = -1
+        else:
+            seen[key] = a
+    out = []
+    for t, spans in settled.items():
+        for a, b in _merged(spans):
+            out.append((t, a, b - a))
+    return keep, out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans in order, those that touch made one."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return merged
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, d, lo, n, settled) of (d, text): samples, and runs of strings that repeat within their text, under grams of their own."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for owners, offsets, held in _pieces(texts):
             piece, gram, start, n = samples(held)
-            own, shift = np.array(owners, np.int64)[piece], np.array(offsets, np.int64)[piece]
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), batch.column(0).take(pa.array(own)), pa.array(start + shift, pa.int64()), pa.array(n.astype(np.int32), pa.int32())], names=["gram", "d", "lo", "n"])
+            own, lo = np.array(owners, np.int64)[piece], start + np.array(offsets, np.int64)[piece]
+            keep, settled = _own_repeats(texts, own, gram, lo, n)
+            done = np.array(settled, np.int64).reshape(-1, 3)
+            alone = _mix(np.array([int.from_bytes(batch.column(0)[int(t)].as_py()[:8], "big") for t in done[:, 0]], _U) + done[:, 1].astype(_U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([gram[keep], alone]), pa.int64()), batch.column(0).take(pa.array(np.concatenate([own[keep], done[:, 0]]))), pa.array(np.concatenate([lo[keep], done[:, 1]]), pa.int64()),
+                 pa.array(np.concatenate([n[keep], done[:, 2]]).astype(np.int32), pa.int32()), pa.array(np.repeat([False, True], [int(keep.sum()), len(done)]), pa.bool_())],
+                names=["gram", "d", "lo", "n", "settled"],
+            )
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, d, lo, n, c, context) from (d, text, array of samples)."""
+    """(gram, d, lo, n, c, context) from (d, text, array of samples); settled runs have neither c nor context."""
     for batch in batches:
-        rows = [(s["gram"], d, s["lo"], s["n"], text[s["lo"] : s["lo"] + s["n"] - 1 + LENGTH]) for d, text, held in zip(*(c.to_pylist() for c in batch.columns)) for s in held]
+        rows = [(s["gram"], d, s["lo"], s["n"], None if s["settled"] else text[s["lo"] : s["lo"] + s["n"] - 1 + LENGTH]) for d, text, held in zip(*(c.to_pylist() for c in batch.columns)) for s in held]
         for a in range(0, len(rows), 4096):
             part = rows[a : a + 4096]
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32()]
-            marks = pa.array([hashlib.md5(r[4]).digest() for r in part], pa.binary())
+            marks = pa.array([None if r[4] is None else hashlib.md5(r[4]).digest() for r in part], pa.binary())
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], t) for i, t in enumerate(kinds)), marks, pa.array([r[4] for r in part], pa.binary())], names=["gram", "d", "lo", "n", "c", "context"])
 
 
@@ -213,12 +260,7 @@ def _removed(text: bytes, count: int, spans: list[dict]) -> tuple[int, int, int,
         return len(text), 0, 0, hashlib.sha256(text).hexdigest()
     if count > 1:
         return len(text), len(text), 1, hashlib.sha256(b"").hexdigest()
-    merged: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"] - 1 + LENGTH) for s in spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
+    merged = _merged([(s["a"], s["b"] - 1 + LENGTH) for s in spans])
     kept, at = hashlib.sha256(), 0
     for a, b in merged:
         kept.update(text[at:a])
@@ -235,24 +277,24 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
-    keyed = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).withColumn("d", F.unhex(F.md5("text")))
-    # The same aggregate, column for column, wherever texts are needed: then one exchange serves all.
+    keyed = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).withColumn("d", F.unhex(F.md5("text"))).filter("d is not null")
+    # The same aggregate wherever texts are needed, down to the filter that a join would infer: then one exchange serves all.
     unique = keyed.groupBy("d").agg(F.first("text").alias("text"))
     copies = keyed.groupBy("d").agg(F.count("*").alias("count")).filter("count > 1")
 
-    sampled = unique.mapInArrow(_sampled, "gram long, d binary, lo long, n int")
-    again = sampled.withColumn("times", F.count("*").over(Window.partitionBy("gram"))).filter("times > 1").drop("times")
-    asked = again.groupBy("d").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("held"))
+    sampled = unique.mapInArrow(_sampled, "gram long, d binary, lo long, n int, settled boolean")
+    again = sampled.withColumn("times", F.count("*").over(Window.partitionBy("gram"))).filter("times > 1 or settled").drop("times")
+    asked = again.groupBy("d").agg(F.collect_list(F.struct("gram", "lo", "n", "settled")).alias("held"))
     contexts = unique.join(asked, "d").select("d", "text", "held").mapInArrow(_contexts, "gram long, d binary, lo long, n int, c binary, context binary")
-    different = contexts.groupBy("gram", "c").agg(F.first("n").alias("n"), (F.count("*") > 1).alias("many"), F.first("context").alias("context"))
+    different = contexts.filter("c is not null").groupBy("gram", "c").agg(F.first("n").alias("n"), (F.count("*") > 1).alias("many"), F.first("context").alias("context"))
     sorts = different.repartition(_parts(docs), "gram").sortWithinPartitions("gram").select("gram", "c", "n", "many", "context")
-    found = sorts.mapInArrow(_sorted_contexts, "c binary, start int, stop int, string binary").repartition(_parts(docs), "c")
+    found = sorts.mapInArrow(_sorted_contexts, "c binary, start int, stop int, string binary")
 
-    # Strings of grams that were too large to sort.
-    loose = found.filter("string is not null")
-    counted = loose.groupBy("string").agg(F.count("*").alias("times")).filter("times > 1").select("string")
-    runs = found.filter("string is null").select("c", "start", "stop").union(loose.join(counted, "string").select("c", "start", "stop"))
-    spans = contexts.select("d", "lo", "c").join(runs, "c").select("d", (F.col("lo") + F.col("start")).alias("a"), (F.col("lo") + F.col("stop")).alias("b"))
+    # Strings of grams that were too large to sort are counted by digest; sorted runs pass, each under a key of its own.
+    own = F.coalesce("string", F.concat("c", F.col("start").cast("string").cast("binary")))
+    runs = found.withColumn("times", F.count("*").over(Window.partitionBy(own))).filter("string is null or times > 1").select("c", "start", "stop")
+    spans = contexts.select("d", "lo", "n", "c").join(runs, "c", "left").filter("c is null or start is not null")
+    spans = spans.select("d", (F.col("lo") + F.coalesce("start", F.lit(0))).alias("a"), (F.col("lo") + F.coalesce("stop", "n")).alias("b"))
     spans = spans.groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     results = unique.join(spans, "d", "left").join(copies, "d", "left").select("d", "text", F.coalesce("count", F.lit(1)).alias("count"), "spans").mapInArrow(_results, "d binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return keyed.select("id", "d").join(results, "d").select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
