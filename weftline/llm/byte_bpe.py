@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import slices
 
 #: Pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Characters for which the standard library's classes agree with the pattern's: ASCII, Latin letters, common signs.
 PLAIN = re.compile("[\t-\r\x20-\x7e\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-⁞₠-₵]*")
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"

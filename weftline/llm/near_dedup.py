@@ -35,8 +35,8 @@ from .shared import materialise, partitions
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Members of a group that are compared with as many others at once, and members that share a shingle from which its pairs are counted by a matrix product.
-BLOCK, DENSE = 2048, 24
-_REMEMBERED = 400_000
+BLOCK, DENSE = 1024, 24
+_REMEMBERED = 100_000
 _U = np.uint64
 
 
