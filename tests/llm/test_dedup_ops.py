@@ -218,6 +218,30 @@ def test_line_dedup_cases(spark):
     assert by[2][0].text == by[2][1].text and by[2][0].line_dedup.removed_lines > 0
 
 
+def test_passages_of_few_lines(spark):
+    """Shared passages of one, two and three lines of over 50 words go whole, whatever stands around them."""
+    draw = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    line = lambda n: text_of(draw, words, n) + "."
+    shared = [[line(30) + " " + line(4) + " " + line(25)], [line(40), line(15)], [line(30), line(3), line(30)], [line(4), line(55), line(3)]]
+    rows, own = [], {}
+    for k, lines in enumerate(shared):
+        for i in range(3):
+            before, after = [line(draw.randint(2, 20)) for _ in range(2)], [line(draw.randint(2, 20)) for _ in range(2)]
+            rows.append((10 * k + i, "\n".join([*before, *lines, *after])))
+            own[10 * k + i] = "\n".join([*before, *(lines if i == 0 else []), *after])
+    inside = line(12) + " " + line(14)
+    rows += [(50, f"{line(30)} {inside} {line(20)}"), (51, f"{line(25)} {inside} {line(30)}"), (52, None), (53, "\n\nx\n\n"), (54, rows[0][1]), (54, rows[0][1]), (55, "\n\nx\n\n")]
+    got = line_dedup.dedup_passages(spark.createDataFrame([(i, t, "d", "r") for i, t in rows], "doc_id long, text string, doc string, line_dedup string")).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["doc_id", "text", "doc", "line_dedup", "line_dedup_"]
+    by = {r.doc_id: r.text for r in got}
+    assert {i: by[i] for i in own} == own
+    assert by[50] == rows[12][1] and by[51] == rows[13][1].replace(inside + " ", "")
+    assert by[52] is None and by[53] == by[55] == "\n\nx\n\n" and by[54] == ""
+    stage = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars int"), FOLDER)
+    assert {r.doc_id: r.text for r in stage.collect()} == by
+
+
 def brute_leaks(texts, items):
     """Verbatim items, with white space made equal."""
     flat = lambda t: " ".join((t or "").split())

@@ -12,6 +12,13 @@ Defined cases: null text stays null and has no lines removed. A text without a r
 one whose every chunk goes becomes empty and its row stays. Lines end at \\n alone, so \\r stays in its line. Rows that
 agree in id and text are one document for the choice of first places and get the same result; null ids come first.
 Extra columns are returned as they are, whatever their names.
+
+These chunks are those of the query's SQL and miss passages of few lines. dedup_passages() takes every repeated passage
+of whole units: a unit is a line (with the blank lines behind it), or a sentence of a line of more than PARAGRAPH words.
+From each unit on, and up to each unit, the fewest units that hold LEAST words are a passage; where the same passage
+starts anywhere earlier, all of its units go. So a repeated run of units of 2 * LEAST words goes whole, whatever stands
+around it, and of every unit's text the first place stays. Passages are compared by 128 bits of hash, without white
+space at their units' ends. A passage that repeats within itself (a line over and over) shrinks to its first period.
 """
 
 from __future__ import annotations
@@ -21,11 +28,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import WORD, fresh
 
 #: One line in so many ends a chunk.
 DIVISOR = 3
 _NEWLINE = "\n"
+#: Words of the shortest passage, and of the longest line that is not cut into sentences.
+LEAST, PARAGRAPH = 10, 50
+_LINE_END, _SENTENCE_END = r"\n(?![\x20\x09\x0B-\x0D]*(?:\n|\z))", r"(?<=[.!?]\x20)(?=[^\x20])"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -88,3 +98,55 @@ def _rebuilt(found: DataFrame, docs: DataFrame, text: str, divisor: int) -> Data
     lines = F.when(F.col(f"row.`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"row.`{text}`"), _NEWLINE, -1)))
     told = F.struct(F.coalesce(F.size("nos"), F.lit(0)).alias("removed_chunks"), F.coalesce("lines", F.lit(0).cast("long")).alias("removed_lines"), lines.alias("lines"))
     return found.select(*columns, told.alias(fresh("line_dedup", docs.columns)))
+
+
+def units(text: Column) -> Column:
+    """array<struct<line, text, body, words>>: lines, or their sentences, in order; body has no white space at its end."""
+    def unit(line: Column, x: Column) -> Column:
+        return F.struct(line.alias("line"), x.alias("text"), F.regexp_replace(x, r"[\x20\x09-\x0D]+\z", "").alias("body"), F.regexp_count(x, F.lit(WORD)).alias("words"))
+
+    cut = lambda x: F.when(F.regexp_count(x, F.lit(WORD)) > PARAGRAPH, F.split(x, _SENTENCE_END, -1)).otherwise(F.array(x))
+    return F.flatten(F.transform(F.split(text, _LINE_END, -1), lambda x, i: F.transform(cut(x), lambda y: unit(i, y))))
+
+
+def passages(held: Column) -> Column:
+    """array<struct<at, n, text>>: for each unit, the fewest units from it on and up to it with LEAST words."""
+    def spans(words: Column) -> Column:
+        # Every unit but a first blank one has a word. The fold holds 1000 * units + words until these are enough.
+        step = lambda a, w: F.when(a % 1000 >= LEAST, a).otherwise(a + 1000 + F.least(w, F.lit(LEAST)))
+        fewest = lambda some: _let(F.aggregate(some, F.lit(0), step), lambda a: F.when(a % 1000 >= LEAST, (a / 1000).cast("int")))
+        on = F.transform(words, lambda w, i: F.struct(i.alias("at"), F.when(w >= LEAST, 1).otherwise(fewest(F.slice(words, i + 1, LEAST + 1))).alias("n")))
+        before = lambda i: F.reverse(F.slice(words, F.greatest(i - LEAST, F.lit(0)) + 1, F.least(i, F.lit(LEAST)) + 1))
+        up = F.transform(words, lambda w, i: F.when(w < LEAST, _let(fewest(before(i)), lambda n: F.when(n.isNotNull(), F.struct((i - n + 1).alias("at"), n.alias("n"))))))
+        both = lambda o: F.concat(o, F.filter(up, lambda s: s.isNotNull() & ~F.get(o, s["at"])["n"].eqNullSafe(s["n"])))
+        return F.filter(_let(on, both), lambda s: s["n"].isNotNull())
+
+    body = lambda u, s: F.array_join(F.transform(F.slice(u, s["at"] + 1, s["n"]), lambda x: x["body"]), _NEWLINE)
+    return _let(held, lambda u: F.transform(_let(F.transform(u, lambda x: x["words"]), spans), lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), body(u, s).alias("text"))))
+
+
+def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the passages that stand somewhere before, and a last column line_dedup (or fresh() of that): struct<removed_units, removed_words, units>."""
+    plain = F.coalesce(F.col(text), F.lit(""))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(plain).alias("t")).alias("doc"), whole.alias("row"))
+    held = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+
+    # One exchange of two independent 64-bit hashes serves the count and the join; texts cross the network for the result alone.
+    named = lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), F.xxhash64(p["text"]).alias("h"), F.xxhash64(F.lit(1), p["text"]).alias("g"))
+    hashed = keyed.select("doc", F.explode(F.transform(passages(units(held)), named)).alias("p")).select("doc", "p.*").repartition(parts, "h", "g")
+    first = hashed.groupBy("h", "g").agg(F.count("*").alias("count"), F.min(F.struct("doc", "at")).alias("first")).filter("count > 1").drop("count")
+    later = hashed.join(first, ["h", "g"]).filter(F.struct("doc", "at") != F.col("first"))
+    gone = later.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("no")).groupBy("doc").agg(F.collect_set("no").alias("nos"))
+
+    dealt = keyed.repartition(parts, "doc")
+    own = units(F.col(f"row.`{text}`"))
+    found = dealt.join(gone, "doc", "left").withColumn("units", own)
+    out = lambda i: F.array_contains("nos", i)
+    left = F.filter("units", lambda x, i: ~out(i))
+    joined = _let(left, lambda kept: F.array_join(F.transform(kept, lambda x, i: F.concat(F.when((i > 0) & (x["line"] != F.get(kept, i - 1)["line"]), _NEWLINE).otherwise(""), x["text"])), ""))
+    columns = [F.when(F.col("nos").isNull(), F.col(f"row.`{c}`")).otherwise(joined).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    words = F.aggregate(F.filter("units", lambda x, i: out(i)), F.lit(0), lambda a, x: a + x["words"])
+    told = F.struct(F.coalesce(F.size("nos"), F.lit(0)).alias("removed_units"), F.coalesce(F.when(F.col("nos").isNotNull(), words), F.lit(0)).alias("removed_words"), F.when(F.col(f"row.`{text}`").isNull(), 0).otherwise(F.size("units")).alias("units"))
+    return found.select(*columns, told.alias(fresh("line_dedup", docs.columns)))

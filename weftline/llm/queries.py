@@ -64,6 +64,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("line_dedup.lines").cast("long").alias("n_lines"), F.col("line_dedup.removed_lines").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline does it: also passages of one line or few, and of sentences, which the SQL of op9_line_dedup leaves."""
+    found = line_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("line_dedup.units").alias("n_units"), F.col("line_dedup.removed_units").alias("n_removed"), F.col("line_dedup.removed_words").alias("words_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media_columns": op7_media_columns,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op9_passage_dedup": op9_passage_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
