@@ -91,6 +91,16 @@ def test_secrets_held_out_formats(spark):
     assert [r.value for r in rows] == [fresh[0]]
 
 
+def test_secrets_of_any_length():
+    draw = random.Random(5)
+    run = lambda n: "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", k=n))
+    scanner = secrets.Scanner(secrets.example_credentials())
+    for payload in (700, 1410, 20_000):
+        word = f"eyJ{run(40)}.eyJ{run(payload)}.{run(42)}x"
+        assert scanner.spans(f"use {word} now") == [("format", 4, 4 + len(word))]
+    assert scanner.spans("see " + "-".join(["theinganderenver"] * 100) + "1 here") == []
+
+
 def test_media_round_trip(spark):
     got = media.digests(docs(spark)).filter("doc_id is not null").collect()
     for r in got:

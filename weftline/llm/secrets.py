@@ -3,7 +3,7 @@
 Labelled credentials of each kind become a prefix tree with counts. States whose futures differ by no more than a
 Hoeffding bound are merged (red-blue order, folding subtrees), which leaves one probabilistic automaton a kind: its
 literal beginnings stay chains and its random parts become loops. Each candidate, a maximal run of token characters of
-sixteen or more with digits and letters, is scored by its mean log-likelihood ratio a character against a background
+sixteen or more with digits and letters, of any length, is scored by its mean log-likelihood ratio a character against a background
 of running text and hosts; those above the threshold that lie in no base span are added as spans of kind "format".
 
 Base spans (assign, access, hex) are the fixed patterns of patterns(); they stay whatever the automata say. Offsets
@@ -195,7 +195,6 @@ class Scanner:
         self.automata = {kind: Automaton(words, alpha) for kind, words in sorted(kinds.items())}
         self.background = Background(ordinary_runs())
         self.threshold = threshold
-        self.longest = max((len(w) for words in kinds.values() for w in words), default=0)
 
     def ratio(self, word: str) -> float:
         """Mean log-likelihood ratio a character of the likeliest kind."""
@@ -217,7 +216,7 @@ class Scanner:
         starts, reach = [a for a, _ in held], list(accumulate((b for _, b in held), max))
         for a, b in runs:
             word = text[a:b].strip("=.-/_+")
-            if self.automata and 16 <= len(word) <= 4 * self.longest and any(map(str.isdigit, word)) and any(map(str.isalpha, word)):
+            if self.automata and len(word) >= 16 and any(map(str.isdigit, word)) and any(map(str.isalpha, word)):
                 start = text.index(word, a)
                 before = bisect_left(starts, start + len(word)) - 1
                 if (before < 0 or reach[before] <= start) and self.ratio(word) >= self.threshold:
