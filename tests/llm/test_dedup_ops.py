@@ -270,6 +270,16 @@ def test_decontamination_of_changed_parameters(spark, monkeypatch):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0 and decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_in_other_case_and_of_numbers(spark):
+    item = "On Monday the baker Anna Berg of Oslo sold Bob Lund nine loaves and then Carl Moe the last cake."
+    sums = "12 + 7 = 19; 4 * 5 = 20; 81 / 9 = 9; 3 - 2 = 1"
+    rows = [(1, f"BEFORE IT. {item.upper()} AFTER IT."), (2, f"before. {item.lower()} after."), (3, f"So {sums}, he said."), (4, "So 13 + 8 = 21; 5 * 6 = 30; 72 / 9 = 8; 4 - 2 = 2, he said."), (5, item), (None, item.upper()), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, sums)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0, r.item_id) for r in decontamination.leaks(docs, bench).collect()))
+    assert got == [(0, 1), (1, 1), (2, 1), (3, 2), (5, 1)]
+
+
 def test_pipeline_stages(spark):
     """Each stage on its own input against its brute-force form."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")

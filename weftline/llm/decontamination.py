@@ -8,12 +8,16 @@ diagonal (text position less item position) the pairs (item value, text value) m
 text values: then the passage is the item, possibly with other parameters. The windows of consistent diagonals must
 still reach COVERAGE.
 
+Names cannot be told in passages in capitals or in small letters, and an item may have no window with LITERALS ordinary
+words. So a plain form, lower-cased and without placeholders, is compared as well, all of its windows, and the hits are
+united. A pair that reached COVERAGE by templates is judged by these, unless the plain form holds every window.
+
 Distribution: the windows of documents meet the benchmark's distinct window hashes by a broadcast join while these are
 at most BROADCAST_WINDOWS (counted first), and by a shuffled join beyond; nothing else of the documents is shuffled but
 hits, and the texts of candidates.
 
 Defined cases: null texts and items have no tokens and match nothing. An item of fewer than WINDOW tokens is one window
-of its own length, if it has LITERALS ordinary words. Repeated items match each. Rows that agree in id and text give
+of its own length; by templates it needs LITERALS ordinary words. Repeated items match each. Rows that agree in id and text give
 one row for an item. Null ids are returned as null. Extra columns are ignored. Private-use characters U+E000 to U+E002
 are dropped from the input, as they stand for placeholders.
 """
@@ -23,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh, materialise
+
 WINDOW, LITERALS, COVERAGE = 5, 3, 0.5
 BROADCAST_WINDOWS = 500_000
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
@@ -40,13 +46,17 @@ def _marked(text: Column) -> tuple[Column, Column, Column]:
     return named, numbered, F.when(F.contains(numbered, F.lit(NUMBER)), F.regexp_replace(numbered, _UNIT, UNIT)).otherwise(numbered)
 
 
-def tokens(text: Column) -> Column:
-    """The template tokens of a text."""
+def tokens(text: Column, plain: bool = False) -> Column:
+    """The template tokens of a text, or its plain ones."""
+    if plain:
+        return F.array_remove(F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")), r"[^\p{L}\p{N}]+"), "")
     return F.array_remove(F.split(F.lower(_marked(text)[2]), rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"), "")
 
 
-def slots(text: Column) -> Column:
-    """array<array<string>>: in order, the values of the name, number and unit placeholders."""
+def slots(text: Column, plain: bool = False) -> Column:
+    """array<array<string>>: in order, the values of the name, number and unit placeholders, of which plain tokens have none."""
+    if plain:
+        return F.array(*[F.array().cast("array<string>")] * 3)
     named, numbered, _ = _marked(text)
     plain = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
     found = lambda c, pattern: F.transform(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), F.lower)
@@ -75,11 +85,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     text_hash is xxhash64 of the text (empty for null), by which rows without an id can be told apart.
     """
-    items = benchmark.select(F.col(item).alias("item"), tokens(F.col(item_text)).alias("tokens"), slots(F.col(item_text)).alias("slots")).filter(F.size("tokens") > 0)
+    args = (docs, benchmark, key, text, item, item_text, coverage, window)
+    found, candidates = _leaks(*args, False)
+    more, _ = _leaks(*args, True)
+    if candidates is None:
+        return more
+    found = found.withColumn(fresh("plain", [key, item]), F.lit(False))
+    more = more.withColumn(found.columns[-1], F.lit(True))
+    held = candidates.select(F.col("c_id").alias("__id"), F.col("t").alias("__t"), F.col("item").alias("__item"))
+    pair = F.col(key).eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__t")) & (F.col(item) == F.col("__item"))
+    part = more.filter("matched < windows").join(held, pair, "left_anti")
+    rows = found.unionByName(more.filter("matched = windows")).unionByName(part)
+    best = rows.groupBy(key, item, "text_hash").agg(F.min_by(F.struct(*[c for c in found.columns if c not in (key, item, "text_hash")]), found.columns[-1]).alias("__row"))
+    return best.select(key, item, "__row.*", "text_hash").select(*found.columns[:-1])
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, coverage: float, window: int, plain: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Hits by one form, and the candidates (c_id, t, item) before their slots were read; None without items."""
+    items = benchmark.select(F.col(item).alias("item"), tokens(F.col(item_text), plain).alias("tokens"), slots(F.col(item_text), plain).alias("slots")).filter(F.size("tokens") > 0)
     items = items.withColumn("length", F.least(F.size("tokens"), F.lit(window)))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # as many as a window has tokens at most
     if not lengths:
-        return docs.limit(0).select(F.col(key), *(F.lit(None).cast(t).alias(c) for c, t in ((item, benchmark.schema[item].dataType), ("windows", "long"), ("matched", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"), ("verbatim", "boolean"), ("text_hash", "long"))))
+        return docs.limit(0).select(F.col(key), *(F.lit(None).cast(t).alias(c) for c, t in ((item, benchmark.schema[item].dataType), ("windows", "long"), ("matched", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"), ("verbatim", "boolean"), ("text_hash", "long")))), None
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1), lambda i: F.slice("tokens", i, F.col("length")))).alias("at", "tokens")
     parts = items.select("item", "length", at)
     ordinary = F.size(F.filter("tokens", lambda t: ~t.isin(NAME, NUMBER, UNIT)))
@@ -90,16 +117,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         hashes = F.broadcast(hashes)
 
     keyed = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    tokened = keyed.select("id", "t", tokens(F.col("text")).alias("tokens"))
+    tokened = keyed.select("id", "t", tokens(F.col("text"), plain).alias("tokens"))
     every = F.concat(*[windows(F.col("tokens"), n) for n in lengths]) if len(lengths) > 1 else windows(F.col("tokens"), lengths[0])
     hits = tokened.select("id", "t", F.explode(every).alias("h")).join(hashes, "h").distinct()
     met = hits.join(parts.select("h", "item", "at"), "h").groupBy("id", "t", "item").agg(F.countDistinct("at").alias("n"))
     candidates = met.join(totals, "item").filter(F.col("n") >= F.col("total") * coverage).select(F.col("id").alias("c_id"), "t", "item")
 
+    candidates = materialise(candidates, "candidates")
+
     # The texts of candidates alone are read again, with positions and values.
     chosen = candidates.select("c_id", "t").distinct()
     same = keyed["id"].eqNullSafe(chosen["c_id"]) & (keyed["t"] == chosen["t"])
-    read = keyed.join(chosen, same, "left_semi").dropDuplicates(["id", "t"]).select(F.xxhash64("id", "t").alias("doc"), "id", "t", tokens(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots"))
+    read = keyed.join(chosen, same, "left_semi").dropDuplicates(["id", "t"]).select(F.xxhash64("id", "t").alias("doc"), "id", "t", tokens(F.col("text"), plain).alias("tokens"), slots(F.col("text"), plain).alias("slots"))
     asked = candidates.select(F.xxhash64("c_id", "t").alias("doc"), "item").join(parts, "item")
     spots = None
     for n in lengths:
@@ -118,4 +147,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     kept = found.join(judged, ["doc", "item", "diagonal"], "left").filter("given is null or given = read")
     out = kept.groupBy("doc", "item").agg(F.countDistinct("at").alias("matched"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.min(F.coalesce("changed", F.lit(0))).alias("changed"))
     out = out.join(totals, "item").filter(F.col("matched") >= F.col("total") * coverage).join(read.select("doc", "id", "t"), "doc")
-    return out.select(F.col("id").alias(key), F.col("item").alias(item), F.col("total").alias("windows"), "matched", F.round(F.col("matched") / F.col("total"), 6).alias("coverage"), "slots", "changed", (F.col("changed") == 0).alias("verbatim"), F.col("t").alias("text_hash"))
+    return out.select(F.col("id").alias(key), F.col("item").alias(item), F.col("total").alias("windows"), "matched", F.round(F.col("matched") / F.col("total"), 6).alias("coverage"), "slots", "changed", (F.col("changed") == 0).alias("verbatim"), F.col("t").alias("text_hash")), candidates
