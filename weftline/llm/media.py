@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import arrow_map, slices
 
 #: Blocks in a row and at most in a column of a frame.
 ACROSS, DOWN = 8, 8
@@ -332,7 +332,7 @@ def to_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 made = [payload(x) for x in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([n for _, n in made], pa.int64()), pa.array([write_avi(x) for x, _ in made], pa.binary())], names=[key, "n_bytes", "media"])
 
-    return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
+    return arrow_map(df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
 def clips(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -353,7 +353,7 @@ def clips(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[key, "clip", "first_frame", "end_frame", "start_s", "end_s", "error"])
 
-    return df.select(F.col(key), F.col(media)).mapInArrow(run, f"`{key}` {kind.simpleString()}, clip int, first_frame int, end_frame int, start_s double, end_s double, error string")
+    return arrow_map(df.select(F.col(key), F.col(media)), run, f"`{key}` {kind.simpleString()}, clip int, first_frame int, end_frame int, start_s double, end_s double, error string")
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,4 +374,4 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             rows = [row(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=names)
 
-    return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import arrow_map, materialise
 
 TRAINING_ROWS = 12_000
 #: Share of the toxic training rows in which a suspect word or beginning stands at least.
@@ -218,14 +218,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     bad = sum(r.mark for r in marks if grows(r.id))
     good = sum(1 - r.mark for r in marks if grows(r.id))
     least = max(LEAST_ROWS, LEAST_SHARE * bad)
-    counted = rows.mapInArrow(spelled, "word string, mark int").groupBy("word").agg(F.sum("mark").alias("bad"), F.sum(F.lit(1) - F.col("mark")).alias("good")).filter(F.col("bad") >= least)
+    counted = arrow_map(rows, spelled, "word string, mark int").groupBy("word").agg(F.sum("mark").alias("bad"), F.sum(F.lit(1) - F.col("mark")).alias("good")).filter(F.col("bad") >= least)
     suspects = suspects_of([tuple(r) for r in counted.toLocalIterator()], bad, good)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t, suspects) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))], names=["id", "mark", "x"])
 
-    got = sorted(rows.mapInArrow(measured, "id string, mark int, x array<double>").collect())
+    got = sorted(arrow_map(rows, measured, "id string, mark int, x array<double>").collect())
     return fit([r.id for r in got], np.array([r.x for r in got]).reshape(len(got), len(NAMES)), np.array([r.mark for r in got]), suspects)
 
 
@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             out = [held_out(k) for k in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[key, "held_out", "score", "predicted"])
 
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return arrow_map(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -250,4 +250,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score_texts([x or "" for x in batch.column(place).to_pylist()]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
