@@ -7,12 +7,13 @@ Jaccard similarity with concentration bounds. Bands of ROWS bins are hashed: BAN
 0.8 with a probability of 1e-7.
 
 Texts with equal sets are one node, named by the least id. In each bucket (a band's value) all members are compared with
-its least member on their full sets, which costs rows in proportion to the members. Buckets whose members these links
-leave in several components are mixed; nodes that mixed buckets connect form a group. All pairs of a group that lie in
-different components are compared on their full sets within tasks, at most BLOCK members against BLOCK at a time: a
-group is cut into blocks, each pair of blocks is a task's work, and what leaves a task is links between components, not
-pairs. So no link between members of a bucket is lost, and no pairs are written. A group of g members moves
-g * g / BLOCK sets.
+its least member on their full sets, which costs rows in proportion to the members; the members of a hot leader are dealt
+over salts, to each of which its set is copied. Buckets whose members these links leave in several components are mixed;
+nodes that mixed buckets connect form a crowd. A crowd that fits into a block (BLOCK members and ELEMENTS shingles) is
+compared as a whole. In a larger crowd each mixed bucket is compared by itself, of buckets with the same members one, as
+other pairs share no bucket. All pairs of a group in different components are compared on their full sets within tasks,
+a block against a block at a time: what leaves a task is links between components, not pairs. So no link between members
+of a bucket is lost, and no pairs are written. Only a bucket of g members beyond a block moves g * g / BLOCK sets.
 
 Defined cases: words are runs of other characters than space and \\t \\n \\v \\f \\r, with A-Z lower-cased; texts with
 fewer words than a shingle are one shingle; null texts and texts without words have an empty set and link with nothing.
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, partitions
+from .shared import arrow_map, copied, dealt, hot, materialise, partitions
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-#: Members of a group that are compared with as many others at once, and members that share a shingle from which its pairs are counted by a matrix product.
-BLOCK, DENSE = 1024, 24
+#: Members of a group that are compared with as many others at once, their shingles together, and members that share a shingle from which its pairs are counted by a matrix product.
+BLOCK, ELEMENTS, DENSE = 512, 500_000, 24
 _REMEMBERED = 100_000
 _U = np.uint64
 
@@ -55,6 +56,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64 bits."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -119,28 +124,32 @@ def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
             values = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))], names=["id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return arrow_map(texts, run, "id long, n_shingles long, digest binary, bands array<long>", _forget)
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, members array<long>) of (node, text)."""
+    """(node, size, members array<long>) of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py(), width).view(np.int64) for x in batch.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in found])]).astype(np.int32)
             values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))], names=["node", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))], names=["node", "size", "members"])
 
-    return docs.mapInArrow(run, "node long, members array<long>")
+    return arrow_map(docs, run, "node long, size int, members array<long>", _forget)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
-    a, b = held.select(F.col("node").alias("a"), F.col("members").alias("x")), held.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    """Those of pairs (a, b), each given once, whose full sets meet 100 * intersection >= percent * union."""
+    counted = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    heavy = materialise(hot(counted, ["a"], pairs.count()), "hot-leaders")
+    b = held.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    a = copied(held.join(counted.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"), F.col("members").alias("x")), heavy, ["a"])
     # Sizes alone settle some pairs before the sets meet.
-    met = pairs.join(b, "b").join(a, "a").filter(F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent)
-    return met.withColumn("both", F.size(F.array_intersect("x", "y"))).filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b").distinct()
+    met = dealt(pairs, heavy, ["a"], ["b"]).join(b, "b").join(a, ["a", "salt"]).filter(F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent)
+    return met.withColumn("both", F.size(F.array_intersect("x", "y"))).filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b")
 
 
 def intersections(found: list[np.ndarray]) -> np.ndarray:
@@ -178,8 +187,9 @@ def _joining(rows: list[tuple], percent: int, apart: bool) -> list[tuple[int, in
     if parts.min() == parts.max():
         return []
     blocks, sizes = np.array([r[1] for r in rows]), np.array([len(r[2]) for r in rows], np.float64)
-    both = intersections([r[2] for r in rows]).astype(np.float64)
-    good = both * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])
+    both = intersections([r[2] for r in rows])
+    # Sets of a block have fewer than 2**24 shingles, so single precision holds the counts; the sum is compared in double.
+    good = both.astype(np.float64) * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])
     good &= parts[:, None] < parts[None, :]
     if apart:
         good &= blocks[:, None] != blocks[None, :]
@@ -202,24 +212,24 @@ def _joining(rows: list[tuple], percent: int, apart: bool) -> list[tuple[int, in
 
 
 def _compared(percent: int):
-    """Rows (a, b) of linked components from rows (crowd, i, j, component, block, members), sorted by the first three."""
+    """Rows (a, b) of linked components from rows (kind, crowd, i, j, component, block, members), sorted by the first four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def links():
-            found = _joining(held, percent, now[1] != now[2]) if len(held) > 1 else []
+            found = _joining(held, percent, now[2] != now[3]) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in range(5)))
-            members = batch.column(5)
+            keys = zip(*(batch.column(c).to_pylist() for c in range(6)))
+            members = batch.column(6)
             flat, ends = members.flatten().to_numpy(zero_copy_only=False), np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))
-            for (crowd, i, j, component, block), size, end in zip(keys, members.value_lengths().to_pylist(), ends):
-                if now != (crowd, i, j):
+            for (kind, crowd, i, j, component, block), size, end in zip(keys, members.value_lengths().to_pylist(), ends):
+                if now != (kind, crowd, i, j):
                     if held:
                         yield links()
-                    now, held = (crowd, i, j), []
+                    now, held = (kind, crowd, i, j), []
                 held.append((component, block, flat[end - size : end].copy()))
         if held:
             yield links()
@@ -227,6 +237,25 @@ def _compared(percent: int):
     return run
 
 
+def _groups_to_compare(left: DataFrame, crowds: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(kind, crowd, i, j, block, node): for each pair of blocks (i, j) of a group its nodes; groups are crowds that fit into a block (kind 0), else buckets (kind 1)."""
+    weighed = lambda rows: rows.groupBy("crowd").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / ELEMENTS)).cast("int").alias("blocks"))
+    placed = crowds.join(sizes, "node")
+    of_crowds = weighed(placed)
+    whole = placed.join(of_crowds.filter("blocks = 1"), "crowd").select(F.lit(0).alias("kind"), "crowd", "node", "blocks")
+
+    large = placed.join(of_crowds.filter("blocks > 1").select("crowd"), "crowd", "left_semi").select("node", "size")
+    in_buckets = left.select(F.col("bucket").alias("crowd"), "node").join(large, "node")
+    # Buckets with the same members say the same; 128 bits name a bucket's members whatever their order.
+    named = in_buckets.groupBy("crowd").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    one = named.groupBy("n", "x", "y").agg(F.min("crowd").alias("crowd")).select("crowd")
+    chosen = in_buckets.join(one, "crowd")
+    parts = chosen.join(weighed(chosen), "crowd").select(F.lit(1).alias("kind"), "crowd", "node", "blocks")
+
+    rows = whole.union(parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("kind", "crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
+
+
 def joined(nodes: DataFrame, texts: DataFrame, given: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of nodes (node, bands) that verified links or given ones (a, b) join; texts are (node, text)."""
     spark = nodes.sparkSession
@@ -234,19 +263,17 @@ def joined(nodes: DataFrame, texts: DataFrame, given: DataFrame, width: int, per
     shared = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").select("bucket", "leader")
     members = materialise(placed.join(shared, "bucket").select("bucket", "leader", "node").distinct(), "buckets")
     held = materialise(sets(texts.join(members.select("node").distinct(), "node"), width), "shingles")
-    tried = members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    tried = materialise(members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     named = materialise(components(_verified(tried, held, percent).union(given)), "components")
 
     now = members.select("bucket", "node").join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high").select("bucket", "first")
-    left = materialise(now.join(mixed, "bucket").select("first", "node", "component").distinct(), "left")
-    crowds = materialise(components(left.select(F.col("first").alias("a"), F.col("node").alias("b"))), "crowds")
-    sizes = crowds.groupBy(F.col("component").alias("crowd")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = crowds.select("node", F.col("component").alias("crowd")).join(left.select("node", "component").distinct(), "node").join(sizes, "crowd")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "block", "node").join(held, "node").drop("node")
-    dealt = rows.repartition(partitions(spark), "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j").select("crowd", "i", "j", "component", "block", "members")
-    lifted = materialise(dealt.mapInArrow(_compared(percent), "a long, b long"), "lifted")
+    left = materialise(now.join(mixed, "bucket").select("bucket", "first", "node", "component"), "left")
+    crowds = materialise(components(left.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()).withColumnRenamed("component", "crowd"), "crowds")
+    dealt_out = _groups_to_compare(left, crowds, held.groupBy("node").agg(F.sum("size").alias("size"))).join(left.select("node", "component").distinct(), "node").join(held.select("node", "members"), "node")
+    order = ["kind", "crowd", "i", "j"]
+    dealt_out = dealt_out.repartition(partitions(spark), *order).sortWithinPartitions(*order).select(*order, "component", "block", "members")
+    lifted = materialise(arrow_map(dealt_out, _compared(percent), "a long, b long"), "lifted")
     # Components meet in a graph of components, which is small.
     moved = components(lifted).select(F.col("node").alias("component"), F.col("component").alias("to"))
     known = members.select("node").union(named.select("node")).distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
