@@ -4,9 +4,10 @@ A rolling hash over the hashes of the last two lines ends a chunk wherever it is
 or deleted line moves boundaries near it only. Chunks of two non-blank lines or more that occur again anywhere are
 removed everywhere but at their first place, least by (id, text hash, number), after their bytes are compared.
 
-Distribution: chunk hashes are counted with map-side combination; only hashes that repeat meet their occurrences again,
-in a join that can be split at a hot hash; only repeated chunks carry their text. Documents are shuffled by their own
-key: their texts for the comparison, their rows for the result.
+Distribution: chunk hashes are written once, counted with map-side combination, and those that repeat meet their
+occurrences again; only repeated chunks carry their text. The occurrences of a hot hash are dealt over salts, to each of
+which its first place is copied. Documents are shuffled by their own key: their texts for the comparison, their rows for
+the result.
 
 Defined cases: null text stays null and has no lines removed. A text without a repeated chunk is unchanged to the byte;
 one whose every chunk goes becomes empty and its row stays. Lines end at \\n alone, so \\r stays in its line. Rows that
@@ -23,26 +24,19 @@ space at their units' ends. A passage that repeats within itself (a line over an
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, fresh
+from .shared import WORD, copied, dealt, fresh, hot, let, materialise, partitions
 
 #: One line in so many ends a chunk.
 DIVISOR = 3
-_NEWLINE = "\n"
+_NEWLINE, _SPACES = "\n", " \t\n\v\f\r"
 #: Words of the shortest passage, and of the longest line that is not cut into sentences.
 LEAST, PARAGRAPH = 10, 50
 _LINE_END, _SENTENCE_END = r"\n(?![\x20\x09\x0B-\x0D]*(?:\n|\z))", r"(?<=[.!?]\x20)(?=[^\x20])"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, which a lambda that names a column does not promise."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def line_hash(line: Column) -> Column:
     """The first 32 bits of the line's md5, as a number."""
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
@@ -59,9 +53,9 @@ def chunks(text: Column, divisor: int = DIVISOR) -> Column:
     def cut(lines: Column, e: Column) -> Column:
         start = lambda k: F.coalesce(F.get(e, k - 1) + 1, F.lit(0))
         body = lambda x, k: F.slice(lines, start(k) + 1, x - start(k) + 1)
-        return F.transform(e, lambda x, k: _let(body(x, k), lambda b: F.struct(k.alias("no"), F.size(b).alias("lines"), F.array_join(b, _NEWLINE).alias("text"))))
+        return F.transform(e, lambda x, k: let(body(x, k), lambda b: F.struct(k.alias("no"), F.size(b).alias("lines"), F.array_join(b, _NEWLINE).alias("text"))))
 
-    return _let(F.split(text, _NEWLINE, -1), lambda lines: _let(F.transform(lines, line_hash), lambda h: _let(ends(h), lambda e: cut(lines, e))))
+    return let(F.split(text, _NEWLINE, -1), lambda lines: let(F.transform(lines, line_hash), lambda h: let(ends(h), lambda e: cut(lines, e))))
 
 
 def _many(text: Column) -> Column:
@@ -73,22 +67,28 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", diviso
     """docs with repeated chunks taken out of text, and a last column line_dedup (or fresh() of that): struct<removed_chunks, removed_lines, lines>."""
     plain = F.coalesce(F.col(text), F.lit(""))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(plain).alias("t"), F.xxhash64(plain, F.lit(1)).alias("u")).alias("doc"), whole.alias("row"))
     held = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
 
     occurs = keyed.select("doc", F.explode(chunks(held, divisor)).alias("c")).filter((F.col("c.lines") > 1) & _many(F.col("c.text")))
-    hashed = occurs.select("doc", F.col("c.no").alias("no"), F.xxhash64("c.text").alias("h"))
-    counted = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no")).alias("first")).filter("n > 1")
-    repeated = hashed.join(counted.select("h"), "h").groupBy("doc").agg(F.collect_set("no").alias("nos"))
+    hashed = materialise(occurs.select("doc", F.col("c.no").alias("no"), F.xxhash64("c.text").alias("h")), "chunks")
+    counted = materialise(hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-chunks")
+    heavy = _hot(counted, ["h"])
+    again = copied(counted.select("h"), heavy, ["h"])
+    repeated = dealt(hashed, heavy, ["h"], ["doc", "no"]).join(again, ["h", "salt"]).groupBy("doc").agg(F.collect_set("no").alias("nos"))
 
     # The texts of repeated chunks: grouping by them compares bytes, and a hash that two texts share does no harm.
-    dealt = keyed.repartition(parts, "doc")
-    asked = dealt.select("doc", held.alias("text")).join(repeated, "doc").select("doc", F.explode(F.filter(chunks(F.col("text"), divisor), lambda c: F.array_contains("nos", c["no"]))).alias("c"))
+    placed = keyed.repartition(partitions(docs.sparkSession), "doc")
+    asked = placed.select("doc", held.alias("text")).join(repeated, "doc").select("doc", F.explode(F.filter(chunks(F.col("text"), divisor), lambda c: F.array_contains("nos", c["no"]))).alias("c"))
     asked = asked.select("doc", F.col("c.no").alias("no"), F.col("c.lines").alias("lines"), F.col("c.text").alias("text"), F.xxhash64("c.text").alias("h"))
     first = asked.groupBy("h", "text").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = asked.join(first, ["h", "text"]).filter(F.struct("doc", "no") != F.col("first")).groupBy("doc").agg(F.collect_set("no").alias("nos"), F.sum("lines").alias("lines"))
-    return _rebuilt(dealt.join(gone, "doc", "left"), docs, text, divisor)
+    met = dealt(asked, heavy, ["h"], ["doc", "no"]).join(copied(first, heavy, ["h"]), ["h", "text", "salt"])
+    gone = met.filter(F.struct("doc", "no") != F.col("first")).groupBy("doc").agg(F.collect_set("no").alias("nos"), F.sum("lines").alias("lines"))
+    return _rebuilt(placed.join(gone, "doc", "left"), docs, text, divisor)
+
+
+def _hot(counted: DataFrame, keys: list[str]) -> DataFrame:
+    return hot(counted, keys, counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
 
 
 def _rebuilt(found: DataFrame, docs: DataFrame, text: str, divisor: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _rebuilt(found: DataFrame, docs: DataFrame, text: str, divisor: int) -> Data
 def units(text: Column) -> Column:
     """array<struct<line, text, body, words>>: lines, or their sentences, in order; body has no white space at its end."""
     def unit(line: Column, x: Column) -> Column:
-        return F.struct(line.alias("line"), x.alias("text"), F.regexp_replace(x, r"[\x20\x09-\x0D]+\z", "").alias("body"), F.regexp_count(x, F.lit(WORD)).alias("words"))
+        return F.struct(line.alias("line"), x.alias("text"), F.rtrim(x, F.lit(_SPACES)).alias("body"), F.regexp_count(x, F.lit(WORD)).alias("words"))
 
     cut = lambda x: F.when(F.regexp_count(x, F.lit(WORD)) > PARAGRAPH, F.split(x, _SENTENCE_END, -1)).otherwise(F.array(x))
     return F.flatten(F.transform(F.split(text, _LINE_END, -1), lambda x, i: F.transform(cut(x), lambda y: unit(i, y))))
@@ -114,39 +114,39 @@ def passages(held: Column) -> Column:
     def spans(words: Column) -> Column:
         # Every unit but a first blank one has a word. The fold holds 1000 * units + words until these are enough.
         step = lambda a, w: F.when(a % 1000 >= LEAST, a).otherwise(a + 1000 + F.least(w, F.lit(LEAST)))
-        fewest = lambda some: _let(F.aggregate(some, F.lit(0), step), lambda a: F.when(a % 1000 >= LEAST, (a / 1000).cast("int")))
+        fewest = lambda some: let(F.aggregate(some, F.lit(0), step), lambda a: F.when(a % 1000 >= LEAST, (a / 1000).cast("int")))
         on = F.transform(words, lambda w, i: F.struct(i.alias("at"), F.when(w >= LEAST, 1).otherwise(fewest(F.slice(words, i + 1, LEAST + 1))).alias("n")))
         before = lambda i: F.reverse(F.slice(words, F.greatest(i - LEAST, F.lit(0)) + 1, F.least(i, F.lit(LEAST)) + 1))
-        up = F.transform(words, lambda w, i: F.when(w < LEAST, _let(fewest(before(i)), lambda n: F.when(n.isNotNull(), F.struct((i - n + 1).alias("at"), n.alias("n"))))))
+        up = F.transform(words, lambda w, i: F.when(w < LEAST, let(fewest(before(i)), lambda n: F.when(n.isNotNull(), F.struct((i - n + 1).alias("at"), n.alias("n"))))))
         both = lambda o: F.concat(o, F.filter(up, lambda s: s.isNotNull() & ~F.get(o, s["at"])["n"].eqNullSafe(s["n"])))
-        return F.filter(_let(on, both), lambda s: s["n"].isNotNull())
+        return F.filter(let(on, both), lambda s: s["n"].isNotNull())
 
     body = lambda u, s: F.array_join(F.transform(F.slice(u, s["at"] + 1, s["n"]), lambda x: x["body"]), _NEWLINE)
-    return _let(held, lambda u: F.transform(_let(F.transform(u, lambda x: x["words"]), spans), lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), body(u, s).alias("text"))))
+    return let(held, lambda u: F.transform(let(F.transform(u, lambda x: x["words"]), spans), lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), body(u, s).alias("text"))))
 
 
 def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the passages that stand somewhere before, and a last column line_dedup (or fresh() of that): struct<removed_units, removed_words, units>."""
     plain = F.coalesce(F.col(text), F.lit(""))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(plain).alias("t")).alias("doc"), whole.alias("row"))
     held = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
 
-    # One exchange of two independent 64-bit hashes serves the count and the join; texts cross the network for the result alone.
+    # Two independent 64-bit hashes stand for a passage; texts cross the network for the result alone.
     named = lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), F.xxhash64(p["text"]).alias("h"), F.xxhash64(F.lit(1), p["text"]).alias("g"))
-    hashed = keyed.select("doc", F.explode(F.transform(passages(units(held)), named)).alias("p")).select("doc", "p.*").repartition(parts, "h", "g")
-    first = hashed.groupBy("h", "g").agg(F.count("*").alias("count"), F.min(F.struct("doc", "at")).alias("first")).filter("count > 1").drop("count")
-    later = hashed.join(first, ["h", "g"]).filter(F.struct("doc", "at") != F.col("first"))
+    hashed = materialise(keyed.select("doc", F.explode(F.transform(passages(units(held)), named)).alias("p")).select("doc", "p.*"), "passages")
+    first = materialise(hashed.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).filter("n > 1"), "repeated-passages")
+    heavy = _hot(first, ["h", "g"])
+    met = dealt(hashed, heavy, ["h", "g"], ["doc", "at"]).join(copied(first.drop("n"), heavy, ["h", "g"]), ["h", "g", "salt"])
+    later = met.filter(F.struct("doc", "at") != F.col("first"))
     gone = later.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("no")).groupBy("doc").agg(F.collect_set("no").alias("nos"))
 
-    dealt = keyed.repartition(parts, "doc")
-    own = units(F.col(f"row.`{text}`"))
-    found = dealt.join(gone, "doc", "left").withColumn("units", own)
-    out = lambda i: F.array_contains("nos", i)
-    left = F.filter("units", lambda x, i: ~out(i))
-    joined = _let(left, lambda kept: F.array_join(F.transform(kept, lambda x, i: F.concat(F.when((i > 0) & (x["line"] != F.get(kept, i - 1)["line"]), _NEWLINE).otherwise(""), x["text"])), ""))
-    columns = [F.when(F.col("nos").isNull(), F.col(f"row.`{c}`")).otherwise(joined).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    words = F.aggregate(F.filter("units", lambda x, i: out(i)), F.lit(0), lambda a, x: a + x["words"])
-    told = F.struct(F.coalesce(F.size("nos"), F.lit(0)).alias("removed_units"), F.coalesce(F.when(F.col("nos").isNotNull(), words), F.lit(0)).alias("removed_words"), F.when(F.col(f"row.`{text}`").isNull(), 0).otherwise(F.size("units")).alias("units"))
+    found = keyed.repartition(partitions(docs.sparkSession), "doc").join(gone, "doc", "left")
+    own, out = F.col(f"row.`{text}`"), lambda i: F.array_contains("nos", i)
+    part = lambda kept: lambda x, i: F.concat(F.when((i > 0) & (x["line"] != F.get(kept, i - 1)["line"]), _NEWLINE).otherwise(""), x["text"])
+    # Units are cut again only where some go.
+    joined = let(F.filter(units(own), lambda x, i: ~out(i)), lambda kept: F.array_join(F.transform(kept, part(kept)), ""))
+    columns = [F.when(F.col("nos").isNull(), own).otherwise(joined).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    words = F.aggregate(F.filter(units(own), lambda x, i: out(i)), F.lit(0), lambda a, x: a + x["words"])
+    told = F.struct(F.coalesce(F.size("nos"), F.lit(0)).alias("removed_units"), F.when(F.col("nos").isNotNull(), words).otherwise(0).alias("removed_words"), F.when(own.isNull(), 0).otherwise(F.size(units(own))).alias("units"))
     return found.select(*columns, told.alias(fresh("line_dedup", docs.columns)))
