@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, materialise
+from .shared import fresh, let, materialise
 
 WINDOW, LITERALS, COVERAGE = 5, 3, 0.5
 BROADCAST_WINDOWS = 500_000
@@ -38,27 +38,45 @@ _NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*"
 _UNIT = rf"(?<={NUMBER} {{1,2}})(?i:{'|'.join(UNITS)})(?!\p{{L}})"
 
 
-def _marked(text: Column) -> tuple[Column, Column, Column]:
-    """The text with placeholders for names, then also for numbers, then also for units."""
-    clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
-    named = F.regexp_replace(clean, _NAME, NAME)
-    numbered = F.when(named.rlike("[0-9]"), F.regexp_replace(named, _NUMBER, f" {NUMBER} ")).otherwise(named)
-    return named, numbered, F.when(F.contains(numbered, F.lit(NUMBER)), F.regexp_replace(numbered, _UNIT, UNIT)).otherwise(numbered)
+def _clean(text: Column) -> Column:
+    """text, empty for null, without the placeholders' characters; most texts have none, and a search is cheaper than a copy."""
+    held = F.coalesce(text, F.lit(""))
+    return F.when(held.rlike(f"[{NAME}-{UNIT}]"), F.translate(held, NAME + NUMBER + UNIT, "")).otherwise(held)
+
+
+def _numbered(named: Column) -> Column:
+    return F.when(named.rlike("[0-9]"), F.regexp_replace(named, _NUMBER, f" {NUMBER} ")).otherwise(named)
+
+
+def _unit_marked(numbered: Column) -> Column:
+    return F.when(F.contains(numbered, F.lit(NUMBER)), F.regexp_replace(numbered, _UNIT, UNIT)).otherwise(numbered)
+
+
+def _split(text: Column, pattern: str) -> Column:
+    """The parts between matches; only the first and the last can be empty, and go."""
+    def inner(t: Column) -> Column:
+        first = F.when(F.get(t, 0) == "", 2).otherwise(1)
+        last = F.size(t) - F.when(F.get(t, F.size(t) - 1) == "", 1).otherwise(0)
+        return F.slice(t, first, F.greatest(last - first + 1, F.lit(0)))
+
+    return let(F.split(F.lower(text), pattern), inner)
 
 
 def tokens(text: Column, plain: bool = False) -> Column:
     """The template tokens of a text, or its plain ones."""
     if plain:
-        return F.array_remove(F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")), r"[^\p{L}\p{N}]+"), "")
-    return F.array_remove(F.split(F.lower(_marked(text)[2]), rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"), "")
+        return _split(_clean(text), r"[^\p{L}\p{N}]+")
+    marked = let(F.regexp_replace(_clean(text), _NAME, NAME), lambda named: let(_numbered(named), _unit_marked))
+    return _split(marked, rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+")
 
 
 def slots(text: Column, plain: bool = False) -> Column:
     """array<array<string>>: in order, the values of the name, number and unit placeholders, of which plain tokens have none."""
     if plain:
         return F.array(*[F.array().cast("array<string>")] * 3)
-    named, numbered, _ = _marked(text)
-    plain = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
+    plain = _clean(text)
+    named = F.regexp_replace(plain, _NAME, NAME)
+    numbered = _numbered(named)
     found = lambda c, pattern: F.transform(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), F.lower)
     return F.array(found(plain, _NAME), found(named, _NUMBER), found(numbered, _UNIT))
 
@@ -68,8 +86,24 @@ def windows(held: Column, length: int) -> Column:
     def of(t: Column) -> Column:
         return F.when(F.size(t) >= length, F.transform(F.sequence(F.lit(1), F.size(t) - length + 1), lambda i: F.xxhash64(F.slice(t, i, length)))).otherwise(F.array().cast("array<bigint>"))
 
-    each = F.transform(held, lambda w: F.xxhash64(w))
-    return F.get(F.transform(F.array(each), of), 0)
+    return let(F.transform(held, lambda w: F.xxhash64(w)), of)
+
+
+def window_rows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """rows without tokens and with h: a row for each window of each of lengths, hashed as windows() does.
+
+    Shifted arrays are zipped and exploded, so that windows are hashed in generated code; the hash of an array is that of
+    its elements as columns.
+    """
+    rest = [c for c in rows.columns if c != "tokens"]
+    each = rows.select(*rest, F.transform("tokens", lambda w: F.xxhash64(w)).alias("e"))
+    last = F.greatest(F.size("e"), F.lit(1))
+    shifted = each.select(*rest, *[F.slice("e", i + 1, last).alias(f"w{i}") for i in range(max(lengths))])
+    places = shifted.select(*rest, F.explode(F.arrays_zip(*[f"w{i}" for i in range(max(lengths))])).alias("w"))
+    ends = lambda n: F.when(F.col(f"w.w{n - 1}").isNotNull(), F.xxhash64(*[F.col(f"w.w{i}") for i in range(n)]))
+    if len(lengths) == 1:
+        return places.select(*rest, ends(lengths[0]).alias("h")).filter("h is not null")
+    return places.select(*rest, F.explode(F.array(*map(ends, lengths))).alias("h")).filter("h is not null")
 
 
 def _placed(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -118,8 +152,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
 
     keyed = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     tokened = keyed.select("id", "t", tokens(F.col("text"), plain).alias("tokens"))
-    every = F.concat(*[windows(F.col("tokens"), n) for n in lengths]) if len(lengths) > 1 else windows(F.col("tokens"), lengths[0])
-    hits = tokened.select("id", "t", F.explode(every).alias("h")).join(hashes, "h").distinct()
+    hits = window_rows(tokened, lengths).join(hashes, "h").distinct()
     met = hits.join(parts.select("h", "item", "at"), "h").groupBy("id", "t", "item").agg(F.countDistinct("at").alias("n"))
     candidates = met.join(totals, "item").filter(F.col("n") >= F.col("total") * coverage).select(F.col("id").alias("c_id"), "t", "item")
 
