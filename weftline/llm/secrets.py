@@ -4,7 +4,8 @@ Labelled credentials of each kind become a prefix tree with counts. States whose
 Hoeffding bound are merged (red-blue order, folding subtrees), which leaves one probabilistic automaton a kind: its
 literal beginnings stay chains and its random parts become loops. Each candidate, a maximal run of token characters of
 sixteen or more with digits and letters, of any length, is scored by its mean log-likelihood ratio a character against a background
-of running text and hosts; those above the threshold that lie in no base span are added as spans of kind "format".
+of running text and hosts; those above the threshold are added as spans of kind "format", unless a base span is just that
+run. So a labelled credential behind "token=" has its assign span and the span of its own value.
 
 Base spans (assign, access, hex) are the fixed patterns of patterns(); they stay whatever the automata say. Offsets
 are code points, ends exclusive.
@@ -20,15 +21,15 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import arrow_map
+
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -97,8 +98,6 @@ class Automaton:
                     return False
                 if c in self.next[x] and c in self.next[y] and self.next[x][c] != self.next[y][c]:
                     todo.append((self.next[x][c], self.next[y][c]))
-                if len(todo) > 4000:
-                    return True
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -212,14 +211,12 @@ class Scanner:
         for a, b in runs:
             found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
             found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text, a, b)]
-        held = sorted((a, b) for _, a, b in found)
-        starts, reach = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+        held = {(a, b) for _, a, b in found}
         for a, b in runs:
             word = text[a:b].strip("=.-/_+")
             if self.automata and len(word) >= 16 and any(map(str.isdigit, word)) and any(map(str.isalpha, word)):
                 start = text.index(word, a)
-                before = bisect_left(starts, start + len(word)) - 1
-                if (before < 0 or reach[before] <= start) and self.ratio(word) >= self.threshold:
+                if (start, start + len(word)) not in held and self.ratio(word) >= self.threshold:
                     found.append(("format", start, start + len(word)))
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -234,7 +231,7 @@ def scan(docs: DataFrame, scanner: Scanner, key: str = "doc_id", text: str = "te
             kinds = [batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[key, "kind", "start", "end", "value"])
 
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"`{key}` {kind}, kind string, start long, end long, value string")
+    return arrow_map(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), run, f"`{key}` {kind}, kind string, start long, end long, value string")
 
 
 def digests(docs: DataFrame, scanner: Scanner, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,4 +246,4 @@ def digests(docs: DataFrame, scanner: Scanner, key: str = "doc_id", text: str =
             base = [hashlib.sha256(joined([s for s in spans if s[0] != "format"]).encode()).hexdigest() for spans in all_spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array([joined(s) for s in all_spans], pa.string())], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return arrow_map(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
