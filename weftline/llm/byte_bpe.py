@@ -1,7 +1,8 @@
 """Operator 3: byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 A rank file (base64 token, rank) becomes a tokenizers BPE model: each byte is written as one printable character
-(the usual byte-to-character table), merges follow the ranks, and a piece that is a token itself is taken whole.
+(the usual byte-to-character table), merges follow the ranks, and a piece that is a token itself is taken whole. Decoding
+reverses that table: the tokens' characters are joined and each becomes its byte again.
 The text is split into pieces first; each distinct piece is encoded once per worker while a bounded table holds it.
 
 Defined cases: null text is the empty text, with no ids. Very long texts are one row as any other. Repeated rows
@@ -15,19 +16,21 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import arrow_map, slices
 
-#: Pieces that a worker remembers.
-REMEMBERED = 120_000
+#: Pieces that a worker remembers, pieces that the library encodes at once, and characters whose pieces stand in memory at once.
+REMEMBERED, AT_ONCE, CHARACTERS = 50_000, 4096, 1 << 18
 #: Characters for which the standard library's classes agree with the pattern's: ASCII, Latin letters, common signs.
 PLAIN = re.compile("[\t-\r\x20-\x7e\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-⁞₠-₵]*")
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -51,14 +54,16 @@ class Codec:
 
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.to_byte = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.general = pattern != _rank_pattern()
         self.characters = byte_characters()
         self.table = {i: c for i, c in enumerate(self.characters)}
+        self.bytes = np.zeros(512, np.uint8)
+        self.bytes[[ord(c) for c in self.characters]] = np.arange(256)
         spell = lambda token: token.decode("latin-1").translate(self.table)
+        self.spelled = {r: spell(t) for t, r in self.ranks.items()}
         merges = [tuple(map(spell, self._parts(t, r))) for t, r in sorted(self.ranks.items(), key=lambda x: x[1]) if len(t) > 1]
-        self.model = Tokenizer(models.BPE(vocab={spell(t): r for t, r in self.ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0))
+        self.model = Tokenizer(models.BPE(vocab={t: r for r, t in self.spelled.items()}, merges=merges, ignore_merges=True, cache_capacity=0))
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _parts(self, token: bytes, rank: int) -> list[bytes]:
@@ -84,10 +89,11 @@ class Codec:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(pieces)
-        spelled = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) for p in new]
-        for piece, got in zip(new, self.model.encode_batch_fast(spelled, add_special_tokens=False)):
-            ids = tuple(got.ids)
-            self.known[piece] = ids, " ".join(map(str, ids))
+        for a in range(0, len(new), AT_ONCE):
+            spelled = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) for p in new[a : a + AT_ONCE]]
+            for piece, got in zip(new[a : a + AT_ONCE], self.model.encode_batch_fast(spelled, add_special_tokens=False)):
+                ids = tuple(got.ids)
+                self.known[piece] = ids, " ".join(map(str, ids))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
@@ -99,12 +105,13 @@ class Codec:
         data = text.encode("utf-8", "surrogatepass")
         starts = [(b & 0xC0) != 0x80 for b in data]
         before = [0, *accumulate(map(int, starts))]
-        ends = list(accumulate(len(self.to_byte[i]) for i in ids))
+        ends = list(accumulate(len(self.spelled[i]) for i in ids))
         return [(before[a + 1] - 1, before[b]) for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids) -> bytes:
-        """The ids' bytes; an id outside the vocabulary raises KeyError."""
-        return b"".join(map(self.to_byte.__getitem__, ids))
+        """The ids' characters, each turned back into its byte; an id outside the vocabulary raises KeyError."""
+        spelled = "".join(map(self.spelled.__getitem__, ids))
+        return self.bytes[np.frombuffer(spelled.encode("utf-16-le"), np.uint16)].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -117,6 +124,8 @@ def _rank_pattern() -> str:
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each worker process, whose millions of lasting tuples the cycle collector need not visit."""
+    # A worker has one core's share; threads of the library would each keep memory.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     made = Codec(path, pattern)
     gc.freeze()
     gc.set_threshold(200_000, 50, 1000)
@@ -131,7 +140,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
         own = codec(path, pattern)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARACTERS):
                 ids = [own.encode(x) for x in texts[a:b]]
                 spans = [own.offsets(x, i) for x, i in zip(texts[a:b], ids)]
                 yield pa.RecordBatch.from_arrays(
@@ -139,7 +148,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
                     names=[key, "ids", "starts", "ends"],
                 )
 
-    return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
+    return arrow_map(df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), run, f"`{key}` {kind.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -152,7 +161,7 @@ def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str
             data = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array([None if x is None else x.decode("utf-8", "replace") for x in data], pa.string())], names=[key, "data", "text"])
 
-    return df.select(F.col(key), F.col(ids)).mapInArrow(run, f"`{key}` {kind.simpleString()}, data binary, text string")
+    return arrow_map(df.select(F.col(key), F.col(ids)), run, f"`{key}` {kind.simpleString()}, data binary, text string")
 
 
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,7 +173,7 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
         for batch in batches:
             texts = batch.column(1).to_pylist()
             counts, names, back = [], [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARACTERS):
                 split = [own.pieces(x) for x in texts[a:b]]
                 own.learn(set(chain.from_iterable(split)))
                 for pieces in split:
@@ -175,7 +184,7 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
                     back.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"`{key}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), run, f"`{key}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def count_tokens(df: DataFrame, path: str, pattern: str, columns: list[str], text: str = "text") -> DataFrame:
@@ -186,11 +195,11 @@ def count_tokens(df: DataFrame, path: str, pattern: str, columns: list[str], tex
         own = codec(path, pattern)
         for batch in batches:
             texts, counts = batch.column(batch.num_columns - 1).to_pylist(), []
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARACTERS):
                 split = [own.pieces(x) for x in texts[a:b]]
                 own.learn(set(chain.from_iterable(split)))
                 counts += [sum([len(own.known[p][0]) for p in pieces]) for pieces in split]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*columns, "n_tokens"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(run, f"{out}, n_tokens long")
+    return arrow_map(df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__text")), run, f"{out}, n_tokens long")
