@@ -302,3 +302,11 @@ def test_pipeline_stages(spark):
             assert after.columns == columns and len(rows) > 0.7 * len(before)
         docs = spark.createDataFrame(rows, docs.schema)
         before = {r.doc_id: r.text for r in rows}
+
+
+def test_near_dedup_stage_of_repeated_rows_and_null_ids(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(3, words), (3, words), (None, words), (7, words + " tail"), (None, "another text that nothing else is like"), (None, "another text that nothing else is like"), (9, None), (9, None), (11, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").select(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("?"))).collect())
+    assert got == [(-1, "another text that nothing else is like"), (3, words), (9, "?"), (11, "")]

@@ -193,3 +193,23 @@ def test_isotonic_is_the_least_squares_fit():
     x, y = np.arange(6.0), np.array([0, 1, 0, 1, 0, 1.0])
     knots, values = toxicity.isotonic(x, y)
     assert np.allclose(np.interp(x, knots, values), [0, 0.5, 0.5, 0.5, 0.5, 1])
+
+
+def test_secrets_values_of_assignments():
+    scanner = secrets.Scanner(secrets.example_credentials())
+    word = next(w for k, w in secrets.example_credentials(1, seed=99) if k == "payment key")
+    spans = scanner.spans(f'api_key = "{word}"')
+    assert ("assign", 0, 11 + len(word)) in spans and ("format", 11, 11 + len(word)) in spans
+
+
+def test_token_counts_query_equals_a_plain_count(spark):
+    sf = "/root/testdata/sf0.001"
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(queries.RANKS, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        held = want.setdefault((r.source, r.lang), [0, 0, 0])
+        for i, n in enumerate((1, len(plain.encode_ordinary(r.text or "")), len(r.text or ""))):
+            held[i] += n
+    got = {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_chars] for r in queries.op6_token_counts(spark, sf).collect()}
+    assert got == want

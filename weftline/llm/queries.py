@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontamination, line_dedup, media, near_dedup, secrets, suffix_dedup, token_counts, toxicity, url_filters
-from .shared import shared_dir, table
+from .shared import materialise, shared_dir, table
 
 #: The vocabulary of the token queries; operators take any path.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,11 +43,18 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch, sent twice as by a retry; the second is left alone."""
+    """Totals of all documents by way of inserts, a third of them with an estimated count, their revision by the true
+    counts, deletes of a fifth and their return; each batch is sent twice, as by a retry, and the second is left alone.
+    """
     store = token_counts.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
-    batch = token_counts.counted(table(spark, sf_dir, "documents"), "byte_bpe_50k", RANKS, PATTERN)
-    store.commit("documents", batch)
-    store.commit("documents", batch)
+    rows = materialise(token_counts.counted(table(spark, sf_dir, "documents"), "byte_bpe_50k", RANKS, PATTERN, also=("doc_id",)), "counted")
+    part = lambda n: F.coalesce(F.pmod("doc_id", F.lit(n)) == 0, F.lit(False))
+    estimated = rows.withColumn("n_tokens", F.when(part(3), F.ceil(F.col("n_chars") / 4)).otherwise(F.col("n_tokens")))
+    gone = rows.filter(part(5))
+    batches = {"inserts": estimated, "revised": token_counts.revised(estimated.filter(part(3)), rows.filter(part(3))), "deletes": token_counts.deleted(gone), "back": gone}
+    for name, batch in batches.items():
+        store.commit(name, batch)
+        store.commit(name, batch)
     return store.totals()
 
 
