@@ -1,18 +1,20 @@
 """PRJ1-PRJ4, WIN7: texts to chunks that end at readable boundaries, with the overlap before each.
 
-The walk over a text is a fold over a sequence whose length bounds the number of chunks; all of it stays in the JVM and
-in the row of its text, so nothing is shuffled.
+The walk over a text needs to look back from places that depend on the walk itself, and Spark's strings find a place only
+by counting from their start; so the walk is an Arrow function over the text column, linear in the text, and all else is
+columns. A text's chunks are made in its row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import chunk_filename, chunk_point_id, sha256
-from ..functions.text import last_end
 
 
 @dataclass(frozen=True)
@@ -30,66 +32,61 @@ class SplitterConfig:
             raise ValueError("chunk_size is at least 1, the other settings at least 0")
 
 
-#: Boundaries by rank: kind and pattern of what a chunk may end with.
-BOUNDARIES = (("paragraph", "\n\n"), ("line", "\n"), ("sentence", "[!.?]"), ("space", " "))
+#: Boundaries by rank: kind and the strings that a chunk may end with.
+BOUNDARIES = (("paragraph", ("\n\n",)), ("line", ("\n",)), ("sentence", ("!", ".", "?")), ("space", (" ",)))
+_CHUNK = "array<struct<start:int,kind:string,overlap_text:string,chunk_text:string>>"
 
 
-def split_end(text: Column, start: Column, config: SplitterConfig) -> Column:
-    """PRJ2: where the chunk that begins at start (from 0) ends."""
-    size = F.length(text)
-    hard = F.least(start + config.chunk_size, size)
-    if not config.max_lookback:
-        return hard
-    low = F.greatest(start, hard - config.max_lookback)
-    window = F.substring(text, low + 1, hard - low)
-    found = F.coalesce(*[F.nullif(last_end(window, pattern), F.lit(0)) for _, pattern in BOUNDARIES])
-    end = F.coalesce(low + found, hard)
-    return F.when((hard == size) | (end <= start), hard).otherwise(end)
+def walk(text: str, config: SplitterConfig) -> Iterator[tuple[int, int, str]]:
+    """PRJ1, PRJ2: (start, end, kind) of each chunk; kind says what ended it: last (the text's end), a kind of BOUNDARIES, or hard."""
+    size, start = len(text), 0
+    if size <= config.chunk_size:
+        yield 0, size, "last"
+        return
+    while start < size:
+        hard = min(start + config.chunk_size, size)
+        end, kind = hard, "last" if hard == size else "hard"
+        if hard < size and config.max_lookback:
+            low = max(start, hard - config.max_lookback)
+            for name, marks in BOUNDARIES:
+                found = max(text.rfind(m, low, hard) + len(m) if text.find(m, low, hard) >= 0 else 0 for m in marks)
+                if found:
+                    end, kind = found, name
+                    break
+        yield start, end, kind
+        start = end
 
 
-def boundary_kind(text: Column, start: Column, end: Column, config: SplitterConfig) -> Column:
-    """PRJ2: which rule ended a chunk: last (the text's end), a kind of BOUNDARIES, or hard."""
-    hard = F.least(start + config.chunk_size, F.length(text))
-    low = F.greatest(start, hard - config.max_lookback)
-    window = F.substring(text, low + 1, hard - low)
-    found = F.coalesce(*[F.when(last_end(window, p) > 0, k) for k, p in BOUNDARIES]) if config.max_lookback else F.lit(None).cast("string")
-    return F.when(end == F.length(text), "last").otherwise(F.coalesce(found, F.lit("hard")))
+def _listed(make: Callable[[str], list], kind: pa.DataType, returned: str) -> Callable[[Column], Column]:
+    """An Arrow function from a text to the list that make gives; null texts give null."""
+
+    @F.arrow_udf(returned)
+    def each(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else make(t) for t in texts.to_pylist()], pa.list_(kind))
+
+    return each
 
 
 def chunk_starts(text: Column, config: SplitterConfig) -> Column:
     """array<int>: the start of each chunk, and the text's length behind the last."""
-    size = F.length(text)
-    least = max(1, config.chunk_size - max(config.max_lookback - 1, 0))
-    turns = F.ceil(size / least).cast("int") + 1
-    fold = F.aggregate(
-        F.sequence(F.lit(1), turns),
-        F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts")),
-        lambda s, _: F.when(s["at"] >= size, s).otherwise(_step(text, s, config)),
-        lambda s: s["starts"],
-    )
-    return F.when(size <= config.chunk_size, F.array(F.lit(0), size)).otherwise(fold)
+    return _listed(lambda t: [*(a for a, _, _ in walk(t, config)), len(t)], pa.int32(), "array<int>")(text)
 
 
-def _step(text: Column, s: Column, config: SplitterConfig) -> Column:
-    bound = F.transform(F.array(split_end(text, s["at"], config)), lambda e: F.struct(e.alias("at"), F.concat(s["starts"], F.array(e)).alias("starts")))
-    return F.get(bound, 0)
+def chunks_of(text: Column, config: SplitterConfig) -> Column:
+    """WIN7: the chunks of a text in order, each with its start, what ended it, and the overlap before it."""
+    kind = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("overlap_text", pa.string()), ("chunk_text", pa.string())])
+    made = lambda t: [{"start": a, "kind": k, "overlap_text": t[max(0, a - config.overlap_size) : a], "chunk_text": t[a:b]} for a, b, k in walk(t, config)]
+    return _listed(made, kind, _CHUNK)(text)
 
 
 def split(docs: DataFrame, config: SplitterConfig, text: str = "text") -> DataFrame:
-    """docs with chunk_number, total_chunks, start, overlap_text and chunk_text, one row a chunk; null texts have none.
+    """docs with chunk_number, total_chunks, start, boundary, overlap_text and chunk_text, one row a chunk; null texts have none.
 
     An empty text is one empty chunk, as a text that fits into one chunk is returned as it is.
     """
-    rows = docs.filter(F.col(text).isNotNull()).withColumn("__starts", chunk_starts(F.col(text), config))
-    # An exploded row carries its place in the text and cuts it once; the array of starts goes.
-    bounds = F.transform(F.slice("__starts", 1, F.size("__starts") - 1), lambda a, i: F.struct(a.alias("start"), F.get(F.col("__starts"), i + 1).alias("stop")))
-    rows = rows.withColumn("total_chunks", F.size("__starts") - 1).select(*docs.columns, "total_chunks", F.posexplode(bounds).alias("__i", "__b"))
-    start, stop = F.col("__b.start"), F.col("__b.stop")
-    low = F.greatest(F.lit(0), start - config.overlap_size)
-    return rows.select(
-        *docs.columns, (F.col("__i") + 1).alias("chunk_number"), "total_chunks", start.alias("start"),
-        F.substring(F.col(text), low + 1, start - low).alias("overlap_text"), F.substring(F.col(text), start + 1, stop - start).alias("chunk_text"),
-    )
+    rows = docs.filter(F.col(text).isNotNull()).withColumn("__chunks", chunks_of(F.col(text), config))
+    rows = rows.select(*docs.columns, F.size("__chunks").alias("total_chunks"), F.posexplode("__chunks").alias("__i", "__c"))
+    return rows.select(*docs.columns, (F.col("__i") + 1).alias("chunk_number"), "total_chunks", F.col("__c.start").alias("start"), F.col("__c.kind").alias("boundary"), F.col("__c.overlap_text").alias("overlap_text"), F.col("__c.chunk_text").alias("chunk_text"))
 
 
 def chunk_records(chunks: DataFrame, world: Column, world_id: Column, book: Column, source: Column) -> DataFrame:

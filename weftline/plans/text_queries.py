@@ -59,8 +59,7 @@ def chunk_split_paragraphs(spark, sf_dir):
 def chunk_boundary_kinds(spark, sf_dir):
     """PRJ2: what ended the chunks of each language."""
     chunks = chunking.split(table(spark, sf_dir, "documents").select("lang", "text"), CONFIG)
-    kind = chunking.boundary_kind(F.col("text"), F.col("start"), F.col("start") + F.length("chunk_text"), CONFIG)
-    return chunks.groupBy("lang", kind.alias("kind")).agg(F.count("*").alias("chunks"))
+    return chunks.groupBy("lang", F.col("boundary").alias("kind")).agg(F.count("*").alias("chunks"))
 
 
 @query("chunk_stats", _chunks(also=", lang") + " SELECT lang, count(*) AS chunks, sum(e - s)::BIGINT AS characters, max(e - s)::BIGINT AS longest, count(DISTINCT w.doc_id) AS documents FROM w JOIN d ON w.doc_id = d.doc_id GROUP BY lang")
