@@ -51,13 +51,19 @@ def after_attempt(status: Column, retries: Column, rate_limited: Column, retryab
     return F.when(rate_limited | (retryable & (spent < RETRIES)), PENDING).otherwise(FAILED), spent
 
 
+#: What a provider's message says of a limit's kind and place.
+DAILY, TOKENS = ("REQUESTS_PER_DAY", "PER DAY", "RPD"), ("TOKENS_PER_MINUTE", "TPM")
+OF_PROJECT, OF_CREDENTIAL = ("PROJECT",), ("API KEY", "API_KEY", "CREDENTIAL")
+
+
 def rate_limit(code: Column, message: Column) -> tuple[Column, Column, Column]:
-    """SC14: (limit type, scope, retryable) of a provider's error; type is null unless the code is 429."""
+    """SC14: (limit type, scope, retryable) of a provider's error; type is null unless the code is 429, and all else is of the model."""
     said = F.upper(F.coalesce(message, F.lit("")))
     has = lambda *words: F.greatest(*[F.contains(said, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(said, F.lit(words[0]))
-    kind = F.when(has("REQUESTS_PER_DAY", "PER DAY", "RPD"), "rpd").when(has("TOKENS_PER_MINUTE", "TPM"), "tpm").otherwise("rpm")
-    scope = F.when(code != 429, "model").when(has("PROJECT"), "project").when(has("API KEY", "API_KEY", "CREDENTIAL"), "credential").otherwise("model")
-    return F.when(code == 429, kind), F.coalesce(scope, F.lit("model")), F.coalesce((code >= 500) | (code == 429), F.lit(False))
+    limited = F.coalesce(code == 429, F.lit(False))
+    kind = F.when(has(*DAILY), "rpd").when(has(*TOKENS), "tpm").otherwise("rpm")
+    scope = F.when(~limited, "model").when(has(*OF_PROJECT), "project").when(has(*OF_CREDENTIAL), "credential").otherwise("model")
+    return F.when(limited, kind), scope, F.coalesce((code >= 500) | limited, F.lit(False))
 
 
 def graph_error(error_class: Column) -> Column:

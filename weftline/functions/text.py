@@ -1,4 +1,4 @@
-"""String expressions whose results must not depend on the engine: Unicode strip, last match, slugs, estimates."""
+"""String expressions whose results must not depend on the engine: Unicode strip, slugs, estimates."""
 
 from __future__ import annotations
 
@@ -20,11 +20,6 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(f"[^{SPACE}]")
 
 
-def last_end(window: Column, pattern: str) -> Column:
-    """SC2: end of the last match of a one-match pattern, counted from 1 in code points; 0 if there is none."""
-    return F.length(F.regexp_extract(window, f"(?s)^.*(?:{pattern})", 0))
-
-
 def collapse(text: Column) -> Column:
     """SC4: runs of white space become one space; none at the ends."""
     return strip(F.regexp_replace(text, f"[{SPACE}]+", " "))
@@ -53,9 +48,23 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4).cast("int"))
 
 
+#: A drive, and characters that no part of a path has.
+_DRIVE, _NOT_IN_PATHS = r"[A-Za-z]:\\", r'/:*?"<>|\r\n'
+
+
 def redact_paths(line: Column) -> Column:
-    """PRJ18: a Windows path keeps its last part only."""
-    return F.regexp_replace(line, r'[A-Za-z]:\\(?:[^\\/:*?"<>|\r\n]+\\)*([^\\/:*?"<>|\r\n]+)', r"<local-path>\\$1")
+    """PRJ18: of a Windows path its drive and folders become a mark and its last part stays; a drive alone stays too.
+
+    The line is cut before each drive; a part that begins with one is cut behind the folders, which end at a backslash.
+    """
+
+    def shortened(part: Column) -> Column:
+        rest = F.substring(part, F.lit(4), F.length(part))
+        folders = F.regexp_extract(rest, rf"^((?:[^\\{_NOT_IN_PATHS}]+\\)*)[^\\{_NOT_IN_PATHS}]", 1)
+        named = rest.rlike(rf"^[^\\{_NOT_IN_PATHS}]")
+        return F.when(part.rlike(f"^{_DRIVE}") & named, F.concat(F.lit("<local-path>\\"), F.substring(rest, F.length(folders) + 1, F.length(rest)))).otherwise(part)
+
+    return F.array_join(F.transform(F.split(line, f"(?={_DRIVE})"), shortened), "")
 
 
 def suffix(path: Column) -> Column:

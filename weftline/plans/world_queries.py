@@ -78,6 +78,7 @@ def scheduler_wait(spark, sf_dir):
 _MESSAGES = [
     (429, "Quota exceeded: REQUESTS_PER_DAY for project 12"), (429, "limit: tokens_per_minute"), (429, "Too many requests"), (429, "This api key is over its RPD"), (429, "credential quota, TPM"),
     (500, "internal, project 3"), (503, "overloaded"), (400, "bad request per day"), (None, "unknown"), (429, None),
+    (None, "project over quota"), (None, "api key bad"), (None, None),
 ]
 _MESSAGES_SQL = ", ".join(f"({i}, {'NULL' if c is None else c}, {'NULL' if m is None else chr(39) + m + chr(39)})" for i, (c, m) in enumerate(_MESSAGES))
 
@@ -140,12 +141,15 @@ def model_surface(spark, sf_dir):
     return worlds.model_settings(spark.createDataFrame(rows, kind), definitions, "chat")
 
 
-_LINES = [r"loaded C:\Users\a b\books\one.txt", "no path here", r"D:\x", r"from E:\a\b\c.json; F:\d\e.json"]
+_LINES = [r"loaded C:\Users\a b\books\one.txt", "no path here", r"D:\x", r"from E:\a\b\c.json; F:\d\e.json", "only G:\\", None]
+_LINES_SQL = ", ".join(f"({i}, {'NULL' if x is None else chr(39) + x + chr(39)})" for i, x in enumerate(_LINES))
 
 
-@query("path_redaction", """
-        SELECT id, regexp_replace(line, '[A-Za-z]:\\\\(?:[^\\\\/:*?"<>|\r\n]+\\\\)*([^\\\\/:*?"<>|\r\n]+)', '<local-path>\\\\\\1', 'g') AS line
-        FROM (VALUES (0, 'loaded C:\\Users\\a b\\books\\one.txt'), (1, 'no path here'), (2, 'D:\\x'), (3, 'from E:\\a\\b\\c.json; F:\\d\\e.json')) t(id, line)""")
+@query("path_redaction", f"""
+        WITH parts AS (SELECT id, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS part FROM (SELECT id, string_split(regexp_replace(line, '([A-Za-z]:\\\\)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM (VALUES {_LINES_SQL}) t(id, line))),
+        cut AS (SELECT *, regexp_matches(part, '^[A-Za-z]:\\\\[^\\\\/:*?"<>|\r\n]') AS path, string_split(substr(part, 4), chr(92)) AS names FROM parts),
+        kept AS (SELECT id, n, CASE WHEN path THEN '<local-path>' || chr(92) || names[len(names)] ELSE part END AS part FROM cut)
+        SELECT t.id, string_agg(part, '' ORDER BY n) AS line FROM (VALUES {_LINES_SQL}) t(id, line) LEFT JOIN kept ON kept.id = t.id GROUP BY t.id""")
 def path_redaction(spark, sf_dir):
     """PRJ18."""
     rows = spark.createDataFrame(list(enumerate(_LINES)), "id int, line string")
