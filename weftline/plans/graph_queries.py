@@ -55,9 +55,9 @@ def extraction_parse(spark, sf_dir):
 
 
 def _raw_nodes(spark, sf_dir):
-    """Names are roles and first words; descriptions are beginnings of the text, some of them blank."""
+    """Names are roles; descriptions are the texts, some of them blank."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
-    text = F.when(F.col("conv_id") % 7 == 3, F.lit(" \t")).otherwise(F.concat(F.lit(" "), F.substring("text", 1, 12), F.lit("\n")))
+    text = F.when(F.col("conv_id") % 7 == 3, F.lit(" \t")).otherwise(F.concat(F.lit(" "), "text", F.lit("\n")))
     return c.select("conv_id", "seq", F.concat(F.lit("\t"), "role").alias("display_name"), text.alias("description"))
 
 
@@ -66,7 +66,7 @@ def _nodes(spark, sf_dir):
 
 
 _NODES_SQL = f"""
-        raw AS (SELECT conv_id, turn AS seq, role AS name, {sql_strip("CASE WHEN conv_id % 7 = 3 THEN ' ' ELSE ' ' || substr(text, 1, 12) || chr(10) END")} AS d FROM conversations),
+        raw AS (SELECT conv_id, turn AS seq, role AS name, {sql_strip("CASE WHEN conv_id % 7 = 3 THEN ' ' ELSE ' ' || text || chr(10) END")} AS d FROM conversations),
         firsts AS (SELECT conv_id, name, d, min(seq) AS seq FROM raw WHERE d <> '' AND name <> '' GROUP BY ALL),
         nodes AS (SELECT conv_id, name AS display_name, string_agg(d, chr(10) || chr(10) ORDER BY seq, d) AS description, min(seq) AS first_seq FROM firsts GROUP BY conv_id, name),
         ids AS (SELECT *, {sql_uuid5(f"'{NAMESPACE}'", f"'graph-candidate:{RUN}:book:1:chunk:' || conv_id || ':node:' || display_name")} AS node_id FROM nodes)"""
@@ -88,7 +88,7 @@ def _raw_edges(spark, sf_dir):
     """Each turn points from its role to one chosen by its number; strengths run from 0 to 11, so some are invalid."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     to = F.get(F.array(F.lit("user"), F.lit("assistant"), F.lit("nobody")), (F.col("seq") % 3).cast("int"))
-    return c.select("conv_id", "seq", F.col("role").alias("source_display_name"), to.alias("target_display_name"), F.substring("text", 1, 10).alias("description"), ((F.col("conv_id") + F.col("seq")) % 12).cast("int").alias("strength"))
+    return c.select("conv_id", "seq", F.col("role").alias("source_display_name"), to.alias("target_display_name"), F.col("text").alias("description"), ((F.col("conv_id") + F.col("seq")) % 12).cast("int").alias("strength"))
 
 
 def _edges(spark, sf_dir, nodes=None):
@@ -96,7 +96,7 @@ def _edges(spark, sf_dir, nodes=None):
 
 
 _EDGES_SQL = f"""
-        raw_edges AS (SELECT conv_id, turn AS seq, role AS s, CASE turn % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'nobody' END AS t, {sql_strip("substr(text, 1, 10)")} AS d, ((conv_id + turn) % 12)::INT AS strength FROM conversations),
+        raw_edges AS (SELECT conv_id, turn AS seq, role AS s, CASE turn % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'nobody' END AS t, {sql_strip("text")} AS d, ((conv_id + turn) % 12)::INT AS strength FROM conversations),
         edges AS (SELECT e.*, a.node_id AS source_node_id, b.node_id AS target_node_id, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.seq) AS edge_number
                   FROM raw_edges e JOIN ids a ON a.conv_id = e.conv_id AND a.display_name = e.s JOIN ids b ON b.conv_id = e.conv_id AND b.display_name = e.t WHERE e.strength BETWEEN 1 AND 10 AND e.d <> ''),
         edge_ids AS (SELECT *, {sql_uuid5(f"'{NAMESPACE}'", f"'graph-candidate:{RUN}:book:1:chunk:' || conv_id || ':edge:' || edge_number || ':' || s || ':' || t || ':' || d || ':' || strength")} AS edge_id FROM edges)"""
