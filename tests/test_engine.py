@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators.chunking import SplitterConfig
+from weftline.operators.manifestation import GraphStoreUnavailable
 from weftline.plans.engine import CHUNKS, Models, World, WorldLocked
 from weftline.plans.providers import standin_embedder, standin_extractor
 
@@ -64,3 +65,58 @@ def test_failed_chunk_pauses_and_resumes(spark, tmp_path):
     open(flag, "w").close()
     after = make(spark, tmp_path / "w", models).ingest(str(source))
     assert after["complete"] and after["run"] == report["run"]
+
+
+def counting(log, answers):
+    """An extractor that notes each prompt's kind in a file; answers(kind, earlier calls of that kind) is what it says, or None for a good answer."""
+
+    def extract(prompt):
+        kind = "glean" if "### Known nodes" in prompt else "initial"
+        with open(log, "a+") as f:
+            f.seek(0)
+            before = f.read().split().count(kind)
+            f.write(kind + " ")
+        return answers(kind, before) or {"text": '{"nodes":[{"display_name":"Mara","description":"met"},{"display_name":"Tor","description":"too"}],"edges":[{"source_display_name":"Mara","target_display_name":"Tor","description":"met","strength":5}]} ---COMPLETE---'}
+
+    return extract
+
+
+def ran(spark, tmp_path, answers, **more):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in/a.txt").write_text("Mara met Tor.")
+    log = str(tmp_path / "log")
+    open(log, "w").close()
+    report = make(spark, tmp_path / "w", Models(standin_embedder(), counting(log, answers), in_flight=1, **more)).ingest(str(tmp_path / "in"))
+    return report, open(log).read().split()
+
+
+def test_malformed_answers_spend_attempts(spark, tmp_path):
+    bad = lambda kind, before: {"text": "not json ---COMPLETE---"} if kind == "initial" else None
+    report, calls = ran(spark, tmp_path, bad)
+    assert calls == ["initial"] * 3 and report["extraction"] == "failed" and not report["complete"] and report["nodes"] == 0
+
+
+def test_rate_limits_spend_none_and_gleans_resume_alone(spark, tmp_path):
+    limited = lambda kind, before: {"code": "LIMIT", "rate_limited": True, "retryable": True} if kind == "glean" else None
+    report, calls = ran(spark, tmp_path, limited)
+    assert calls == ["initial", "glean"] and report["extraction"] == "partial"
+    report, calls = ran(spark, tmp_path, lambda kind, before: None)
+    assert calls == ["glean"] and report["complete"] and report["nodes"] == 2 and report["edges"] == 2
+
+
+class Away:
+    def write_nodes(self, rows):
+        raise GraphStoreUnavailable("away")
+
+    write_edges = write_nodes
+
+
+def test_graph_sink_that_is_away_and_too_long_texts(spark, tmp_path):
+    none = lambda kind, before: None
+    report, _ = ran(spark, tmp_path, none, graph=Away())
+    assert report["manifestation"] == "partial" and not report["complete"]
+    report, calls = ran(spark, tmp_path, none)
+    assert calls == [] and report["complete"]
+    (tmp_path / "more").mkdir()
+    report, calls = ran(spark, tmp_path / "more", none, count_tokens=len, embed_limit=1000, extract_limit=5)
+    assert calls == [] and report["embedding"] == "completed" and report["extraction"] == "failed"

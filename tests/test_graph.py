@@ -63,7 +63,50 @@ def test_node_writes_and_unavailable_sink(spark, tmp_path):
     assert not ok and {r.write_status for r in kept.collect()} == {"pending"}
     done, ok = manifestation.write_nodes(states, manifestation.TableWriter(str(tmp_path / "nodes"), "node_id"))
     assert ok and {r.node_id: r.write_status for r in done.collect()} == {"a": "written", "b": "pending", "c": "written"}
-    assert spark.read.parquet(str(tmp_path / "nodes")).count() == 2
+    writer = manifestation.TableWriter(str(tmp_path / "nodes"), "node_id")
+    like = spark.createDataFrame([("a", "new"), ("d", "x")], "node_id string, world_uuid string")
+    assert writer.rows(like).count() == 2
+    for _ in range(2):
+        writer.write(like)
+    assert {r.node_id: r.world_uuid for r in writer.rows(like).collect()} == {"a": "new", "c": "", "d": "x"}
+    with pytest.raises(ValueError):
+        writer.write(like.union(like))
+
+
+class Refusing:
+    def write_nodes(self, rows):
+        raise OSError("refused")
+
+    write_edges = write_nodes
+
+
+def test_failed_writes_spend_attempts(spark):
+    states = spark.createDataFrame([("a", "embedded", "pending", 0), ("b", "embedded", "pending", 2), ("c", "pending", "pending", 0)], "node_id string, embedding_status string, write_status string, retry_count int")
+    found, there = manifestation.write_nodes(states, Refusing())
+    assert there and {r.node_id: (r.write_status, r.retry_count) for r in found.collect()} == {"a": ("pending", 1), "b": ("failed", 3), "c": ("pending", 0)}
+
+
+def test_edges_need_both_ends_in_the_graph(spark, tmp_path):
+    graph = manifestation.TableGraph(str(tmp_path / "g"))
+    graph.write_nodes(spark.createDataFrame([("a", "w"), ("b", "w")], "node_id string, world_uuid string"))
+    edges = spark.createDataFrame([("e", "a", "b", "pending", 0), ("f", "a", "x", "pending", 0), ("g", "a", "b", "waiting_dependency", 0)], "edge_id string, source_node_id string, target_node_id string, status string, retry_count int")
+    done, there = manifestation.write_edges(edges, graph, "w")
+    assert there and {r.edge_id: r.status for r in done.collect()} == {"e": "written", "f": "written", "g": "waiting_dependency"}
+    assert [r.edge_id for r in graph.edges.rows(spark.createDataFrame([], "edge_id string")).collect()] == ["e"]
+
+
+def test_many_queries_go_in_blocks(spark):
+    points = spark.createDataFrame([(i, 0, [float(i % 7), 1.0]) for i in range(40)], "point_id int, label int, vector array<float>")
+    asked = points.selectExpr("point_id as query_id", "vector as query_vector", "label")
+    rows = lambda n: sorted(map(tuple, vectors.top_k_batch(points, asked, 3, 0.1, "label", n).collect()))
+    assert rows(7) == rows(10_000) and len(rows(7)) == 120
+
+
+def test_responses_are_judged_alike(spark):
+    good = '{"nodes":[{"display_name":"a","description":"b"}],"edges":[]}'
+    texts = [good + extraction.MARKER, good, "not json " + extraction.MARKER, "[1]" + extraction.MARKER, f"```json\n{good}\n```\n{extraction.MARKER} more", f"Sure: {good} done {extraction.MARKER}", '{"nodes":[{"display_name":1,"description":"b"}],"edges":[]}' + extraction.MARKER, '{"nodes":[]}' + extraction.MARKER, "", '{"nodes":[],"edges":[],"x":NaN}' + extraction.MARKER]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, response string")
+    assert {r.i: r.error for r in extraction.parse(rows).collect()} == {i: extraction.response_value(t)[1] for i, t in enumerate(texts)}
 
 
 def test_reconcile_twice_changes_nothing(spark):

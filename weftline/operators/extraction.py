@@ -1,7 +1,9 @@
-"""PRJ10-PRJ14, AGG1, JN1, FLT5, FLT6, WIN2, WIN6, SET3: model responses to graph candidates of a chunk."""
+"""PRJ10-PRJ14, AGG1, JN1, FLT5, FLT6, WIN2, WIN6: model responses to graph candidates of a chunk."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,30 @@ def parse(responses: DataFrame, response: str = "response") -> DataFrame:
     return rows.withColumn("nodes", F.when(good, nodes)).withColumn("edges", F.when(good, edges)).drop("__whole", "__json", "__nodes", "__edges")
 
 
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def response_value(response: str) -> tuple[dict | None, str | None]:
+    """PRJ12-PRJ14 for one response where it is received, before its attempt is judged: its object, or what is wrong with it."""
+    before, mark, _ = response.partition(MARKER)
+    if not mark:
+        return None, INCOMPLETE
+    body = before.strip()
+    if body.startswith("```"):
+        lines = body.split("\n")[1:]
+        body = "\n".join(lines[:-1] if lines and lines[-1].strip() == "```" else lines).strip()
+    elif -1 < body.find("{") < body.rfind("}"):
+        body = body[body.find("{") : body.rfind("}") + 1]
+    try:
+        value = json.loads(body, parse_constant=_no_constant)
+    except ValueError:
+        return None, INVALID_JSON
+    lists = [(value.get("nodes"), _NODE), (value.get("edges"), _EDGE)] if isinstance(value, dict) else [(None, ())]
+    good = all(isinstance(items, list) and all(isinstance(x, dict) and all(isinstance(x.get(f), str) for f in fields) for x in items) for items, fields in lists)
+    return (value, None) if good else (None, INVALID_SCHEMA)
+
+
 def whole_strength(value: Column) -> Column:
     """FLT5: the integer from 1 to 10 in a variant, or null; booleans, decimals and strings are none."""
     number = F.when(_of_kind(value, "BIGINT"), F.try_variant_get(value, "$", "bigint"))
@@ -94,21 +120,23 @@ def merge_edges(raw: DataFrame, nodes: DataFrame, keys: list[str], world: Column
     return found.withColumn("edge_id", candidate_id(world, run, book, chunk, key))
 
 
-def passes(initial: DataFrame, gleans: DataFrame) -> DataFrame:
-    """SET3: the initial pass, then the gleans in order, as one frame with pass_order."""
-    return initial.withColumn("pass_order", F.lit(0)).unionByName(gleans.withColumn("pass_order", F.col("pass_number")))
-
-
 def initial_prompt(instructions: str, chunk_text: Column, overlap: Column) -> Column:
     """PRJ10: instructions, context and chunk, under headings, separated by blank lines; blank context is (none)."""
     shown = F.coalesce(F.nullif(strip(F.coalesce(overlap, F.lit(""))), F.lit("")), F.lit("(none)"))
     return F.concat_ws("\n\n", F.lit(instructions.strip()), F.lit("### Context before the chunk (reference only)"), shown, F.lit("### Chunk"), chunk_text)
 
 
-def gleaning_prompt(instructions: str, chunk_text: Column, overlap: Column, earlier: Column, nodes: Column, edges: Column) -> Column:
-    """PRJ11: the initial form and what is known already: earlier passes (strings), merged nodes and edges (structs)."""
-    listed = lambda items, line: F.when(F.size(items) > 0, F.array_join(F.transform(items, line), "\n")).otherwise("(none)")
-    known_nodes = listed(nodes, lambda n: F.concat(F.lit("- "), n["display_name"], F.lit(": "), n["description"]))
-    known_edges = listed(edges, lambda e: F.concat(F.lit("- "), e["source_display_name"], F.lit(" -> "), e["target_display_name"], F.lit(": "), e["description"], F.lit(" (strength "), e["strength"].cast("string"), F.lit(")")))
-    before = F.when(F.size(earlier) > 0, F.array_join(earlier, "\n\n")).otherwise("(none)")
-    return F.concat_ws("\n\n", initial_prompt(instructions, chunk_text, overlap), F.lit("### Earlier passes"), before, F.lit("### Known nodes"), known_nodes, F.lit("### Known edges"), known_edges)
+def pass_prompt(instructions: str, text: str, overlap: str, earlier: list[str]) -> str:
+    """PRJ10, PRJ11 for one chunk: the initial form, and for a glean what is known: earlier passes, merged nodes and edges."""
+    parts = [instructions.strip(), "### Context before the chunk (reference only)", overlap.strip() or "(none)", "### Chunk", text]
+    if earlier:
+        known = [response_value(r)[0] or {} for r in earlier]
+        nodes: dict[str, list[str]] = {}
+        for x in (x for v in known for x in v.get("nodes", [])):
+            said = nodes.setdefault(x["display_name"].strip(), [])
+            if x["description"].strip() not in said:
+                said.append(x["description"].strip())
+        edges = [f"- {x['source_display_name'].strip()} -> {x['target_display_name'].strip()}: {x['description'].strip()} (strength {x.get('strength')})" for v in known for x in v.get("edges", [])]
+        named = [f"- {name}: {' '.join(said)}" for name, said in nodes.items()]
+        parts += ["### Earlier passes", *earlier, "### Known nodes", "\n".join(named) or "(none)", "### Known edges", "\n".join(edges) or "(none)"]
+    return "\n\n".join(parts)

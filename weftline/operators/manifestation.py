@@ -1,12 +1,15 @@
-"""PRJ5-PRJ7, JN6, JN7, JN9, ST10-ST12: extracted candidates to vectors, graph nodes and dependency-checked edges."""
+"""PRJ5-PRJ7, JN6, JN7, JN9, ST10-ST12, SNK5-SNK8, UDF6: extracted candidates to vectors, graph nodes and dependency-checked edges."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import node_point_id, node_text, sha256
-from ..functions.status import EMBEDDED, FAILED, FAILED_DEPENDENCY, PENDING, RETRIES, WAITING_DEPENDENCY, WRITTEN, node_status
+from ..functions.status import EMBEDDED, FAILED, FAILED_DEPENDENCY, PENDING, RETRIES, WAITING_DEPENDENCY, WRITTEN, after_failure, node_status
+from ..sources.stored import Snapshots
 
 
 def node_states(nodes: DataFrame, world: Column, run: Column, book: Column) -> DataFrame:
@@ -51,6 +54,10 @@ def writable_edges(edges: DataFrame, graph_nodes: DataFrame) -> DataFrame:
     return out
 
 
+class GraphStoreUnavailable(RuntimeError):
+    """The graph store cannot be reached; nothing was written."""
+
+
 class UnavailableWriter:
     """SNK8: a graph sink that is not there; work stays pending."""
 
@@ -60,29 +67,60 @@ class UnavailableWriter:
     def write(self, rows: DataFrame) -> None:
         raise GraphStoreUnavailable(self.reason)
 
-
-class GraphStoreUnavailable(RuntimeError):
-    """The graph store cannot be reached; nothing was written."""
+    write_nodes = write_edges = write
 
 
 class TableWriter:
-    """SNK5-SNK7: a graph sink of Parquet snapshots, upserted by id; ids are asserted to be unique."""
+    """SNK5-SNK7: a graph table as Parquet snapshots, upserted by id; ids are asserted to be unique in a write."""
 
     def __init__(self, folder: str, key: str):
         self.folder, self.key = folder, key
 
+    def rows(self, like: DataFrame) -> DataFrame:
+        """What the table holds, in the columns of like."""
+        return Snapshots(like.sparkSession, self.folder).read(like.schema)
+
     def write(self, rows: DataFrame) -> None:
         if rows.groupBy(self.key).count().filter("count > 1").limit(1).count():
             raise ValueError(f"{self.key} repeats in one write")
-        rows.write.mode("append").parquet(self.folder)
+        Snapshots(rows.sparkSession, self.folder).write(self.rows(rows).join(rows.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(rows))
 
 
-def write_nodes(states: DataFrame, writer) -> tuple[DataFrame, bool]:
-    """ST12: node states after a write of those that are embedded and not written; False if the sink was unavailable."""
-    states = states.withColumns({"write_status": F.when(F.col("write_status") == FAILED, PENDING).otherwise(F.col("write_status"))})
-    ready = (F.col("embedding_status") == EMBEDDED) & (F.col("write_status") == PENDING)
+class TableGraph:
+    """UDF6: the graph sink that a world has unless another is injected: two tables; edges need both ends in the first."""
+
+    def __init__(self, folder: str):
+        self.nodes, self.edges = TableWriter(f"{folder}/nodes", "node_id"), TableWriter(f"{folder}/edges", "edge_id")
+
+    def write_nodes(self, rows: DataFrame) -> None:
+        self.nodes.write(rows)
+
+    def write_edges(self, rows: DataFrame) -> None:
+        held = self.nodes.rows(rows.sparkSession.createDataFrame([], "node_id string, world_uuid string"))
+        self.edges.write(writable_edges(rows, held))
+
+
+def _written(states: DataFrame, status: str, ready: Column, write: Callable[[DataFrame], None], rows: DataFrame) -> tuple[DataFrame, bool]:
+    """states after a write of the ready ones; a failed write counts as an attempt of each, and the third one ends it."""
     try:
-        writer.write(states.filter(ready))
+        write(rows)
     except GraphStoreUnavailable:
         return states, False
-    return states.withColumn("write_status", F.when(ready, WRITTEN).otherwise(F.col("write_status"))), True
+    except Exception:  # noqa: BLE001  a sink may raise anything
+        state, tries = after_failure(F.coalesce("retry_count", F.lit(0)))
+        return states.withColumns({status: F.when(ready, state).otherwise(F.col(status)), "retry_count": F.when(ready, tries).otherwise(F.col("retry_count"))}), True
+    return states.withColumn(status, F.when(ready, WRITTEN).otherwise(F.col(status))), True
+
+
+def write_nodes(states: DataFrame, writer, world: str = "") -> tuple[DataFrame, bool]:
+    """ST12: node states after a write of those that are embedded and not written; False if the sink was unavailable."""
+    states = states.withColumns({"write_status": F.when(F.col("write_status") == FAILED, PENDING).otherwise(F.col("write_status"))})
+    ready = (F.col("embedding_status") == EMBEDDED) & (F.col("write_status") == PENDING)
+    progress = [c for c in ("embedding_status", "write_status", "retry_count") if c in states.columns]
+    return _written(states, "write_status", ready, getattr(writer, "write_nodes", None) or writer.write, states.filter(ready).drop(*progress).withColumn("world_uuid", F.lit(world)))
+
+
+def write_edges(edges: DataFrame, writer, world: str = "") -> tuple[DataFrame, bool]:
+    """SNK6: edges after a write of the pending ones, whose ends edge_dependencies has found in place; False as above."""
+    ready = F.col("status") == PENDING
+    return _written(edges, "status", ready, writer.write_edges, edges.filter(ready).drop("status", "retry_count").withColumn("world_uuid", F.lit(world)))

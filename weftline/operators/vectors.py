@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,19 @@ def top_k(points: DataFrame, query: list[float], k: int, minimum: float, id_colu
 def top_k_batch(points: DataFrame, queries: DataFrame, k: int, minimum: float, scope: str, query_limit: int = 10_000) -> DataFrame:
     """TOP1 for many queries (query_id, query_vector, scope): (query_id, point_id, score, rank) within the query's scope.
 
-    Queries are few by contract (at most query_limit, counted) and broadcast to their scope's points. Rows past the k-th
-    of a query are dropped in each task before the exchange (Spark's window group limit), so k rows a task are moved.
+    Queries are broadcast to their scope's points in blocks of query_limit at most, so a broadcast does not grow with their
+    number. Rows past the k-th of a query are dropped in each task before the exchange (Spark's window group limit), so k
+    rows a task are moved.
     """
-    if queries.limit(query_limit + 1).count() > query_limit:
-        raise ValueError(f"more than {query_limit} queries: send them in blocks")
+    blocks = -(-queries.count() // query_limit)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+        parts = [_top_k_block(points, queries.filter(block == i), k, minimum, scope) for i in range(2 * blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return _top_k_block(points, queries, k, minimum, scope)
+
+
+def _top_k_block(points: DataFrame, queries: DataFrame, k: int, minimum: float, scope: str) -> DataFrame:
     scored = points.join(F.broadcast(queries), scope).withColumn("score", cosine(F.col("vector"), F.col("query_vector"))).filter(F.col("score") >= minimum)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     return scored.select("query_id", "point_id", "score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.status import RETRIES, after_attempt
-from .extraction import MARKER
+from .extraction import response_value
 
 #: text -> {"vector": [...]} or {"code": str, "retryable": bool, "rate_limited": bool}
 Embedder = Callable[[str], dict[str, Any]]
 #: prompt -> {"text": str} or {"code": str, "retryable": bool, "rate_limited": bool}
 Extractor = Callable[[str], dict[str, Any]]
 Materialise = Callable[[DataFrame], DataFrame]
+#: UDF3: text -> its tokens in the model's own count
+TokenCounter = Callable[[str], int]
 
 _OUTCOME = "vector array<float>, code string, retryable boolean, rate_limited boolean"
 
@@ -37,6 +39,23 @@ def called(embed: Embedder, text: str) -> dict[str, Any]:
     return found
 
 
+def guarded(call: Callable[[str], dict[str, Any]], count: TokenCounter | None, limit: int | None, needs_limit: bool = False) -> Callable[[str], dict[str, Any]]:
+    """FLT13 before each call: a text that cannot be counted or is too large is never sent; without a counter nothing is asked."""
+    if count is None:
+        return call
+
+    def checked(text: str) -> dict[str, Any]:
+        if limit is None:
+            return {"code": "LIMIT_MISSING", "retryable": False} if needs_limit else call(text)
+        try:
+            tokens = count(text)
+        except Exception:  # noqa: BLE001  a counter may raise anything
+            return {"code": "COUNT_FAILED", "retryable": True}
+        return {"code": "TOO_LARGE", "retryable": False} if tokens > limit else call(text)
+
+    return checked
+
+
 def embed_batch(pending: DataFrame, key: str, text: str, embed: Embedder, in_flight: int) -> DataFrame:
     """ST1, UDF1: (key, vector or code, retryable, rate_limited) of one attempt for each row."""
 
@@ -78,36 +97,46 @@ def embed_all(states: DataFrame, key: str, text: str, embed: Embedder, keep: Mat
     return states, vectors
 
 
-def extract_chunks(chunks: DataFrame, keys: list[str], extract: Extractor, prompt: Callable[[str, str, list[str]], str], gleans: int = 1, in_flight: int = 8) -> DataFrame:
-    """ST4-ST6, UDF2: (keys, pass_type, pass_number, response, code), one row a pass of each chunk (overlap_text, chunk_text).
+def extract_chunks(chunks: DataFrame, keys: list[str], extract: Extractor, prompt: Callable[[str, str, str, list[str]], str], gleans: int = 1, in_flight: int = 8) -> DataFrame:
+    """ST4-ST6, UDF2: (keys, pass_type, pass_number, response, code, instructions), one row a new pass of each chunk.
 
-    Passes of a chunk are sequential, as a glean's prompt shows the earlier responses; chunks are independent. A pass has
-    RETRIES attempts; an answer without its end mark spends one, a failure that can't be retried ends the chunk.
+    chunks have overlap_text, chunk_text, instructions (of the chunk's first pass, which its gleans share) and earlier
+    (the responses of its good passes; the next one follows them). Passes of a chunk are sequential, as a glean's prompt
+    shows the earlier responses; chunks are independent. A pass has RETRIES attempts: an answer without its end mark, with
+    bad JSON or with a bad schema spends one, as a failure does that can be retried; another failure ends the chunk. A rate
+    limit spends none and ends the chunk for now.
     """
     names = [f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keys]
 
-    def one(text: str, overlap: str) -> Iterator[tuple]:
-        earlier: list[str] = []
-        for number in range(gleans + 1):
-            code = None
-            for _ in range(RETRIES):
-                try:
-                    found = extract(prompt(text, overlap, earlier))
-                except Exception as e:  # noqa: BLE001
-                    found = {"code": type(e).__name__, "retryable": True}
-                code = found.get("code")
-                if code is None and MARKER not in found.get("text", ""):
-                    code, found = "EXTRACTION_RESPONSE_INCOMPLETE", {"retryable": True}
-                if code is None or not (found.get("retryable") or found.get("rate_limited")):
-                    break
-            yield ("glean" if number else "initial", number, None if code else found["text"], code)
+    def asked(text: str) -> tuple[str | None, str | None]:
+        code = None
+        for _ in range(RETRIES):
+            try:
+                found = extract(text)
+            except Exception as e:  # noqa: BLE001
+                found = {"code": type(e).__name__, "retryable": True}
+            code = found.get("code")
+            if code is None:
+                code = response_value(found.get("text") or "")[1]
+                if code is None:
+                    return found["text"], None
+            elif found.get("rate_limited") or not found.get("retryable"):
+                break
+        return None, code
+
+    def one(text: str, overlap: str, instructions: str, earlier: list[str]) -> Iterator[tuple]:
+        for number in range(len(earlier), gleans + 1):
+            response, code = asked(prompt(instructions, text, overlap, earlier))
+            yield "glean" if number else "initial", number, response, code, instructions
             if code:
                 return
-            earlier.append(found["text"])
+            earlier = [*earlier, response]
+
+    columns = ["chunk_text", "overlap_text", "instructions", "earlier"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(*k, *p) for k, t, o in zip(frame[keys].itertuples(index=False, name=None), frame["chunk_text"], frame["overlap_text"]) for p in one(t, o)]
-            yield pd.DataFrame(rows, columns=[*keys, "pass_type", "pass_number", "response", "code"])
+            rows = [(*k, *p) for k, t, o, i, e in zip(frame[keys].itertuples(index=False, name=None), *(frame[c] for c in columns)) for p in one(t, o, i, list(e))]
+            yield pd.DataFrame(rows, columns=[*keys, "pass_type", "pass_number", "response", "code", "instructions"])
 
-    return chunks.select(*keys, "overlap_text", "chunk_text").repartition(in_flight).mapInPandas(run, ", ".join([*names, "pass_type string, pass_number int, response string, code string"]))
+    return chunks.select(*keys, *columns).repartition(in_flight).mapInPandas(run, ", ".join([*names, "pass_type string, pass_number int, response string, code string, instructions string"]))

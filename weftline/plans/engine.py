@@ -21,7 +21,7 @@ from ..sources import stored, text_sources
 CHUNKS = "world_id string, world_uuid string, source_filename string, book_number int, chunk_number int, chunk_position string, overlap_text string, chunk_text string, chunk_file string, point_id string, text_hash string"
 POINTS = "point_id string, vector array<float>, text_hash string, run_id string, book_number int, chunk_number int"
 STATES = "point_id string, book_number int, chunk_number int, chunk_text string, text_hash string, status string, retry_count int, last_error_code string"
-PASSES = "book_number int, chunk_number int, text_hash string, pass_type string, pass_number int, response string, code string"
+PASSES = "book_number int, chunk_number int, text_hash string, pass_type string, pass_number int, response string, code string, instructions string"
 NODES = "book_number int, chunk_number int, node_id string, display_name string, description string, point_id string, text_hash string, embedding_status string, write_status string, retry_count int"
 EDGES = "book_number int, chunk_number int, edge_id string, source_node_id string, target_node_id string, description string, strength int, status string, retry_count int"
 NODE_VECTORS = "node_id string, vector array<float>"
@@ -45,6 +45,18 @@ class Models:
     instructions: str = "List the entities and relationships of the chunk as JSON, then the end mark."
     gleans: int = 1
     in_flight: int = 8
+    #: FLT13: counts what is sent, against the limits of embedding and extraction; None does not count.
+    count_tokens: work.TokenCounter | None = None
+    embed_limit: int | None = None
+    extract_limit: int | None = None
+    #: UDF6: has write_nodes(rows) and write_edges(rows); None writes tables in the world's folder.
+    graph: object | None = None
+
+    def embedder(self) -> work.Embedder:
+        return work.guarded(self.embed, self.count_tokens, self.embed_limit)
+
+    def extractor(self) -> work.Extractor:
+        return work.guarded(self.extract, self.count_tokens, self.extract_limit, needs_limit=True)
 
 
 class World:
@@ -89,6 +101,7 @@ class World:
         self._manifest()
         report = self.report()
         self._save("completed" if report["complete"] else "paused")
+        self._table("_work").drop()
         return report | {"run": self.info["run"]}
 
     def reingest(self) -> dict:
@@ -97,12 +110,23 @@ class World:
             self._table(name).write(self.spark.createDataFrame([], schema))
         self.info["status"] = "completed"
         self._save("active")
+        self._restore_sources()
         for stage in (self._split, self._embed, self._extract, self._manifest):
             stage()
         report = self.report()
         self._save("completed" if report["complete"] else "paused")
+        self._table("_work").drop()
         return report
 
+    def _restore_sources(self) -> None:
+        """SRC9: slots whose stored source is gone get their backup copy again."""
+        table, backups = self._table("sources"), self._table("source_backups").read(self._SOURCES)
+        held = table.read(self._SOURCES)
+        event = stored.with_backup(held, backups, "book_number", "content").filter("event = 'SOURCE_MISSING_SWITCHED_TO_BACKUP'")
+        lost = self._keep(backups.join(event.select("book_number"), "book_number", "left_semi"))
+        if lost.limit(1).count():
+            table.write(held.filter("content is not null").unionByName(lost))
+
     _SOURCES = "book_number int, source_filename string, content binary, content_sha256 string, text string"
 
     def _store_sources(self, path: str) -> None:
@@ -148,7 +172,7 @@ class World:
         # Points of earlier completed runs of this world are still good while their text is.
         run = points.select("run_id").distinct().limit(1).collect()
         judged = self._keep(reconcile.embedding_states(base, points, chunks.select("point_id", "text_hash"), F.lit(run[0].run_id if run else self.info["run"])))
-        states, found = work.embed_all(judged.drop("stale_point"), "point_id", "chunk_text", self.models.embed, self._keep, self.models.in_flight)
+        states, found = work.embed_all(judged.drop("stale_point"), "point_id", "chunk_text", self.models.embedder(), self._keep, self.models.in_flight)
         kept = reconcile.delete(points, judged.filter("stale_point"), "point_id")
         fresh = found.join(chunks.select("point_id", "text_hash", "book_number", "chunk_number"), "point_id").withColumn("run_id", F.lit(run[0].run_id if run else self.info["run"]))
         self._table("points").write(kept.join(fresh.select("point_id"), "point_id", "left_anti").unionByName(fresh.select(*kept.columns)))
@@ -165,14 +189,17 @@ class World:
         todo = chunks.join(good, ["book_number", "chunk_number", "text_hash"], "left_anti")
         if not todo.limit(1).count():
             return
-        keys, head = ["book_number", "chunk_number", "text_hash"], self.models.instructions
-
-        def prompt(text: str, overlap: str, earlier: list[str]) -> str:
-            before = ["### Earlier passes", *earlier] if earlier else []
-            return "\n\n".join([head, "### Context before the chunk (reference only)", overlap.strip() or "(none)", *before, "### Chunk", text])
-
-        made = self._keep(work.extract_chunks(todo, keys, self.models.extract, prompt, self.models.gleans, self.models.in_flight))
-        table.write(held.join(todo.select("book_number", "chunk_number"), ["book_number", "chunk_number"], "left_anti").unionByName(made.select(*held.columns)))
+        # Good passes of an unchanged text stay; a chunk goes on behind them, under the instructions of its first pass.
+        keys = ["book_number", "chunk_number", "text_hash"]
+        good = self._keep(held.filter("code is null").join(todo.select(*keys), keys, "left_semi").select(*held.columns))
+        before = F.transform(F.array_sort(F.collect_list(F.struct("pass_number", "response"))), lambda x: x["response"])
+        known = good.groupBy(*keys).agg(before.alias("earlier"), F.min_by("instructions", "pass_number").alias("instructions"))
+        asked = todo.join(known, keys, "left").withColumns({"earlier": F.coalesce("earlier", F.array().cast("array<string>")), "instructions": F.coalesce("instructions", F.lit(self.models.instructions))})
+        made = self._keep(work.extract_chunks(asked, keys, self.models.extractor(), extraction.pass_prompt, self.models.gleans, self.models.in_flight))
+        # What the graph's parser refuses is a failed pass as well.
+        judged = extraction.parse(made).withColumn("code", F.coalesce("code", F.when(F.col("response").isNotNull(), F.col("error"))))
+        others = held.join(todo.select("book_number", "chunk_number"), ["book_number", "chunk_number"], "left_anti")
+        table.write(others.select(*held.columns).unionByName(good).unionByName(judged.select(*held.columns)))
 
     def _candidates(self) -> tuple[DataFrame, DataFrame]:
         """Merged nodes and edges of all extracted chunks."""
@@ -197,12 +224,14 @@ class World:
         states = reconcile.reconciled(fresh, old, stale, "node_id", chunk, ["text_hash", "point_id"], ["embedding_status", "write_status", "retry_count"])
         links = reconcile.reconciled(links, old_edges, stale, "edge_id", chunk, [], ["status", "retry_count"])
         asked = states.select("node_id", F.concat("display_name", F.lit("\n\n"), "description").alias("text"), F.when(F.col("embedding_status") == "embedded", "embedded").otherwise("pending").alias("status"), "retry_count", F.lit(None).cast("string").alias("last_error_code"))
-        done, found = work.embed_all(self._keep(asked), "node_id", "text", self.models.embed, self._keep, self.models.in_flight)
+        done, found = work.embed_all(self._keep(asked), "node_id", "text", self.models.embedder(), self._keep, self.models.in_flight)
         states = states.drop("embedding_status", "retry_count").join(done.select("node_id", F.col("status").alias("embedding_status"), "retry_count"), "node_id")
-        states = states.withColumn("write_status", F.when(F.col("embedding_status") == "embedded", "written").otherwise(F.col("write_status")))
+        graph = self.models.graph or manifestation.TableGraph(f"{self.folder}/graph")
+        states, there = manifestation.write_nodes(self._keep(states.select(*old.columns)), graph, self.info["world_uuid"])
         states = self._keep(states.select(*old.columns))
-        links = manifestation.edge_dependencies(links, states)
-        links = links.withColumn("status", F.when(F.col("status") == "pending", "written").otherwise(F.col("status")))
+        if there:  # without a sink edges are left as they are
+            links = self._keep(manifestation.edge_dependencies(links, states))
+            links, _ = manifestation.write_edges(links, graph, self.info["world_uuid"])
         held = self._table("node_vectors").read(NODE_VECTORS).join(states.select("node_id"), "node_id", "left_semi")
         self._table("node_vectors").write(held.join(found.select("node_id"), "node_id", "left_anti").unionByName(found.select("node_id", "vector")))
         self._table("nodes").write(states)
@@ -232,7 +261,7 @@ class World:
             return {"success": False, "errors": ["EMPTY_RETRIEVAL_QUERY"], "chunks": [], "context": ""}
         if not k:
             return {"success": True, "errors": [], "warnings": ["WORLD_HAS_NO_EMBEDDED_CHUNKS"], "chunks": [], "context": ""}
-        asked = work.called(self.models.embed, text.strip())
+        asked = work.called(self.models.embedder(), text.strip())
         if "vector" not in asked:
             return {"success": False, "errors": [asked["code"]], "chunks": [], "context": ""}
         hits = vectors.top_k(self._table("points").read(POINTS), list(asked["vector"]), k, minimum).select("point_id", "text_hash", "score")

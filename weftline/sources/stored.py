@@ -62,7 +62,8 @@ def read_credentials(spark: SparkSession, path: str) -> DataFrame:
 class Snapshots:
     """SNK1-SNK4, SNK10: a table as numbered Parquet folders; readers see the last one that was finished.
 
-    A snapshot is written whole under a draft name and then renamed, so a failed write is never read.
+    A snapshot is written whole under a draft name and then renamed, so a failed write is never read. The last two stay,
+    so that frames of the version before a write can still be read; older ones go.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -76,7 +77,11 @@ class Snapshots:
         names = [s.getPath().getName() for s in self._files.listStatus(self._path(self.folder))]
         return sorted(int(n) for n in names if n.isdigit())
 
-    def read(self, schema: str) -> DataFrame:
+    def drop(self) -> None:
+        """Removes the folder and all that is in it."""
+        self._files.delete(self._path(self.folder), True)
+
+    def read(self, schema) -> DataFrame:
         done = self.versions()
         if not done:
             return self.spark.createDataFrame([], schema)
@@ -88,6 +93,8 @@ class Snapshots:
         rows.write.parquet(draft)
         if not self._files.rename(self._path(draft), self._path(place)):
             raise RuntimeError(f"another writer made snapshot {version}")
+        for old in self.versions()[:-2]:
+            self._files.delete(self._path(f"{self.folder}/{old:08d}"), True)
         return version
 
 
