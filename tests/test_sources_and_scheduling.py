@@ -29,8 +29,8 @@ def test_html_and_epub(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as book:
         book.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
-        book.writestr("O/p.opf", '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="c" href="c.css" media-type="text/css"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>')
-        book.writestr("O/a.xhtml", "<p>first</p>")
+        book.writestr("O/p.opf", '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/><item id="a" href="a%201.xhtml" media-type="application/xhtml+xml"/><item id="c" href="c.css" media-type="text/css"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>')
+        book.writestr("O/a 1.xhtml", "<p>first</p>")
         book.writestr("O/b.xhtml", "<p>second</p>")
     for name, content in {"one.txt": b"hello", "two.epub": data.getvalue(), "bad.epub": b"no", "x.pdf": b"%PDF", "y.docx": b"?", "blank.txt": b" \n"}.items():
         (tmp_path / name).write_bytes(content)

@@ -9,6 +9,7 @@ import io
 import posixpath
 import zipfile
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,7 +20,7 @@ from ..functions.text import is_blank, suffix
 
 #: Encodings in the order in which they are tried, and tags that break lines.
 ENCODINGS = ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "cp1252", "latin-1")
-BLOCK_TAGS = frozenset("p div section article li br h1 h2 h3 h4 h5 h6".split())
+BLOCK_TAGS = ("p", "div", "section", "article", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6")
 _DECODED = "text string, encoding string"
 
 
@@ -93,8 +94,9 @@ def text_of_epub(content: bytes) -> str:
         items = {e.attrib["id"]: e.attrib for e in root.iter() if tag(e) == "item"}
         order = [items[e.attrib["idref"]] for e in root.iter() if tag(e) == "itemref" and e.attrib.get("idref") in items]
         here = posixpath.dirname(package)
-        texts = [text_of_html(book.read(posixpath.normpath(posixpath.join(here, i["href"]))).decode("utf-8", "ignore")) for i in order if i.get("media-type") == "application/xhtml+xml"]
-    return "\n\n".join(t for t in texts if t)
+        place = lambda href: posixpath.normpath(posixpath.join(here, unquote(href.partition("#")[0])))
+        texts = [text_of_html(book.read(place(i["href"])).decode("utf-8", "ignore")) for i in order if i.get("media-type") == "application/xhtml+xml"]
+    return "\n\n".join(texts)
 
 
 def _epub(content: Column) -> Column:
