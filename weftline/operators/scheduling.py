@@ -35,10 +35,16 @@ def available(credentials: DataFrame, cooldowns: DataFrame, busy: DataFrame, mod
 
 
 def offered_load(requests: DataFrame, bucket: str, at: str, tokens: str) -> DataFrame:
-    """WIN3: requests with the count and tokens of their bucket in the last 60 seconds, their own included."""
-    seconds = F.unix_micros(F.col(at).cast("timestamp"))
-    window = Window.partitionBy(bucket).orderBy(seconds).rangeBetween(-60_000_000, 0)
-    return requests.withColumn("requests_60s", F.count("*").over(window)).withColumn("tokens_60s", F.sum(tokens).over(window))
+    """WIN3: requests with the count and tokens of their bucket in the last 60 seconds, their own included.
+
+    A minute's windows reach into the minute before and no farther. So each minute of a bucket is a group of its own, to
+    which the rows of the minute before are copied, and a bucket with most of the requests is many groups.
+    """
+    length = 60_000_000
+    rows = requests.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    window = Window.partitionBy(bucket, F.floor(F.col("__at") / length) + F.col("__copy")).orderBy("__at").rangeBetween(-length, 0)
+    found = rows.withColumn("requests_60s", F.count("*").over(window)).withColumn("tokens_60s", F.sum(tokens).over(window))
+    return found.filter("__copy = 0").drop("__at", "__copy")
 
 
 def admitted(requests: DataFrame, bucket: str, at: str, tokens: str, order: str, quota: Quota) -> DataFrame:
@@ -74,9 +80,19 @@ def admitted(requests: DataFrame, bucket: str, at: str, tokens: str, order: str,
     return keys.repartition("bucket").sortWithinPartitions("bucket", "at", "order").mapInPandas(run, "bucket string, order long, admitted boolean")
 
 
-def rotation(requests: DataFrame, pool: str, order: list[str], size: int) -> DataFrame:
-    """WIN5: requests with slot, the place in the pool's sorted credentials at which their search begins."""
-    return requests.withColumn("slot", (F.row_number().over(Window.partitionBy(pool).orderBy(*order)) - 1) % size)
+def rotation(requests: DataFrame, pool: str, order: list[str], size: int, block: Column) -> DataFrame:
+    """WIN5: requests with slot, the place in the pool's sorted credentials at which their search begins.
+
+    block rises with order (an hour, say): rows are numbered within a block, behind the counts of the pool's earlier ones,
+    so that a pool is as many groups as it has blocks.
+    """
+    rows = requests.withColumn("__block", block)
+    counts = rows.groupBy(pool, "__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(pool).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = rows[pool].eqNullSafe(F.col("__pool")) & F.col("__block").eqNullSafe(F.col("__of"))
+    offsets = counts.withColumn("__before", before).select(F.col(pool).alias("__pool"), F.col("__block").alias("__of"), "__before")
+    place = F.row_number().over(Window.partitionBy(pool, "__block").orderBy(*order)) + F.col("__before") - 1
+    return rows.join(offsets, same).withColumn("slot", place % size).select(*requests.columns, "slot")
 
 
 def wait_seconds(waits: DataFrame, by: list[str], seconds: str) -> DataFrame:

@@ -40,7 +40,7 @@ def quota_admission(spark, sf_dir):
 @query("round_robin", "SELECT event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 7)::INT AS slot FROM events")
 def round_robin(spark, sf_dir):
     """WIN5."""
-    return scheduling.rotation(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], 7).select("event_id", F.col("slot").cast("int").alias("slot"))
+    return scheduling.rotation(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], 7, F.date_trunc("hour", "ts")).select("event_id", F.col("slot").cast("int").alias("slot"))
 
 
 _CREDENTIALS_SQL = """
