@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, materialise
+from .shared import arrow_map, give_back, materialise
 
 TRAINING_ROWS = 12_000
 #: Share of the toxic training rows in which a suspect word or beginning stands at least.
@@ -226,7 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t, suspects) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))], names=["id", "mark", "x"])
 
     got = sorted(arrow_map(rows, measured, "id string, mark int, x array<double>").collect())
-    return fit([r.id for r in got], np.array([r.x for r in got]).reshape(len(got), len(NAMES)), np.array([r.mark for r in got]), suspects)
+    model = fit([r.id for r in got], np.array([r.x for r in got]).reshape(len(got), len(NAMES)), np.array([r.mark for r in got]), suspects)
+    del got, marks
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
