@@ -124,6 +124,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     more, _ = _leaks(*args, True)
     if candidates is None:
         return more
+    found, more = materialise(found, "template-leaks"), materialise(more, "plain-leaks")
     found = found.withColumn(fresh("plain", [key, item]), F.lit(False))
     more = more.withColumn(found.columns[-1], F.lit(True))
     held = candidates.select(F.col("c_id").alias("__id"), F.col("t").alias("__t"), F.col("item").alias("__item"))
@@ -137,7 +138,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, coverage: float, window: int, plain: bool) -> tuple[DataFrame, DataFrame | None]:
     """Hits by one form, and the candidates (c_id, t, item) before their slots were read; None without items."""
     items = benchmark.select(F.col(item).alias("item"), tokens(F.col(item_text), plain).alias("tokens"), slots(F.col(item_text), plain).alias("slots")).filter(F.size("tokens") > 0)
-    items = items.withColumn("length", F.least(F.size("tokens"), F.lit(window)))
+    # Items and their windows are read many times below: as tables they keep the plans, and the driver, small.
+    items = materialise(items.withColumn("length", F.least(F.size("tokens"), F.lit(window))), "items")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # as many as a window has tokens at most
     if not lengths:
         return docs.limit(0).select(F.col(key), *(F.lit(None).cast(t).alias(c) for c, t in ((item, benchmark.schema[item].dataType), ("windows", "long"), ("matched", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"), ("verbatim", "boolean"), ("text_hash", "long")))), None
@@ -145,6 +147,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     parts = items.select("item", "length", at)
     ordinary = F.size(F.filter("tokens", lambda t: ~t.isin(NAME, NUMBER, UNIT)))
     parts = parts.withColumn("h", F.xxhash64(F.transform("tokens", lambda w: F.xxhash64(w)))).filter(ordinary >= F.least(F.lit(LITERALS), F.col("length"))).select("item", "length", "at", "h")
+    parts = materialise(parts, "item-windows")
     totals = parts.groupBy("item").agg(F.countDistinct("at").alias("total"))
     hashes = parts.select("h").distinct()
     if hashes.count() <= BROADCAST_WINDOWS:
