@@ -38,6 +38,11 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), secrets.Scanner(secrets.example_credentials()))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_secret_scans that fixed patterns define, which SQL can find as well."""
+    return op4_secret_scans(spark, sf_dir).drop("spans")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def token_rollup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of op6_token_counts that SQL can take: documents and characters behind the same batches."""
+    return op6_token_counts(spark, sf_dir).select("source", "lang", "n_docs", "n_chars")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -94,8 +104,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_toxicity": op10_toxicity,
+    "secret_base_spans": secret_base_spans,
+    "token_rollup_documents": token_rollup_documents,
 }
 
+#: Kind, pattern and least length of base spans; letters of the keywords stand in both cases, as (?i) would also fold U+017F.
+_KEYWORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""(?:{_KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_BASE_KINDS = (("assign", _ASSIGN, f"length(regexp_extract(m, $${_ASSIGN}$$, 1)) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"), ("hex", "[0-9a-f]+", "length(m) >= 24"))
+_MARKED_SQL = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, string_split(regexp_replace(t, $$({p})$$, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM texts" for k, (_, p, _) in enumerate(_BASE_KINDS))
+_LONG_ENOUGH_SQL = " ".join(f"WHEN {k} THEN {test}" for k, (_, _, test) in enumerate(_BASE_KINDS))
+_KIND_SQL = ", ".join(f"'{kind}'" for kind, _, _ in _BASE_KINDS)
+
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLES: dict[str, str] = {
     "op1_url_filters": f"""
@@ -120,4 +140,14 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE place > 1), 0)::BIGINT AS n_removed,
                sha256(coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (WHERE place = 1), '')) AS kept_sha256
         FROM ranked GROUP BY doc_id""",
+    "secret_base_spans": f"""
+        WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), '~~') AS t FROM documents),
+        marked AS ({_MARKED_SQL}),
+        part AS (SELECT doc_id, k, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS x FROM marked),
+        placed AS (SELECT doc_id, k, i, split_part(x, chr(2), 1) AS m, coalesce(sum(length(x) - (i > 1)::INT) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM part),
+        spans AS (SELECT doc_id, k, a, [{_KIND_SQL}][k + 1] || ':' || a || ':' || (a + length(m)) AS span FROM placed WHERE i > 1 AND CASE k {_LONG_ENOUGH_SQL} END)
+        SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+               sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (WHERE span IS NOT NULL), '')) AS base_sha256
+        FROM texts LEFT JOIN spans USING (doc_id) GROUP BY doc_id""",
+    "token_rollup_documents": "SELECT source, lang, count(*) AS n_docs, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM documents GROUP BY source, lang",
 }
