@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import status, text
 from ..operators import reconcile, scheduling, worlds
+from ..sources import stored
 from .registry import query, table
 
 
@@ -183,3 +184,12 @@ def preferred_record(spark, sf_dir):
     """TOP6: nation key modulo 5 as platform."""
     rows = table(spark, sf_dir, "nation").withColumn("platform", F.col("n_nationkey") % 5)
     return worlds.preferred(rows, ["n_regionkey"], "platform", "n_nationkey", "n_name").withColumnRenamed("n_name", "name")
+
+
+@query("null_dropping_json", """
+        SELECT c_custkey, json_merge_patch('{}', to_json({'id': c_custkey, 'name': CASE WHEN c_custkey % 3 <> 0 THEN c_name END, 'segment': CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END}))::VARCHAR AS record FROM customer""")
+def null_dropping_json(spark, sf_dir):
+    """PRJ8: customers as records, some of them without a name or a segment."""
+    k = F.col("c_custkey")
+    record = stored.record_json(k.alias("id"), F.when(k % 3 != 0, F.col("c_name")).alias("name"), F.when(k % 5 != 0, F.col("c_mktsegment")).alias("segment"))
+    return table(spark, sf_dir, "customer").select(k, record.alias("record"))

@@ -53,6 +53,11 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return found.withColumn("path", F.input_file_name())
 
 
+def record_json(*columns: str | Column) -> Column:
+    """PRJ8: a record as JSON text without its null fields, whatever the session's setting."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+
 def read_credentials(spark: SparkSession, path: str) -> DataFrame:
     """SRC13: enabled credentials in order of their files; only those must have a secret."""
     found = read_json(spark, path, "name string, api_key string, project_id string, allowed_models array<string>, enabled boolean").filter(F.coalesce("enabled", F.lit(True)))
