@@ -1,4 +1,4 @@
-"""PRJ15-PRJ17, JN10, AGG12, TOP4, TOP6, SET5, FLT12, FLT17: worlds, assets and the model catalogue."""
+"""PRJ15-PRJ17, JN10, AGG12, TOP4, TOP6, TOP7, SET5, FLT12, FLT17: worlds, assets and the model catalogue."""
 
 from __future__ import annotations
 
@@ -13,6 +13,11 @@ def hub_order(worlds: DataFrame, last_used: str, modified: str, title: str) -> D
     return worlds.orderBy(F.coalesce(F.col(last_used), F.col(modified)).desc(), F.lower(title))
 
 
+def by_name(assets: DataFrame, name: str, *then: str) -> DataFrame:
+    """TOP7: a shelf of assets in order of their names, whatever the case."""
+    return assets.orderBy(F.lower(name), name, *then)
+
+
 def duplicate_names(worlds: DataFrame, title: str) -> DataFrame:
     """AGG12: (name_key, worlds) of keys that several worlds share."""
     return worlds.groupBy(name_key(F.col(title)).alias("name_key")).agg(F.count("*").alias("worlds")).filter("worlds > 1")
