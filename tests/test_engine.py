@@ -1,11 +1,15 @@
 """A world end to end with stand-in models."""
 
+import os
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators.chunking import SplitterConfig
 from weftline.operators.manifestation import GraphStoreUnavailable
-from weftline.plans.engine import CHUNKS, Models, World, WorldLocked
+from weftline.plans.engine import CHUNKS, Cancellation, Models, World, WorldLocked
 from weftline.plans.providers import standin_embedder, standin_extractor
 
 
@@ -120,3 +124,56 @@ def test_graph_sink_that_is_away_and_too_long_texts(spark, tmp_path):
     (tmp_path / "more").mkdir()
     report, calls = ran(spark, tmp_path / "more", none, count_tokens=len, embed_limit=1000, extract_limit=5)
     assert calls == [] and report["embedding"] == "completed" and report["extraction"] == "failed"
+
+
+def test_cancelled_run_pauses_and_goes_on(spark, tmp_path):
+    seen, done = str(tmp_path / "seen"), str(tmp_path / "done")
+
+    def slow(text):
+        if not os.path.exists(done):
+            open(seen, "w").close()
+            time.sleep(4)
+        return standin_extractor()(text)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Mara met Tor by the river.")
+    stop = Cancellation(spark)
+
+    def cancel():
+        while not os.path.exists(seen):
+            time.sleep(0.05)
+        stop.cancel()
+
+    other = threading.Thread(target=cancel)
+    other.start()
+    world = make(spark, tmp_path / "w", Models(standin_embedder(), slow, in_flight=1))
+    report = world.ingest(str(tmp_path / "in"), stop)
+    other.join()
+    assert report["cancelled"] and not report["complete"] and report["embedding"] == "completed" and report["nodes"] == 0
+    open(done, "w").close()
+    again = world.ingest(str(tmp_path / "in"))
+    assert again["complete"] and not again["cancelled"] and again["run"] == report["run"]
+    # One that is cancelled before it begins does nothing.
+    assert world.ingest(str(tmp_path / "in"), stop)["cancelled"]
+
+
+def test_extraction_defaults_are_kept_and_locked_during_a_run(spark, tmp_path):
+    world = make(spark, tmp_path / "w")
+    world.set_extraction("List what is named.", gleans=0)
+    again = make(spark, tmp_path / "w")
+    assert (again.models.instructions, again.models.gleans) == ("List what is named.", 0)
+    again._save("active")
+    with pytest.raises(WorldLocked, match="GRAPH_CONFIG_RUN_ACTIVE"):
+        world.set_extraction(gleans=2)
+    again._save("paused")
+    world.set_extraction(gleans=2)
+    assert make(spark, tmp_path / "w").models.gleans == 2
+
+
+def test_a_run_that_fails_is_paused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.docx").write_text("x")
+    world = make(spark, tmp_path / "w")
+    with pytest.raises(ValueError, match="UNSUPPORTED_FILE_TYPE"):
+        world.ingest(str(tmp_path / "in"))
+    assert make(spark, tmp_path / "w").info["status"] == "paused"

@@ -7,7 +7,9 @@ and writes the next, so a run can stop anywhere and be started again; a second r
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,43 @@ _WARNINGS = {"missing": "RETRIEVAL_CHUNK_FILE_MISSING", "stale": "RETRIEVAL_CHUN
 
 
 class WorldLocked(ValueError):
-    """FLT18: the splitter or profile of a world cannot change without a full re-ingest."""
+    """FLT18: the splitter or profile of a world cannot change without a full re-ingest; FLT19: nor its extraction defaults during a run."""
+
+
+class Cancellation:
+    """ST18: ends a world's run from another thread.
+
+    Spark cancels the job in flight, so no answer that comes late is stored; what was not written stays pending, and
+    the run pauses. A world's snapshots are whole or not there, so a cancelled write leaves nothing behind.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._context, self._group, self._asked = spark.sparkContext, f"world-{uuid.uuid4().hex}", threading.Event()
+
+    @property
+    def asked(self) -> bool:
+        return self._asked.is_set()
+
+    def cancel(self) -> None:
+        self._asked.set()
+        self._context.cancelJobGroup(self._group)
+
+    def run(self, stages: list[Callable[[], None]]) -> bool:
+        """The stages in order as one group of jobs; False if they were cancelled before their end."""
+        self._context.setJobGroup(self._group, "world", True)
+        try:
+            for stage in stages:
+                if self.asked:
+                    return False
+                stage()
+        except Exception:  # noqa: BLE001  a cancelled job fails in whatever way its action fails
+            if not self.asked:
+                raise
+            return False
+        finally:
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                self._context.setLocalProperty(name, None)
+        return True
 
 
 @dataclass
@@ -74,6 +112,8 @@ class World:
                 raise WorldLocked("WORLD_EMBEDDING_PROFILE_LOCKED")
         else:
             self.info = {"world_uuid": str(uuid.uuid4()), "name": name, "splitter": asdict(splitter), "profile": models.profile, "run": None, "status": None}
+        if self.info.get("extraction"):  # saved defaults come before those of the call
+            models.instructions, models.gleans = self.info["extraction"]["instructions"], self.info["extraction"]["gleans"]
 
     def _table(self, name: str) -> stored.Snapshots:
         return stored.Snapshots(self.spark, f"{self.folder}/{name}")
@@ -91,32 +131,40 @@ class World:
         self.info["status"] = status
         self.meta.write(self.spark.createDataFrame([(json.dumps(self.info),)], "json string"))
 
-    def ingest(self, path: str) -> dict:
+    def set_extraction(self, instructions: str | None = None, gleans: int | None = None) -> None:
+        """FLT19: new defaults of extraction for this world; not while a run is active, also one that another driver began."""
+        saved = self.meta.read("json string").collect()
+        if saved and json.loads(saved[0].json)["status"] == "active":
+            raise WorldLocked("GRAPH_CONFIG_RUN_ACTIVE")
+        kept = {"instructions": self.models.instructions if instructions is None else instructions, "gleans": self.models.gleans if gleans is None else gleans}
+        self.models.instructions, self.models.gleans = kept["instructions"], kept["gleans"]
+        self.info["extraction"] = kept
+        self._save(self.info["status"])
+
+    def ingest(self, path: str, cancellation: Cancellation | None = None) -> dict:
         """EP1, EP2: new or unfinished sources at path through all stages; a report of counts and statuses."""
         self._save("active")
-        self._store_sources(path)
-        self._split()
-        self._embed()
-        self._extract()
-        self._manifest()
-        report = self.report()
-        self._save("completed" if report["complete"] else "paused")
-        self._table("_work").drop()
-        return report | {"run": self.info["run"]}
+        return self._run([lambda: self._store_sources(path), self._split, self._embed, self._extract, self._manifest], cancellation)
 
-    def reingest(self) -> dict:
+    def reingest(self, cancellation: Cancellation | None = None) -> dict:
         """EP3, ST16: all derived tables anew from the stored sources."""
         for name, schema in (("chunks", CHUNKS), ("points", POINTS), ("states", STATES), ("passes", PASSES), ("nodes", NODES), ("edges", EDGES), ("node_vectors", NODE_VECTORS)):
             self._table(name).write(self.spark.createDataFrame([], schema))
         self.info["status"] = "completed"
         self._save("active")
-        self._restore_sources()
-        for stage in (self._split, self._embed, self._extract, self._manifest):
-            stage()
+        return self._run([self._restore_sources, self._split, self._embed, self._extract, self._manifest], cancellation)
+
+    def _run(self, stages: list[Callable[[], None]], cancellation: Cancellation | None) -> dict:
+        """ST15, ST18: the stages of a run that has begun; it completes, or pauses with what is left."""
+        try:
+            ended = (cancellation or Cancellation(self.spark)).run(stages)
+        except BaseException:
+            self._save("paused")  # a run that fails is not active any more
+            raise
         report = self.report()
-        self._save("completed" if report["complete"] else "paused")
+        self._save("completed" if ended and report["complete"] else "paused")
         self._table("_work").drop()
-        return report
+        return report | {"run": self.info["run"], "cancelled": not ended}
 
     def _restore_sources(self) -> None:
         """SRC9: slots whose stored source is gone get their backup copy again."""
