@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.chunking import SplitterConfig
 from weftline.operators.manifestation import GraphStoreUnavailable
-from weftline.plans.engine import CHUNKS, Cancellation, Models, World, WorldLocked
+from weftline.plans.engine import CHUNKS, NODE_VECTORS, Cancellation, Models, World, WorldLocked
 from weftline.plans.providers import standin_embedder, standin_extractor
 
 
@@ -24,6 +24,11 @@ def test_ingest_resume_append_retrieve(spark, tmp_path):
     world = make(spark, tmp_path / "w")
     first = world.ingest(str(source))
     assert first["complete"] and first["chunks"] >= 2 and first["nodes"] and first["edges"]
+    points = world._table("node_vectors").read(NODE_VECTORS)
+    assert points.count() == first["nodes"] and points.filter("chunk_text_hash is null or source_filename <> 'a.txt' or embedding_profile_key is null or dimensions <> 16 or ingestion_run_id is null").count() == 0
+    graph = spark.read.parquet(str(tmp_path / "w/graph/edges/*"))
+    assert graph.count() == first["edges"] and graph.filter("source_display_name is null or target_display_name is null or chunk_file is null").count() == 0
+    assert [tuple(r) for r in world.book_totals().collect()] == [(1, first["nodes"], first["edges"])]
     again = make(spark, tmp_path / "w").ingest(str(source))
     assert {k: again[k] for k in ("chunks", "nodes", "edges", "complete")} == {k: first[k] for k in ("chunks", "nodes", "edges", "complete")}
     (source / "b.txt").write_text("The archive of Ostra burned.")

@@ -1,4 +1,4 @@
-"""PRJ5-PRJ7, JN6, JN7, JN9, ST10-ST12, SNK5-SNK8, UDF6: extracted candidates to vectors, graph nodes and dependency-checked edges."""
+"""PRJ5-PRJ7, AGG5, SET2, JN6, JN7, JN9, ST10-ST12, SNK4-SNK8, UDF6: extracted candidates to vectors, graph nodes and dependency-checked edges."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import node_point_id, node_text, sha256
+from ..functions.identity import node_point_id, node_text, profile_key, sha256
 from ..functions.status import EMBEDDED, FAILED, FAILED_DEPENDENCY, PENDING, RETRIES, WAITING_DEPENDENCY, WRITTEN, after_failure, node_status
 from ..sources.stored import Snapshots
 
@@ -112,15 +112,46 @@ def _written(states: DataFrame, status: str, ready: Column, write: Callable[[Dat
     return states.withColumn(status, F.when(ready, WRITTEN).otherwise(F.col(status))), True
 
 
-def write_nodes(states: DataFrame, writer, world: str = "") -> tuple[DataFrame, bool]:
+def located(rows: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    """PRJ7: rows with what chunks say of where they come from, one row a (book_number, chunk_number); none changes nothing."""
+    return rows if chunks is None else rows.join(chunks, ["book_number", "chunk_number"], "left")
+
+
+def named(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """PRJ7: edges with their ends' display names, from nodes (node_id, display_name)."""
+    for side in ("source", "target") if nodes is not None else ():
+        edges = edges.join(nodes.select(F.col("node_id").alias(f"{side}_node_id"), F.col("display_name").alias(f"{side}_display_name")), f"{side}_node_id", "left")
+    return edges
+
+
+def vector_rows(vectors: DataFrame, states: DataFrame, chunks: DataFrame, world: str, profile: dict) -> DataFrame:
+    """SNK4: vectors (node_id, vector) as points: the node's and its chunk's fields, and the profile that made the vector."""
+    of = {c: F.lit(profile.get(c)) for c in ("provider_id", "model_id", "task_type", "dimensions", "profile_version")}
+    key = profile_key(of["provider_id"], of["model_id"], of["dimensions"], of["task_type"], of["profile_version"])
+    rows = located(vectors.select("node_id", "vector").join(states.select("node_id", "point_id", "book_number", "chunk_number", "display_name", "text_hash"), "node_id"), chunks)
+    return rows.withColumns({"world_uuid": F.lit(world), **{c: of[c] for c in ("provider_id", "model_id", "task_type", "dimensions")}, "embedding_model_id": of["model_id"], "embedding_profile_version": of["profile_version"], "embedding_profile_key": key})
+
+
+def book_totals(nodes: DataFrame, edges: DataFrame, book: str) -> DataFrame:
+    """AGG5: (book, nodes, edges) of every book that has any; both are counted in one aggregate, combined before its shuffle."""
+    both = nodes.select(book, F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(edges.select(book, F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return both.groupBy(book).agg(F.sum("n").alias("nodes"), F.sum("e").alias("edges"))
+
+
+def chunk_numbers(nodes: DataFrame, edges: DataFrame, chunk: list[str]) -> DataFrame:
+    """SET2: the chunks that have a node or an edge."""
+    return nodes.select(*chunk).union(edges.select(*chunk)).distinct()
+
+
+def write_nodes(states: DataFrame, writer, world: str = "", chunks: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """ST12: node states after a write of those that are embedded and not written; False if the sink was unavailable."""
     states = states.withColumns({"write_status": F.when(F.col("write_status") == FAILED, PENDING).otherwise(F.col("write_status"))})
     ready = (F.col("embedding_status") == EMBEDDED) & (F.col("write_status") == PENDING)
     progress = [c for c in ("embedding_status", "write_status", "retry_count") if c in states.columns]
-    return _written(states, "write_status", ready, getattr(writer, "write_nodes", None) or writer.write, states.filter(ready).drop(*progress).withColumn("world_uuid", F.lit(world)))
+    return _written(states, "write_status", ready, getattr(writer, "write_nodes", None) or writer.write, located(states.filter(ready).drop(*progress), chunks).withColumn("world_uuid", F.lit(world)))
 
 
-def write_edges(edges: DataFrame, writer, world: str = "") -> tuple[DataFrame, bool]:
+def write_edges(edges: DataFrame, writer, world: str = "", chunks: DataFrame | None = None, nodes: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """SNK6: edges after a write of the pending ones, whose ends edge_dependencies has found in place; False as above."""
     ready = F.col("status") == PENDING
-    return _written(edges, "status", ready, writer.write_edges, edges.filter(ready).drop("status", "retry_count").withColumn("world_uuid", F.lit(world)))
+    return _written(edges, "status", ready, writer.write_edges, located(named(edges.filter(ready).drop("status", "retry_count"), nodes), chunks).withColumn("world_uuid", F.lit(world)))

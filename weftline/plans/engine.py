@@ -26,7 +26,10 @@ STATES = "point_id string, book_number int, chunk_number int, chunk_text string,
 PASSES = "book_number int, chunk_number int, text_hash string, pass_type string, pass_number int, response string, code string, instructions string"
 NODES = "book_number int, chunk_number int, node_id string, display_name string, description string, point_id string, text_hash string, embedding_status string, write_status string, retry_count int"
 EDGES = "book_number int, chunk_number int, edge_id string, source_node_id string, target_node_id string, description string, strength int, status string, retry_count int"
-NODE_VECTORS = "node_id string, vector array<float>"
+NODE_VECTORS = (
+    "node_id string, vector array<float>, point_id string, world_uuid string, ingestion_run_id string, source_filename string, book_number int, chunk_number int, chunk_position string, chunk_file string, chunk_text_hash string, "
+    "display_name string, text_hash string, provider_id string, model_id string, task_type string, dimensions int, embedding_model_id string, embedding_profile_version int, embedding_profile_key string"
+)
 
 
 #: What a hit that fails verification is called.
@@ -275,16 +278,22 @@ class World:
         done, found = work.embed_all(self._keep(asked), "node_id", "text", self.models.embedder(), self._keep, self.models.in_flight)
         states = states.drop("embedding_status", "retry_count").join(done.select("node_id", F.col("status").alias("embedding_status"), "retry_count"), "node_id")
         graph = self.models.graph or manifestation.TableGraph(f"{self.folder}/graph")
-        states, there = manifestation.write_nodes(self._keep(states.select(*old.columns)), graph, self.info["world_uuid"])
+        places = self._table("chunks").read(CHUNKS).select("book_number", "chunk_number", "source_filename", "chunk_position", "chunk_file", F.col("text_hash").alias("chunk_text_hash"), F.lit(self.info["run"]).alias("ingestion_run_id"))
+        states, there = manifestation.write_nodes(self._keep(states.select(*old.columns)), graph, self.info["world_uuid"], places)
         states = self._keep(states.select(*old.columns))
         if there:  # without a sink edges are left as they are
             links = self._keep(manifestation.edge_dependencies(links, states))
-            links, _ = manifestation.write_edges(links, graph, self.info["world_uuid"])
+            links, _ = manifestation.write_edges(links, graph, self.info["world_uuid"], places, states)
         held = self._table("node_vectors").read(NODE_VECTORS).join(states.select("node_id"), "node_id", "left_semi")
-        self._table("node_vectors").write(held.join(found.select("node_id"), "node_id", "left_anti").unionByName(found.select("node_id", "vector")))
+        points = manifestation.vector_rows(found, states, places, self.info["world_uuid"], self.info["profile"])
+        self._table("node_vectors").write(held.join(found.select("node_id"), "node_id", "left_anti").select(*held.columns).unionByName(points.select(*held.columns)))
         self._table("nodes").write(states)
         self._table("edges").write(links.select(*old_edges.columns))
 
+    def book_totals(self) -> DataFrame:
+        """AGG5: nodes and edges of each book."""
+        return manifestation.book_totals(self._table("nodes").read(NODES), self._table("edges").read(EDGES), "book_number")
+
     def report(self) -> dict:
         """AGG2-AGG5, FLT17: counts and roll-ups; complete if every stage of every book is."""
         states, passes = self._table("states").read(STATES), self._table("passes").read(PASSES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import status, text
-from ..operators import chunking, worlds
+from ..operators import chunking, manifestation, worlds
 from ..sources import models, stored
 from .registry import query, table
 
@@ -149,3 +149,62 @@ def safe_assets(spark, sf_dir):
     kind = F.when(k % 4 < 2, "image").when(k % 4 == 2, "font").when(k % 8 == 3, "sound")
     file = F.element_at(F.array(*map(F.lit, ["a.png", "../a.png", "b\\a.png", "..", ""])), (k % 5 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(k, status.safe_record(kind, F.when(k % 9 == 0, "").otherwise(k.cast("string")), file).alias("safe"))
+
+
+@query("book_totals", """
+        SELECT coalesce(a.book, b.book) AS book, coalesce(n, 0) AS nodes, coalesce(e, 0) AS edges FROM (SELECT doc_id % 50 AS book, count(*) AS n FROM documents GROUP BY 1) a
+        FULL JOIN (SELECT l_orderkey % 60 AS book, count(*) AS e FROM lineitem GROUP BY 1) b ON a.book = b.book""")
+def book_totals(spark, sf_dir):
+    """AGG5: documents as nodes, lines as edges; some books have edges alone."""
+    nodes, edges = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("book")), table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 60).alias("book"))
+    return manifestation.book_totals(nodes, edges, "book")
+
+
+@query("chunk_numbers", "SELECT c_nationkey AS book_number, c_custkey % 100 AS chunk_number FROM customer UNION SELECT (o_custkey % 25)::INT, o_orderkey % 120 FROM orders")
+def chunk_numbers(spark, sf_dir):
+    """SET2: customers as nodes, orders as edges."""
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("book_number"), (F.col("c_custkey") % 100).alias("chunk_number"))
+    edges = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).cast("int").alias("book_number"), (F.col("o_orderkey") % 120).alias("chunk_number"))
+    return manifestation.chunk_numbers(nodes, edges, ["book_number", "chunk_number"])
+
+
+class _Sink:
+    """A graph sink that takes its rows, refuses them, or is away."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def write_nodes(self, rows) -> None:
+        if self.kind == "away":
+            raise manifestation.GraphStoreUnavailable(self.kind)
+        if self.kind == "refusing":
+            raise ValueError(self.kind)
+        rows.write.format("noop").mode("overwrite").save()
+
+
+@query("write_outcomes", """
+        WITH s AS (SELECT c_custkey, c_custkey % 3 = 0 AS embedded, CASE WHEN c_custkey % 5 = 0 THEN 'written' ELSE 'pending' END AS w, (c_custkey % 4)::INT AS n FROM customer)
+        SELECT sink, c_custkey, CASE WHEN embedded AND w = 'pending' AND sink = 'taking' THEN 'written' WHEN embedded AND w = 'pending' AND sink = 'refusing' AND n + 1 >= 3 THEN 'failed' ELSE w END AS write_status,
+               n + CASE WHEN embedded AND w = 'pending' AND sink = 'refusing' THEN 1 ELSE 0 END AS retry_count FROM s, (VALUES ('taking'), ('refusing'), ('away')) t(sink)""")
+def write_outcomes(spark, sf_dir):
+    """ST12, SNK8: customers as node states, written to three sinks; failed writes of earlier runs are tried again."""
+    k = F.col("c_custkey")
+    written = F.when(k % 5 == 0, "written").when(k % 5 == 1, "failed").otherwise("pending")
+    states = table(spark, sf_dir, "customer").select(k, F.when(k % 3 == 0, "embedded").when(k % 3 == 1, "failed").otherwise("pending").alias("embedding_status"), written.alias("write_status"), (k % 4).cast("int").alias("retry_count"))
+    found = [manifestation.write_nodes(states, _Sink(kind))[0].select(F.lit(kind).alias("sink"), "c_custkey", "write_status", "retry_count") for kind in ("taking", "refusing", "away")]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query("node_points", """
+        SELECT p_partkey AS node_id, p_partkey % 150 AS book_number, s_name AS source_filename, p_name AS display_name, 'local' AS provider_id, 16 AS dimensions, 'm' AS embedding_model_id,
+               substr(sha256('{"dimensions":16,"model_id":"m","profile_version":1,"provider_id":"local","task_type":"D"}'), 1, 16) AS embedding_profile_key
+        FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 150""")
+def node_points(spark, sf_dir):
+    """SNK4, PRJ7: parts as nodes, suppliers as their chunks; some nodes' chunks are not there."""
+    k = F.col("p_partkey")
+    states = table(spark, sf_dir, "part").select(k.alias("node_id"), k.cast("string").alias("point_id"), (k % 150).alias("book_number"), F.lit(1).alias("chunk_number"), F.col("p_name").alias("display_name"), F.col("p_brand").alias("text_hash"))
+    chunks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("book_number"), F.lit(1).alias("chunk_number"), F.col("s_name").alias("source_filename"))
+    vectors = states.select("node_id", F.array(F.lit(1.0)).alias("vector"))
+    profile = {"provider_id": "local", "model_id": "m", "dimensions": 16, "task_type": "D", "profile_version": 1}
+    found = manifestation.vector_rows(vectors, states, chunks, "w", profile)
+    return found.select("node_id", "book_number", "source_filename", "display_name", "provider_id", "dimensions", "embedding_model_id", "embedding_profile_key")
