@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_dedup, media, near_dedup, secrets, suffix_dedup, token_counts, toxicity, url_filters
-from .shared import materialise, shared_dir, table
+from . import byte_bpe, decontamination, line_dedup, media, near_dedup, packing, periodic, secrets, suffix_dedup, token_counts, toxicity, url_filters, whitening
+from .shared import WORD, let, materialise, shared_dir, table
 
 #: The vocabulary of the token queries; operators take any path.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -92,6 +93,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "whitening.*")
+    each = found.select("vec_id", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("values", "explained")).alias("at", "x"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", F.col("x.values").alias("whitened"), F.col("x.explained").alias("explained"), "identity_error")
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents, chosen by crc32 of the id, repeat a stretch of their words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda at: F.array_join(F.transform(words, lambda w, i: F.when(i < at["a"], w).otherwise(F.get(words, at["a"] + (i - at["a"]) % at["p"]))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
+    made = let(words, lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(F.lit("")))
+    return docs.withColumn("text", F.when(h % 10 == 0, made).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(_with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "periodic.*")
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.concat(F.lit(""), F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), ""))
+    placed = found.withColumn("first", first)
+    return placed.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("first.start")).alias("start"), F.col("first.length").alias("length"), (-F.col("first.period")).alias("period"),
+        F.floor(F.col("first.length") * 1000 / -F.col("first.period")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, PATTERN, 2048, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -104,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_best_fit_packing": op13_best_fit_packing,
     "secret_base_spans": secret_base_spans,
     "token_rollup_documents": token_rollup_documents,
 }

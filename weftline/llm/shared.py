@@ -46,10 +46,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder path of the shared folder goes when the driver's interpreter ends."""
+    atexit.register(_drop, spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
