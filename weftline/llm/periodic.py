@@ -140,6 +140,6 @@ def _finished(rows: DataFrame, text: str, runs: str | None, out: str) -> DataFra
                 made = pa.array([one(t.as_py(), k.as_py()) for t, k in zip(texts.slice(a, ROWS), given.slice(a, ROWS))], kind)
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, ROWS) for c in columns], made], names=[*kept, out])
 
-    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(out, T._parse_datatype_string(f"n_words bigint, runs {_SCHEMA}, collapsed string"))])
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(out, T.StructType.fromDDL(f"n_words bigint, runs {_SCHEMA}, collapsed string"))])
     asked = rows.select(*kept, F.col(text).alias(value), (F.col(runs) if runs else F.lit(None).cast(_SCHEMA)).alias(known))
     return arrow_map(asked, result, schema)
