@@ -173,6 +173,14 @@ def test_pieces_equal_the_library(spark):
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids) == 64 or r.piece == 0 for r in found)
 
 
+def test_a_worker_forgets_what_it_does_not_use(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    own = packing.Encoder(TOKENIZER, P.PATTERN)
+    for text in ("a b c d", "é d e", "f", "a b 😀", ""):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own) + len(own.before) < 12
+
+
 def best_fit_decreasing(sizes, capacity):
     gaps = []
     for s in sorted(sizes, reverse=True):

@@ -23,6 +23,7 @@ import itertools
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,20 +33,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import PLAIN, PLAIN_PIECES
+from .byte_bpe import PLAIN, PLAIN_PIECES, byte_characters
 from .shared import arrow_map, drop_at_exit, fresh, materialise, shared_dir
 
 #: Of the sequences that the waiting pieces' sum fills, the share that opens at once; the rest follow when these are full.
 SHARE = 0.8
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 200_000
-#: Kinds of rows: waiting piece, gap, placed piece.
-WAITS, GAP, PLACED = 0, 1, 2
+#: Pieces of text whose ids a worker remembers since it last set its memory aside; what it set aside counts as well.
+REMEMBERED = 500_000
+#: Kinds of rows: waiting piece, gap, placed piece, and how many pieces and slots a task's sweep leaves.
+WAITS, GAP, PLACED, LEFT = 0, 1, 2, 3
 _STATE = "kind int, id long, size long, seq long"
 
 
 class Encoder(dict):
-    """Piece of text to its ids as little-endian unsigned 32-bit numbers, asked of the tokenizers library when first seen."""
+    """Piece of text to its ids as little-endian unsigned 32-bit numbers, asked of the tokenizers library when first seen.
+
+    The file is one of a byte-level BPE: its model sees each byte as one character. Pieces that were used since the
+    memory was last set aside stay, others are forgotten at the next time.
+    """
 
     def __init__(self, path: str, pattern: str):
         import public_tokenizers
@@ -53,16 +58,22 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.before = self.tokenizer.model, {}
+        self.table = dict(enumerate(byte_characters()))
         self.pattern, self.usual = regex.compile(pattern), pattern == public_tokenizers.PATTERN
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = np.array(self.model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
         split = PLAIN_PIECES if self.usual and PLAIN.fullmatch(text) else self.pattern
         return b"".join(map(self.__getitem__, split.findall(text)))
@@ -178,6 +189,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((GAP, i, size, None, part, slots, times - took))
             slots += times - took
         yield _batch(out, _SWEPT)
+    yield _batch([(LEFT, None, None, None, part, len(stack), slots)], _SWEPT)
     for a in range(0, len(stack), 10_000):
         yield _batch([(WAITS, i, n, None, part, a + j, 0) for j, (i, n) in enumerate(stack[a : a + 10_000])], _SWEPT)
 
@@ -207,13 +219,13 @@ def _resolved(swept: DataFrame, met: list[tuple[int, int, int, int, int]]) -> Da
     """The state behind a sweep: placed pieces, and what waits or is free, after tasks' leftovers have met by rank."""
     columns = [f.split()[0] for f in _STATE.split(", ")]
     if not met:
-        return swept.select(*columns)
+        return swept.filter(F.col("kind") != LEFT).select(*columns)
     spark = swept.sparkSession
-    ranks = F.broadcast(spark.createDataFrame(met, "part int, low long, high long, gap_part int, first long"))  # two rows a task at most
+    ranks = F.broadcast(spark.createDataFrame(pa.Table.from_batches([_batch(met, "part int, low long, high long, gap_part int, first long")])))  # two rows a task at most
     reach: dict[int, int] = {}
     for _, low, high, part, first in met:
         reach[part] = max(reach.get(part, 0), first + high - low)
-    reached = F.broadcast(spark.createDataFrame(list(reach.items()), "part int, reach long"))
+    reached = F.broadcast(spark.createDataFrame(pa.Table.from_batches([_batch(list(reach.items()), "part int, reach long")])))
     waits = swept.filter(F.col("kind") == WAITS).join(ranks, (swept["part"] == ranks["part"]) & F.col("rank").between(F.col("low"), F.col("high") - 1), "left")
     placed = waits.filter("gap_part is not null").select("gap_part", (F.col("first") + F.col("high") - 1 - F.col("rank")).alias("slot"), F.struct("id", "size").alias("piece"))
     gaps = swept.filter(F.col("kind") == GAP).join(reached, "part", "left").withColumn("uses", F.least(F.col("slots"), F.col("reach") - F.col("rank")))
@@ -243,19 +255,16 @@ def pack(rows: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
     sized = rows.select(F.col(key).cast("long").alias("id"), F.col(length).cast("long").alias("size"))
     state = state_of(sized.select(F.when(full, PLACED).otherwise(WAITS).alias("kind"), "id", "size", F.when(full, F.col("id")).alias("seq")))
     for turn in itertools.count():
-        sizes: dict[int, dict[int, int]] = {WAITS: {}, GAP: {}}
-        for r in state.filter(F.col("kind") != PLACED).groupBy("kind", "size").count().collect():  # capacity rows of a kind at most
-            sizes[r.kind][r["size"]] = r["count"]
-        waiting = sizes[WAITS]
-        if not waiting:
+        waits, is_gap = F.col("kind") == WAITS, F.col("kind") == GAP
+        seen = state.agg(F.max(F.when(waits, F.col("size"))).alias("largest"), F.min(F.when(waits, F.col("size"))).alias("least"), F.max(F.when(is_gap, F.col("size"))).alias("gap")).first()
+        if seen.largest is None:
             break
-        largest, least = max(waiting), min(waiting)
-        open_rows = state.filter(F.col("kind") == WAITS)
-        gaps = state.filter((F.col("kind") == GAP) & (F.col("size") >= least))
-        if max(sizes[GAP], default=0) < largest:
+        largest, open_rows, gaps = seen.largest, state.filter(waits), state.filter(is_gap & (F.col("size") >= seen.least))
+        if (seen.gap or 0) < largest:
+            waiting = {r["size"]: r["count"] for r in open_rows.groupBy("size").count().collect()}  # capacity rows at most
             new, chosen, bound = _opened(state, waiting, capacity, turn)
             new = state_of(new)
-            open_rows, gaps = open_rows.filter(~chosen), gaps.unionByName(new.filter((F.col("kind") == GAP) & (F.col("size") >= least)))
+            open_rows, gaps = open_rows.filter(~chosen), gaps.unionByName(new.filter(is_gap & (F.col("size") >= seen.least)))
             largest = max((s for s in waiting if s <= bound), default=1)
         # A gap's times are the pieces it can hold whatever they are; it stands where the least of their places would.
         times = F.greatest(F.lit(1), F.floor(F.col("size") / largest))
@@ -263,7 +272,7 @@ def pack(rows: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
         order = ["value", "kind", "tie", "id"]
         ranged = both.withColumn("tie", F.xxhash64("id")).select("kind", "id", "size", "times", "value", "tie").repartitionByRange(*order).sortWithinPartitions(*order)
         swept = kept(arrow_map(ranged, _sweep, _SWEPT), f"swept-{turn}")
-        left = swept.groupBy("part").agg(F.count_if(F.col("kind") == WAITS).alias("waits"), F.sum("slots").alias("slots")).collect()  # a row a task
+        left = swept.filter(F.col("kind") == LEFT).select("part", "rank", "slots").collect()  # a row a task
         state = state_of(_resolved(swept, meetings([tuple(r) for r in left])))
     placed = spark.read.schema(_STATE).parquet(*paths).filter(F.col("kind") == PLACED)
     before = F.sum("size").over(Window.partitionBy("seq").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
