@@ -3,14 +3,17 @@
 import os
 import threading
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators.chunking import SplitterConfig
+from weftline.operators import manifestation
 from weftline.operators.manifestation import GraphStoreUnavailable
 from weftline.plans.engine import CHUNKS, NODE_VECTORS, Cancellation, Models, World, WorldLocked
 from weftline.plans.providers import standin_embedder, standin_extractor
+from weftline.sources.keyed import LeaseLost
 
 
 def make(spark, folder, models=None, size=60):
@@ -24,9 +27,9 @@ def test_ingest_resume_append_retrieve(spark, tmp_path):
     world = make(spark, tmp_path / "w")
     first = world.ingest(str(source))
     assert first["complete"] and first["chunks"] >= 2 and first["nodes"] and first["edges"]
-    points = world._table("node_vectors").read(NODE_VECTORS)
+    points = world._vectors().rows(spark.createDataFrame([], NODE_VECTORS))
     assert points.count() == first["nodes"] and points.filter("chunk_text_hash is null or source_filename <> 'a.txt' or embedding_profile_key is null or dimensions <> 16 or ingestion_run_id is null").count() == 0
-    graph = spark.read.parquet(str(tmp_path / "w/graph/edges/*"))
+    graph = world._graph().edges.rows(spark.createDataFrame([], "edge_id string, source_display_name string, target_display_name string, chunk_file string"))
     assert graph.count() == first["edges"] and graph.filter("source_display_name is null or target_display_name is null or chunk_file is null").count() == 0
     assert [tuple(r) for r in world.book_totals().collect()] == [(1, first["nodes"], first["edges"])]
     again = make(spark, tmp_path / "w").ingest(str(source))
@@ -43,8 +46,10 @@ def test_ingest_resume_append_retrieve(spark, tmp_path):
     with pytest.raises(ValueError, match="WORLD_REINGEST_REQUIRED"):
         make(spark, tmp_path / "w").ingest(str(source))
     # A chunk whose stored text changed is dropped from the hits and becomes pending.
+    world = make(spark, tmp_path / "w")
+    world.lease.take()
     table = world._table("chunks")
-    table.write(world._keep(table.read(CHUNKS).withColumn("chunk_text", F.when(F.col("book_number") == 2, "other").otherwise(F.col("chunk_text")))))
+    table.upsert(table.read(CHUNKS).filter("book_number = 2").withColumn("chunk_text", F.lit("other")))
     stale = world.retrieve("archive of Ostra burned", top_k=1)
     assert stale["warnings"] == ["RETRIEVAL_CHUNK_VECTOR_STALE"] and stale["chunks"] == []
     assert world.report()["embedding"] == "partial"
@@ -182,3 +187,105 @@ def test_a_run_that_fails_is_paused(spark, tmp_path):
     with pytest.raises(ValueError, match="UNSUPPORTED_FILE_TYPE"):
         world.ingest(str(tmp_path / "in"))
     assert make(spark, tmp_path / "w").info["status"] == "paused"
+
+
+def naming(names, edge=True):
+    """An extractor that always finds these names, the first two of them connected."""
+    nodes = ",".join('{"display_name":"%s","description":"is there"}' % n for n in names)
+    link = '{"source_display_name":"%s","target_display_name":"%s","description":"met","strength":5}' % tuple(names[:2]) if edge else ""
+    return lambda prompt: {"text": '{"nodes":[%s],"edges":[%s]}---COMPLETE---' % (nodes, link)}
+
+
+def held(world, spark):
+    graph = world._graph()
+    rows = lambda writer, key: {getattr(r, key) for r in writer.rows(spark.createDataFrame([], f"{key} string")).collect()}
+    return rows(graph.nodes, "node_id"), rows(graph.edges, "edge_id"), rows(world._vectors(), "point_id")
+
+
+class Flaky:
+    """The world's own graph, which is away, or fails behind a write, while a file says so."""
+
+    def __init__(self, graph, state):
+        self.graph, self.state = graph, state
+
+    def __getattr__(self, name):
+        def call(rows):
+            mode = open(self.state).read()
+            if mode == "away":
+                raise GraphStoreUnavailable("away")
+            getattr(self.graph, name)(rows)
+            if mode == "crash":
+                raise KeyboardInterrupt
+
+        return call
+
+
+def test_reingest_leaves_only_the_new_graph(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Anna met Boris.")
+    state = str(tmp_path / "state")
+    open(state, "w").write("there")
+    graph = Flaky(manifestation.TableGraph(str(tmp_path / "w/graph")), state)
+    models = lambda names: Models(standin_embedder(), naming(names), in_flight=1, gleans=0, graph=graph)
+    world = make(spark, tmp_path / "w", models(["Anna", "Boris"]))
+    first = world.ingest(str(tmp_path / "in"))
+    own = make(spark, tmp_path / "w")
+    before = held(own, spark)
+    assert first["complete"] and [len(x) for x in before] == [2, 1, 2]
+    # Ids are those of the formula, with the run's id.
+    namespace = uuid.UUID(world.info["world_uuid"])
+    node = lambda run, name: str(uuid.uuid5(namespace, f"graph-candidate:{run}:book:1:chunk:1:node:{name}"))
+    assert before[0] == {node(first["run"], "Anna"), node(first["run"], "Boris")}
+    assert before[2] == {str(uuid.uuid5(namespace, f"graph-node:{first['run']}:book:1:node:{n}")) for n in before[0]}
+    # A graph that is away keeps its deletes waiting, and takes nothing new before them.
+    open(state, "w").write("away")
+    second = make(spark, tmp_path / "w", models(["Clara", "Dmitri"])).reingest()
+    assert not second["complete"] and held(own, spark)[:2] == before[:2] and held(own, spark)[2] & before[2] == set()
+    # A crash between a delete and its acknowledgement: the next run deletes again, which changes nothing.
+    open(state, "w").write("crash")
+    with pytest.raises(KeyboardInterrupt):
+        make(spark, tmp_path / "w", models(["Clara", "Dmitri"])).ingest(str(tmp_path / "in"))
+    open(state, "w").write("there")
+    third = make(spark, tmp_path / "w", models(["Clara", "Dmitri"])).ingest(str(tmp_path / "in"))
+    after = held(own, spark)
+    assert third["complete"] and third["run"] == second["run"] and after[0] == {node(second["run"], "Clara"), node(second["run"], "Dmitri")} and [len(x) for x in after] == [2, 1, 2]
+    # Writing the same again makes no new version.
+    versions = [graph.graph.nodes.table(spark.range(0)).version(), graph.graph.edges.table(spark.range(0)).version()]
+    make(spark, tmp_path / "w", models(["Clara", "Dmitri"])).ingest(str(tmp_path / "in"))
+    assert versions == [graph.graph.nodes.table(spark.range(0)).version(), graph.graph.edges.table(spark.range(0)).version()]
+
+
+def test_a_run_that_is_taken_over_fails_and_leaves_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Anna met Boris.")
+    other, extract = [], naming(["Anna", "Boris"])
+    world = make(spark, tmp_path / "w", Models(standin_embedder(), extract, in_flight=1, gleans=0))
+    kept = world._keep
+
+    def keep(rows):
+        if not other:  # in the middle of the first run another driver begins one
+            other.append(make(spark, tmp_path / "w", Models(standin_embedder(), extract, in_flight=1, gleans=0)).ingest(str(tmp_path / "in")))
+        return kept(rows)
+
+    world._keep = keep
+    with pytest.raises(LeaseLost, match="WORLD_RUN_TAKEN_OVER"):
+        world.ingest(str(tmp_path / "in"))
+    assert other[0]["complete"] and make(spark, tmp_path / "w").info["status"] == "completed" and [len(x) for x in held(make(spark, tmp_path / "w"), spark)] == [2, 1, 2]
+
+
+def test_an_append_costs_what_it_adds(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(40):
+        (tmp_path / f"in/{i:03}.txt").write_text(f"Book {i} tells of person{i}. " * 60)
+    models = lambda: Models(standin_embedder(), naming(["Anna", "Boris"]), in_flight=2, gleans=0)
+    tables = ("sources", "source_backups", "chunks", "points", "states", "passes", "nodes", "edges")
+    sizes = lambda: {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for t in tables for d, _, names in os.walk(tmp_path / "w" / t) for f in names if f.endswith(".parquet")}
+    make(spark, tmp_path / "w", models(), size=2000).ingest(str(tmp_path / "in"))
+    before = sizes()
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/z.txt").write_text("One more book.")
+    report = make(spark, tmp_path / "w", models(), size=2000).ingest(str(tmp_path / "more"))
+    new = {p: n for p, n in sizes().items() if p not in before}
+    assert report["complete"] and report["chunks"] == 41 and set(before) <= set(sizes())
+    # Each commit of the append has one row or few: a file, a few kilobytes.
+    assert len(new) <= 2 * len(tables) and sum(new.values()) < 64_000

@@ -48,23 +48,30 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4).cast("int"))
 
 
-#: A drive, and characters that no part of a path has.
-_DRIVE, _NOT_IN_PATHS = r"[A-Za-z]:\\", r'/:*?"<>|\r\n'
+#: Characters that Windows forbids in the name of a file or folder, and line ends, in which no path goes on.
+FORBIDDEN = '/:*?"<>|\r\n'
 
 
 def redact_paths(line: Column) -> Column:
-    """PRJ18: of a Windows path its drive and folders become a mark and its last part stays; a drive alone stays too.
+    """PRJ18: of a Windows path its drive and folders become a mark and its last name stays; a drive alone stays too.
 
-    The line is cut before each drive; a part that begins with one is cut behind the folders, which end at a backslash.
+    The line is cut before each drive, and what stands behind a drive at its backslashes. Names that are whole and
+    allowed are folders as long as a name follows them.
     """
 
-    def shortened(part: Column) -> Column:
-        rest = F.substring(part, F.lit(4), F.length(part))
-        folders = F.regexp_extract(rest, rf"^((?:[^\\{_NOT_IN_PATHS}]+\\)*)[^\\{_NOT_IN_PATHS}]", 1)
-        named = rest.rlike(rf"^[^\\{_NOT_IN_PATHS}]")
-        return F.when(part.rlike(f"^{_DRIVE}") & named, F.concat(F.lit("<local-path>\\"), F.substring(rest, F.length(folders) + 1, F.length(rest)))).otherwise(part)
+    def allowed(name: Column) -> Column:
+        return (name != "") & (F.translate(name, FORBIDDEN, "") == name)
 
-    return F.array_join(F.transform(F.split(line, f"(?={_DRIVE})"), shortened), "")
+    def shortened(part: Column) -> Column:
+        names = F.split(F.substring(part, F.lit(4), F.length(part)), r"\\")
+        stops = F.array_position(F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda n: allowed(n).cast("string")), "false")
+        folders = F.when(stops > 0, stops - 1).otherwise(F.size(names) - 1).cast("int")
+        # The name behind the folders may go over into other text; where none begins, the last folder is the name.
+        last = folders - F.when(allowed(F.substring(F.get(names, folders), 1, 1)), 0).otherwise(1)
+        kept = F.array_join(F.slice(names, last + 1, F.size(names) - last), "\\")
+        return F.when(part.rlike(r"^[A-Za-z]:\\") & (last >= 0), F.concat(F.lit("<local-path>\\"), kept)).otherwise(part)
+
+    return F.array_join(F.transform(F.split(line, r"(?=[A-Za-z]:\\)"), shortened), "")
 
 
 def suffix(path: Column) -> Column:

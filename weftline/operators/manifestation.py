@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import node_point_id, node_text, profile_key, sha256
 from ..functions.status import EMBEDDED, FAILED, FAILED_DEPENDENCY, PENDING, RETRIES, WAITING_DEPENDENCY, WRITTEN, after_failure, node_status
-from ..sources.stored import Snapshots
+from ..sources.keyed import CommitConflict, KeyedTable, LeaseLost
+from .reconcile import detached
 
 
 def node_states(nodes: DataFrame, world: Column, run: Column, book: Column) -> DataFrame:
@@ -71,26 +72,45 @@ class UnavailableWriter:
 
 
 class TableWriter:
-    """SNK5-SNK7: a graph table as Parquet snapshots, upserted by id; ids are asserted to be unique in a write."""
+    """SNK5-SNK7: a graph table upserted by id; ids are asserted to be unique in a write.
 
-    def __init__(self, folder: str, key: str):
-        self.folder, self.key = folder, key
+    A row that stands there already, by id and version (a digest of its columns), is not written again, so that a write
+    that was done but not acknowledged changes nothing when it is repeated.
+    """
+
+    def __init__(self, folder: str, key: str, guard: Callable[[], None] | None = None):
+        self.folder, self.key, self.guard = folder, key, guard
+
+    def table(self, rows: DataFrame) -> KeyedTable:
+        return KeyedTable(rows.sparkSession, self.folder, [self.key], guard=self.guard)
 
     def rows(self, like: DataFrame) -> DataFrame:
         """What the table holds, in the columns of like."""
-        return Snapshots(like.sparkSession, self.folder).read(like.schema)
+        return self.table(like).read(like.schema)
 
     def write(self, rows: DataFrame) -> None:
         if rows.groupBy(self.key).count().filter("count > 1").limit(1).count():
             raise ValueError(f"{self.key} repeats in one write")
-        Snapshots(rows.sparkSession, self.folder).write(self.rows(rows).join(rows.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(rows))
+        held = self.table(rows)
+        known = held.read(f"{self.key} string, row_version string")
+        made = rows.withColumn("row_version", F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256))
+        new = made.join(known, [self.key, "row_version"], "left_anti").select(*made.columns)
+        if new.limit(1).count():
+            held.upsert(new)
+
+    def delete(self, ids: DataFrame) -> None:
+        """JN12: the rows of ids; ids that are not there change nothing."""
+        held = self.table(ids)
+        there = held.read(f"{self.key} string").join(ids.select(self.key).distinct(), self.key, "left_semi")
+        if there.limit(1).count():
+            held.delete(there)
 
 
 class TableGraph:
     """UDF6: the graph sink that a world has unless another is injected: two tables; edges need both ends in the first."""
 
-    def __init__(self, folder: str):
-        self.nodes, self.edges = TableWriter(f"{folder}/nodes", "node_id"), TableWriter(f"{folder}/edges", "edge_id")
+    def __init__(self, folder: str, guard: Callable[[], None] | None = None):
+        self.nodes, self.edges = TableWriter(f"{folder}/nodes", "node_id", guard), TableWriter(f"{folder}/edges", "edge_id", guard)
 
     def write_nodes(self, rows: DataFrame) -> None:
         self.nodes.write(rows)
@@ -99,11 +119,38 @@ class TableGraph:
         held = self.nodes.rows(rows.sparkSession.createDataFrame([], "node_id string, world_uuid string"))
         self.edges.write(writable_edges(rows, held))
 
+    def delete_edges(self, ids: DataFrame) -> None:
+        self.edges.delete(ids)
+
+    def delete_nodes(self, ids: DataFrame) -> None:
+        """JN13: with a node go the edges at it."""
+        held = self.edges.rows(ids.sparkSession.createDataFrame([], "edge_id string, source_node_id string, target_node_id string"))
+        self.edges.delete(held.join(detached(held, ids).select("edge_id"), "edge_id", "left_anti"))
+        self.nodes.delete(ids)
+
+
+class TableVectors:
+    """UDF5: the node vector store that a world has unless another is injected."""
+
+    def __init__(self, folder: str, guard: Callable[[], None] | None = None):
+        self._writer = TableWriter(folder, "point_id", guard)
+
+    def rows(self, like: DataFrame) -> DataFrame:
+        return self._writer.rows(like)
+
+    def write(self, rows: DataFrame) -> None:
+        self._writer.write(rows)
+
+    def delete(self, ids: DataFrame) -> None:
+        self._writer.delete(ids)
+
 
 def _written(states: DataFrame, status: str, ready: Column, write: Callable[[DataFrame], None], rows: DataFrame) -> tuple[DataFrame, bool]:
     """states after a write of the ready ones; a failed write counts as an attempt of each, and the third one ends it."""
     try:
         write(rows)
+    except (LeaseLost, CommitConflict):
+        raise
     except GraphStoreUnavailable:
         return states, False
     except Exception:  # noqa: BLE001  a sink may raise anything

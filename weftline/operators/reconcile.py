@@ -69,13 +69,18 @@ def delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def delete_chunk(nodes: DataFrame, edges: DataFrame, scope: Column) -> tuple[DataFrame, DataFrame]:
     """FLT2, JN13: nodes and edges without a chunk's, and without edges that touched its nodes."""
-    gone = nodes.filter(scope).select("node_id")
-    kept = edges.filter(~F.coalesce(scope, F.lit(False)))
-    for side in ("source_node_id", "target_node_id"):
-        kept = kept.join(gone.withColumnRenamed("node_id", side), side, "left_anti")
+    kept = detached(edges.filter(~F.coalesce(scope, F.lit(False))), nodes.filter(scope))
     return nodes.filter(~F.coalesce(scope, F.lit(False))), kept.select(*edges.columns)
 
 
+def detached(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """JN13: the edges that no node of gone (node_id) is an end of."""
+    ids, kept = gone.select("node_id"), edges
+    for side in ("source_node_id", "target_node_id"):
+        kept = kept.join(ids.withColumnRenamed("node_id", side), side, "left_anti")
+    return kept.select(*edges.columns)
+
+
 def distinct_warnings(events: DataFrame, columns: list[str]) -> DataFrame:
     """AGG10: warnings that agree in every column are one."""
     return events.select(*columns).distinct()

@@ -93,14 +93,15 @@ _MESSAGES_SQL = ", ".join(f"({i}, {'NULL' if c is None else c}, {'NULL' if m is
 
 
 @query("rate_limit_classify", f"""
-        SELECT id, CASE WHEN code = 429 THEN CASE WHEN contains(u, 'REQUESTS_PER_DAY') OR contains(u, 'PER DAY') OR contains(u, 'RPD') THEN 'rpd' WHEN contains(u, 'TOKENS_PER_MINUTE') OR contains(u, 'TPM') THEN 'tpm' ELSE 'rpm' END END AS limit_type,
+        SELECT event_id, CASE WHEN code = 429 THEN CASE WHEN contains(u, 'REQUESTS_PER_DAY') OR contains(u, 'PER DAY') OR contains(u, 'RPD') THEN 'rpd' WHEN contains(u, 'TOKENS_PER_MINUTE') OR contains(u, 'TPM') THEN 'tpm' ELSE 'rpm' END END AS limit_type,
                CASE WHEN code = 429 AND contains(u, 'PROJECT') THEN 'project' WHEN code = 429 AND (contains(u, 'API KEY') OR contains(u, 'API_KEY') OR contains(u, 'CREDENTIAL')) THEN 'credential' ELSE 'model' END AS scope, coalesce(code >= 500 OR code = 429, false) AS retryable
-        FROM (SELECT id, code::INT AS code, upper(coalesce(message, '')) AS u FROM (VALUES {_MESSAGES_SQL}) v(id, code, message))""")
+        FROM (SELECT event_id, code::INT AS code, upper(coalesce(event_type || ': ' || message, '')) AS u FROM events JOIN (VALUES {_MESSAGES_SQL}) v(id, code, message) ON id = event_id % {len(_MESSAGES)})""")
 def rate_limit_classify(spark, sf_dir):
-    """SC14, over messages of every class."""
-    rows = spark.createDataFrame([(i, c, m) for i, (c, m) in enumerate(_MESSAGES)], "id int, code int, message string")
-    kind, scope, again = status.rate_limit(F.col("code"), F.col("message"))
-    return rows.select("id", kind.alias("limit_type"), scope.alias("scope"), again.alias("retryable"))
+    """SC14: events as answers of providers, with messages of every class."""
+    said = F.get(F.array(*[F.struct(F.lit(c).cast("int").alias("code"), F.lit(m).cast("string").alias("message")) for c, m in _MESSAGES]), (F.col("event_id") % len(_MESSAGES)).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", said.alias("said"))
+    kind, scope, again = status.rate_limit(F.col("said.code"), F.concat("event_type", F.lit(": "), "said.message"))
+    return rows.select("event_id", kind.alias("limit_type"), scope.alias("scope"), again.alias("retryable"))
 
 
 @query("hub_order", "SELECT c_custkey, c_name FROM customer ORDER BY coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END, c_custkey) DESC, lower(c_name)")
@@ -138,31 +139,43 @@ def asset_resolution(spark, sf_dir):
     return worlds.resolved_assets(table(spark, sf_dir, "customer"), assets, "c_mktsegment", "default").select("c_custkey", "asset_id")
 
 
-@query("model_surface", "SELECT * FROM (VALUES ('chat-a', 'top_k', 40, 100), ('chat-a', 'max_output', 8192, 8192), ('chat-b', 'top_k', 20, 50)) t(model_id, setting_id, default_value, max_value)")
+@query("model_surface", """
+        WITH m AS (SELECT c_custkey, 'm' || c_custkey AS model_id, CASE WHEN c_custkey % 4 = 0 THEN c_custkey::INT * 10 END AS cap, c_custkey % 2 = 1 AS own, (c_custkey % 100)::INT AS k FROM customer WHERE c_custkey % 3 <> 2)
+        SELECT model_id, 'top_k' AS setting_id, CASE WHEN own THEN k ELSE 40 END AS default_value, CASE WHEN own THEN 2 * k ELSE 100 END AS max_value FROM m
+        UNION ALL SELECT model_id, 'max_output', coalesce(cap, 1024), coalesce(cap, 4096) FROM m""")
 def model_surface(spark, sf_dir):
-    """FLT12, PRJ17 on a literal catalogue: one override, one limit, one unknown setting."""
-    kind = "model_id string, surfaces array<string>, limits map<string,int>, settings array<struct<setting_id string, limit_key string, default_value int, max_value int>>"
-    rows = [
-        ("chat-a", ["chat"], {"maxOutput": 8192}, [("top_k", None, None, None), ("max_output", "maxOutput", None, None), ("unknown", None, 1, 1)]),
-        ("chat-b", ["chat", "embedding"], {}, [("top_k", None, 20, 50)]), ("embed-a", ["embedding"], {}, [("top_k", None, None, None)]),
-    ]
+    """FLT12, PRJ17: customers as models, some for chat, some with a limit, some with settings of their own, all with an unknown one."""
+    k = F.col("c_custkey")
+    number = lambda c: c.cast("int")
+    none = F.lit(None)
+    setting = lambda name, limit, default, most: F.struct(F.lit(name).alias("setting_id"), limit.cast("string").alias("limit_key"), number(default).alias("default_value"), number(most).alias("max_value"))
+    own = k % 2 == 1
+    settings = F.array(setting("top_k", none, F.when(own, k % 100), F.when(own, k % 100 * 2)), setting("max_output", F.lit("maxOutput"), none, none), setting("unknown", none, F.lit(1), F.lit(1)))
+    surfaces = F.when(k % 3 == 0, F.array(F.lit("chat"))).when(k % 3 == 1, F.array(F.lit("chat"), F.lit("embedding"))).otherwise(F.array(F.lit("embedding")))
+    limits = F.when(k % 4 == 0, F.create_map(F.lit("maxOutput"), number(k * 10))).otherwise(F.create_map().cast("map<string,int>"))
+    models = table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), k.cast("string")).alias("model_id"), surfaces.alias("surfaces"), limits.alias("limits"), settings.alias("settings"))
     definitions = spark.createDataFrame([("top_k", 40, 100), ("max_output", 1024, 4096)], "setting_id string, default_value int, max_value int")
-    return worlds.model_settings(spark.createDataFrame(rows, kind), definitions, "chat")
+    return worlds.model_settings(models, definitions, "chat")
 
 
-_LINES = [r"loaded C:\Users\a b\books\one.txt", "no path here", r"D:\x", r"from E:\a\b\c.json; F:\d\e.json", "only G:\\", None]
-_LINES_SQL = ", ".join(f"({i}, {'NULL' if x is None else chr(39) + x + chr(39)})" for i, x in enumerate(_LINES))
+_LINES_SQL = r"""CASE p_partkey % 6 WHEN 0 THEN 'loaded C:\Users\' || p_name || '\books\' || p_brand || '.txt' WHEN 1 THEN p_name WHEN 2 THEN 'D:\' || p_brand
+                 WHEN 3 THEN 'from E:\a\' || p_name || '; F:\d\' || p_brand WHEN 4 THEN p_name || ' only G:\' END"""
 
 
 @query("path_redaction", f"""
-        WITH parts AS (SELECT id, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS part FROM (SELECT id, string_split(regexp_replace(line, '([A-Za-z]:\\\\)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM (VALUES {_LINES_SQL}) t(id, line))),
+        WITH lines AS (SELECT p_partkey, {_LINES_SQL} AS line FROM part),
+        parts AS (SELECT p_partkey, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS part FROM (SELECT p_partkey, string_split(regexp_replace(line, '([A-Za-z]:\\\\)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM lines)),
         cut AS (SELECT *, regexp_matches(part, '^[A-Za-z]:\\\\[^\\\\/:*?"<>|\r\n]') AS path, string_split(substr(part, 4), chr(92)) AS names FROM parts),
-        kept AS (SELECT id, n, CASE WHEN path THEN '<local-path>' || chr(92) || names[len(names)] ELSE part END AS part FROM cut)
-        SELECT t.id, string_agg(part, '' ORDER BY n) AS line FROM (VALUES {_LINES_SQL}) t(id, line) LEFT JOIN kept ON kept.id = t.id GROUP BY t.id""")
+        kept AS (SELECT p_partkey, n, CASE WHEN path THEN '<local-path>' || chr(92) || names[len(names)] ELSE part END AS part FROM cut)
+        SELECT t.p_partkey, string_agg(part, '' ORDER BY n) AS line FROM lines t LEFT JOIN kept ON kept.p_partkey = t.p_partkey GROUP BY t.p_partkey""")
 def path_redaction(spark, sf_dir):
-    """PRJ18."""
-    rows = spark.createDataFrame(list(enumerate(_LINES)), "id int, line string")
-    return rows.select("id", text.redact_paths(F.col("line")).alias("line"))
+    """PRJ18: parts as log lines with no path, one or two, and with a drive alone."""
+    k, name, brand = F.col("p_partkey") % 6, F.col("p_name"), F.col("p_brand")
+    line = (
+        F.when(k == 0, F.concat(F.lit("loaded C:\\Users\\"), name, F.lit("\\books\\"), brand, F.lit(".txt"))).when(k == 1, name).when(k == 2, F.concat(F.lit("D:\\"), brand))
+        .when(k == 3, F.concat(F.lit("from E:\\a\\"), name, F.lit("; F:\\d\\"), brand)).when(k == 4, F.concat(name, F.lit(" only G:\\")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", text.redact_paths(line).alias("line"))
 
 
 @query("pipeline_complete", "SELECT c_mktsegment AS world, bool_and(c_custkey % 50 <> 7 OR c_mktsegment = 'BUILDING') AS complete FROM customer GROUP BY 1")

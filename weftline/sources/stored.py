@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, written to the folder that all machines share (spark.checkpoint.dir) and read from it from now on.
+
+    Where the setting is missing, on one machine alone, a folder of that machine does.
+    """
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="weftline-"))
+    return rows.checkpoint()
+
+
 def with_backup(primary: DataFrame, backup: DataFrame, key: str, content: str) -> DataFrame:
     """SRC9: each slot's content from its primary copy, else its backup, with what happened."""
     a = primary.select(key, F.col(content).alias("__a"))
