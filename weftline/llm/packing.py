@@ -1,16 +1,16 @@
 """Operator 13: best-fit packing of token sequences in bulk-synchronous rounds.
 
 Documents become pieces of at most the capacity. Pieces that wait and gaps of sequences that are open are sorted by
-range together. Each task sweeps its range upwards: a gap takes the largest waiting pieces below it, those whose
-successor it is. What a task leaves, gaps without pieces and pieces without gaps, is matched between tasks by rank:
-one row of counts a task says which ranks of which task meet. Gaps shrink by what they took, and the next round begins.
+range together. Each range is swept upwards by one task: a gap takes the largest waiting pieces below it, those whose
+successor it is. What a range leaves, gaps without pieces and pieces without gaps, is matched between ranges by rank:
+one row of counts a range says which ranks of which range meet. Gaps shrink by what they took, and the next round begins.
 Where no gap is as large as the largest waiting piece, sequences are opened, never more than what waits must need: pieces
 of a size of which k fit go k to a sequence in order of size, or the largest pieces open SHARE of what the sizes' sum fills.
 A sequence is named by the first piece in it.
 
 A gap of m times the largest waiting piece takes up to m pieces in a round, so that rounds grow with the logarithm of
 the number of pieces. Ties are broken by a hash of the piece, so that a size that a third of all pieces have is dealt
-over many tasks. The driver holds counts: one row a task, and one a size (at most the capacity).
+over many tasks. The driver holds counts: one row a range, and one a size (at most the capacity).
 
 Defined cases: null and empty texts are the end mark alone; rows without an id and repeated rows are packed like any
 other. Only documents beyond the capacity are cut, into pieces of the capacity, the first of which may be shorter. Other
@@ -40,6 +40,8 @@ from .shared import arrow_map, drop_at_exit, fresh, materialise, shared_dir
 SHARE = 0.8
 #: Pieces of text whose ids a worker remembers since it last set its memory aside; what it set aside counts as well.
 REMEMBERED = 500_000
+#: Waiting pieces to a task and a file of a round.
+FILE_ROWS = 50_000
 #: Kinds of rows: waiting piece, gap, placed piece, and how many pieces and slots a task's sweep leaves.
 WAITS, GAP, PLACED, LEFT = 0, 1, 2, 3
 _STATE = "kind int, id long, size long, seq long"
@@ -173,11 +175,21 @@ _SWEPT = f"{_STATE}, part int, rank long, slots long"
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of pieces and gaps by size: each gap takes the last pieces before it that wait. What is left gets ranks."""
-    part, stack, slots = TaskContext.get().partitionId(), [], 0
+    """Ranges of pieces and gaps by size: each gap takes the last pieces of its range that wait before it. What is left gets ranks."""
+    part, stack, slots = None, [], 0
+
+    def left() -> Iterator[pa.RecordBatch]:
+        if part is not None:
+            yield _batch([(LEFT, None, None, None, part, len(stack), slots)], _SWEPT)
+            for a in range(0, len(stack), 10_000):
+                yield _batch([(WAITS, i, n, None, part, a + j, 0) for j, (i, n) in enumerate(stack[a : a + 10_000])], _SWEPT)
+
     for batch in batches:
         out = []
-        for kind, i, size, times in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "size", "times"))):
+        for kind, i, size, times, own in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "size", "times", "part"))):
+            if own != part:
+                yield from left()
+                part, stack, slots = own, [], 0
             if kind == WAITS:
                 stack.append((i, size))
                 continue
@@ -189,9 +201,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((GAP, i, size, None, part, slots, times - took))
             slots += times - took
         yield _batch(out, _SWEPT)
-    yield _batch([(LEFT, None, None, None, part, len(stack), slots)], _SWEPT)
-    for a in range(0, len(stack), 10_000):
-        yield _batch([(WAITS, i, n, None, part, a + j, 0) for j, (i, n) in enumerate(stack[a : a + 10_000])], _SWEPT)
+    yield from left()
 
 
 def meetings(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -246,14 +256,15 @@ def pack(rows: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
         frame.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
-    def state_of(frame: DataFrame) -> DataFrame:
+    def state_of(frame: DataFrame, files: int | None = None) -> DataFrame:
         paths.append(f"{folder}/state-{len(paths)}")
-        return kept(frame, f"state-{len(paths) - 1}")
+        return kept(frame.coalesce(files) if files else frame, f"state-{len(paths) - 1}")
 
     drop_at_exit(spark, folder)
     full = F.col("size") == capacity
     sized = rows.select(F.col(key).cast("long").alias("id"), F.col(length).cast("long").alias("size"))
     state = state_of(sized.select(F.when(full, PLACED).otherwise(WAITS).alias("kind"), "id", "size", F.when(full, F.col("id")).alias("seq")))
+    waits_now = 0
     for turn in itertools.count():
         waits, is_gap = F.col("kind") == WAITS, F.col("kind") == GAP
         seen = state.agg(F.max(F.when(waits, F.col("size"))).alias("largest"), F.min(F.when(waits, F.col("size"))).alias("least"), F.max(F.when(is_gap, F.col("size"))).alias("gap")).first()
@@ -263,7 +274,8 @@ def pack(rows: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
         if (seen.gap or 0) < largest:
             waiting = {r["size"]: r["count"] for r in open_rows.groupBy("size").count().collect()}  # capacity rows at most
             new, chosen, bound = _opened(state, waiting, capacity, turn)
-            new = state_of(new)
+            waits_now = sum(waiting.values())
+            new = state_of(new, 4 + waits_now // FILE_ROWS)
             open_rows, gaps = open_rows.filter(~chosen), gaps.unionByName(new.filter(is_gap & (F.col("size") >= seen.least)))
             largest = max((s for s in waiting if s <= bound), default=1)
         # A gap's times are the pieces it can hold whatever they are; it stands where the least of their places would.
@@ -271,9 +283,11 @@ def pack(rows: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
         both = open_rows.withColumns({"times": F.lit(1).cast("long"), "value": F.col("size")}).unionByName(gaps.withColumns({"times": times, "value": F.floor(F.col("size") / times)}))
         order = ["value", "kind", "tie", "id"]
         ranged = both.withColumn("tie", F.xxhash64("id")).select("kind", "id", "size", "times", "value", "tie").repartitionByRange(*order).sortWithinPartitions(*order)
-        swept = kept(arrow_map(ranged, _sweep, _SWEPT), f"swept-{turn}")
+        # A task takes several ranges, each by itself, so that small rounds are few tasks.
+        swept = kept(ranged.withColumn("part", F.spark_partition_id()).coalesce(4 + waits_now // FILE_ROWS).mapInArrow(_sweep, _SWEPT), f"swept-{turn}")
         left = swept.filter(F.col("kind") == LEFT).select("part", "rank", "slots").collect()  # a row a task
-        state = state_of(_resolved(swept, meetings([tuple(r) for r in left])))
+        waits_now = sum(r["rank"] for r in left)
+        state = state_of(_resolved(swept, meetings([tuple(r) for r in left])), 4 + waits_now // FILE_ROWS)
     placed = spark.read.schema(_STATE).parquet(*paths).filter(F.col("kind") == PLACED)
     before = F.sum("size").over(Window.partitionBy("seq").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
     return placed.select(F.col("id").alias(key), F.col("seq").alias("sequence_id"), F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
