@@ -280,6 +280,19 @@ def test_decontamination_in_other_case_and_of_numbers(spark):
     assert got == [(0, 1), (1, 1), (2, 1), (3, 2), (5, 1)]
 
 
+def test_decontamination_of_sums_with_other_numbers(spark):
+    items = [(1, "Compute 3 + 4 * 5 - 6 / 2 + 17."), (2, "What is 3 + 4?"), (3, "Solve 12 km + 5 km = 17 km − 2 × 3."), (4, "12 + 7 = 19; 4 * 5 = 20; 81 / 9 = 9; 3 - 2 = 1")]
+    texts = {
+        1: "Compute 3 + 4 * 5 - 6 / 2 + 17.", 2: "So: compute 9 + 8 * 2 - 5 / 7 + 31, please.", 3: "Compute 9 - 8 * 2 - 5 / 7 + 31.", 4: "Compute 9 + 8 * 2. Later - 5 / 7 + 31.", 5: "What is 8 + 9?",
+        6: "well solve 40 km + 2 km = 42 km - 7 * 8", 7: "13 + 8 = 21; 5 * 6 = 30; 72 / 9 = 8; 4 - 2 = 2", 8: "Compute 3 + 3 * 3 - 3 / 3 + 3.", 9: "15 + 6 = 21; 3 * 7 = 27; 40 / 8 = 8; 2 - 7 = 5", 10: "what is 3 + 4",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # Other signs, a broken passage and the bare question are other texts; so is 7, whose 9 stands for 9 and for 8.
+    assert set(got) == {(1, 1), (2, 1), (8, 1), (6, 3), (9, 4), (10, 2)}
+    assert got[1, 1].verbatim and not got[2, 1].verbatim and got[2, 1].changed == 6
+
+
 def test_pipeline_stages(spark):
     """Each stage on its own input against its brute-force form."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")

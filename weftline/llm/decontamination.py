@@ -1,15 +1,16 @@
 """Operator 2: benchmark decontamination by templates, with DataFrame functions only.
 
 Canonical form: capitalised words inside a sentence become a name placeholder, numbers a number placeholder, and unit
-words behind a number a unit placeholder; the rest is split at everything but letters and digits, and lower-cased.
-Windows of WINDOW template tokens with LITERALS ordinary words or more are hashed. Texts whose windows cover a share of
+words behind a number a unit placeholder; arithmetic signs behind a number are tokens; the rest is split at everything
+but letters and digits, and lower-cased. Windows of WINDOW template tokens with LITERALS ordinary words or more are hashed. Texts whose windows cover a share of
 COVERAGE of an item's windows are candidates; for these alone the values of the slots are read again. Along each
 diagonal (text position less item position) the pairs (item value, text value) must be a function from item values to
 text values: then the passage is the item, possibly with other parameters. The windows of consistent diagonals must
-still reach COVERAGE.
+still reach COVERAGE. An item without such a window, but with EVIDENCE words and signs, has all its windows instead, and
+must stand in the text as a whole, along one diagonal.
 
-Names cannot be told in passages in capitals or in small letters, and an item may have no window with LITERALS ordinary
-words. So a plain form, lower-cased and without placeholders, is compared as well, all of its windows, and the hits are
+Names cannot be told in passages in capitals or in small letters, and an item may be short of words and
+signs. So a plain form, lower-cased and without placeholders, is compared as well, all of its windows, and the hits are
 united. A pair that reached COVERAGE by templates is judged by these, unless the plain form holds every window.
 
 Distribution: the windows of documents meet the benchmark's distinct window hashes by a broadcast join while these are
@@ -17,21 +18,26 @@ at most BROADCAST_WINDOWS (counted first), and by a shuffled join beyond; nothin
 hits, and the texts of candidates.
 
 Defined cases: null texts and items have no tokens and match nothing. An item of fewer than WINDOW tokens is one window
-of its own length; by templates it needs LITERALS ordinary words. Repeated items match each. Rows that agree in id and text give
-one row for an item. Null ids are returned as null. Extra columns are ignored. Private-use characters U+E000 to U+E002
+of its own length; by templates it needs LITERALS ordinary words or EVIDENCE words and signs. Repeated items match each. Rows that agree in id and text give
+one row for an item. Null ids are returned as null. Extra columns are ignored. Private-use characters U+E000 to U+E007
 are dropped from the input, as they stand for placeholders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh, let, materialise
 
-WINDOW, LITERALS, COVERAGE = 5, 3, 0.5
+WINDOW, LITERALS, COVERAGE, EVIDENCE = 5, 3, 0.5, 5
 BROADCAST_WINDOWS = 500_000
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+#: Signs of arithmetic and the tokens that stand for them.
+SIGNS = {"+": "\ue003", "-−": "\ue004", "*×": "\ue005", "/÷": "\ue006", "=": "\ue007"}
+_LAST, _SIGN = SIGNS["="], "".join(SIGNS)
 UNITS = "km m cm mm mi mile miles ft feet inch inches yards kg g mg lb lbs pounds ounces oz l ml liters litres gallons s sec seconds min minutes h hours days weeks months years percent dollars euros cents usd eur mph kmh degrees celsius fahrenheit watts volts".split()
 _NAME = r"(?<=[\p{L}\p{N},;)] )\p{Lu}\p{L}+"
 _NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*"
@@ -41,7 +47,7 @@ _UNIT = rf"(?<={NUMBER} {{1,2}})(?i:{'|'.join(UNITS)})(?!\p{{L}})"
 def _clean(text: Column) -> Column:
     """text, empty for null, without the placeholders' characters; most texts have none, and a search is cheaper than a copy."""
     held = F.coalesce(text, F.lit(""))
-    return F.when(held.rlike(f"[{NAME}-{UNIT}]"), F.translate(held, NAME + NUMBER + UNIT, "")).otherwise(held)
+    return F.when(held.rlike(f"[{NAME}-{_LAST}]"), F.regexp_replace(held, f"[{NAME}-{_LAST}]", "")).otherwise(held)
 
 
 def _numbered(named: Column) -> Column:
@@ -52,6 +58,16 @@ def _unit_marked(numbered: Column) -> Column:
     return F.when(F.contains(numbered, F.lit(NUMBER)), F.regexp_replace(numbered, _UNIT, UNIT)).otherwise(numbered)
 
 
+def _signed(marked: Column) -> Column:
+    """Signs behind a number or unit become tokens; few texts have any."""
+    def each(c: Column) -> Column:
+        for signs, token in SIGNS.items():
+            c = F.regexp_replace(c, rf"(?<=[{NUMBER}{UNIT}] {{0,2}})[{re.escape(signs)}]", f" {token} ")
+        return c
+
+    return F.when(marked.rlike(rf"[{NUMBER}{UNIT}] {{0,2}}[{re.escape(_SIGN)}]"), each(marked)).otherwise(marked)
+
+
 def _split(text: Column, pattern: str) -> Column:
     """The parts between matches; only the first and the last can be empty, and go."""
     def inner(t: Column) -> Column:
@@ -66,8 +82,8 @@ def tokens(text: Column, plain: bool = False) -> Column:
     """The template tokens of a text, or its plain ones."""
     if plain:
         return _split(_clean(text), r"[^\p{L}\p{N}]+")
-    marked = let(F.regexp_replace(_clean(text), _NAME, NAME), lambda named: let(_numbered(named), _unit_marked))
-    return _split(marked, rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+")
+    marked = let(F.regexp_replace(_clean(text), _NAME, NAME), lambda named: let(let(_numbered(named), _unit_marked), _signed))
+    return _split(marked, rf"[^\p{{L}}\p{{N}}{NAME}-{_LAST}]+")
 
 
 def slots(text: Column, plain: bool = False) -> Column:
@@ -145,10 +161,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
         return docs.limit(0).select(F.col(key), *(F.lit(None).cast(t).alias(c) for c, t in ((item, benchmark.schema[item].dataType), ("windows", "long"), ("matched", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"), ("verbatim", "boolean"), ("text_hash", "long")))), None
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1), lambda i: F.slice("tokens", i, F.col("length")))).alias("at", "tokens")
     parts = items.select("item", "length", at)
-    ordinary = F.size(F.filter("tokens", lambda t: ~t.isin(NAME, NUMBER, UNIT)))
-    parts = parts.withColumn("h", F.xxhash64(F.transform("tokens", lambda w: F.xxhash64(w)))).filter(ordinary >= F.least(F.lit(LITERALS), F.col("length"))).select("item", "length", "at", "h")
-    parts = materialise(parts, "item-windows")
-    totals = parts.groupBy("item").agg(F.countDistinct("at").alias("total"))
+    ordinary = F.size(F.filter("tokens", lambda t: ~t.isin(NAME, NUMBER, UNIT, *SIGNS.values())))
+    shown = F.size(F.filter("tokens", lambda t: ~t.isin(NAME, NUMBER, UNIT)))
+    wordy = ordinary >= F.least(F.lit(LITERALS), F.col("length"))
+    # An item has its wordy windows; without any it has all of them, and only as a whole.
+    rich = items.select("item", (shown >= EVIDENCE).alias("rich")).groupBy("item").agg(F.bool_or("rich").alias("rich"))
+    marked = parts.withColumns({"h": F.xxhash64(F.transform("tokens", lambda w: F.xxhash64(w))), "wordy": wordy}).withColumn("whole", ~F.bool_or("wordy").over(Window.partitionBy("item")))
+    parts = materialise(marked.join(rich, "item").filter(F.col("wordy") | (F.col("whole") & F.col("rich"))).select("item", "length", "at", "h", "whole"), "item-windows")
+    totals = parts.groupBy("item").agg(F.countDistinct("at").alias("total"), F.bool_or("whole").alias("whole"))
+    enough = F.col("total") * F.when(F.col("whole"), 1.0).otherwise(coverage)
     hashes = parts.select("h").distinct()
     if hashes.count() <= BROADCAST_WINDOWS:
         hashes = F.broadcast(hashes)
@@ -157,7 +178,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     tokened = keyed.select("id", "t", tokens(F.col("text"), plain).alias("tokens"))
     hits = window_rows(tokened, lengths).join(hashes, "h").distinct()
     met = hits.join(parts.select("h", "item", "at"), "h").groupBy("id", "t", "item").agg(F.countDistinct("at").alias("n"))
-    candidates = met.join(totals, "item").filter(F.col("n") >= F.col("total") * coverage).select(F.col("id").alias("c_id"), "t", "item")
+    candidates = met.join(totals, "item").filter(F.col("n") >= enough).select(F.col("id").alias("c_id"), "t", "item")
 
     candidates = materialise(candidates, "candidates")
 
@@ -165,7 +186,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     chosen = candidates.select("c_id", "t").distinct()
     same = keyed["id"].eqNullSafe(chosen["c_id"]) & (keyed["t"] == chosen["t"])
     read = keyed.join(chosen, same, "left_semi").dropDuplicates(["id", "t"]).select(F.xxhash64("id", "t").alias("doc"), "id", "t", tokens(F.col("text"), plain).alias("tokens"), slots(F.col("text"), plain).alias("slots"))
-    asked = candidates.select(F.xxhash64("c_id", "t").alias("doc"), "item").join(parts, "item")
+    asked = candidates.select(F.xxhash64("c_id", "t").alias("doc"), "item").join(parts.drop("whole"), "item")
     spots = None
     for n in lengths:
         one = read.select("doc", F.posexplode(windows(F.col("tokens"), n)).alias("pos", "h")).withColumn("length", F.lit(n))
@@ -181,6 +202,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     )
     # A passage whose slots contradict each other is another text in the same template.
     kept = found.join(judged, ["doc", "item", "diagonal"], "left").filter("given is null or given = read")
-    out = kept.groupBy("doc", "item").agg(F.countDistinct("at").alias("matched"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.min(F.coalesce("changed", F.lit(0))).alias("changed"))
-    out = out.join(totals, "item").filter(F.col("matched") >= F.col("total") * coverage).join(read.select("doc", "id", "t"), "doc")
+    along = kept.groupBy("doc", "item", "diagonal").agg(F.collect_set("at").alias("ats"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.min(F.coalesce("changed", F.lit(0))).alias("changed"))
+    out = along.groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.max(F.size("ats")).alias("longest"), F.max("slots").alias("slots"), F.min("changed").alias("changed"))
+    out = out.join(totals, "item").filter(F.when(F.col("whole"), F.col("longest")).otherwise(F.col("matched")) >= enough).join(read.select("doc", "id", "t"), "doc")
     return out.select(F.col("id").alias(key), F.col("item").alias(item), F.col("total").alias("windows"), "matched", F.round(F.col("matched") / F.col("total"), 6).alias("coverage"), "slots", "changed", (F.col("changed") == 0).alias("verbatim"), F.col("t").alias("text_hash")), candidates
