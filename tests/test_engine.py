@@ -17,7 +17,7 @@ from weftline.sources.keyed import LeaseLost
 
 
 def make(spark, folder, models=None, size=60):
-    return World(spark, str(folder), "w", SplitterConfig(size, 20, 10), models or Models(standin_embedder(), standin_extractor(), in_flight=2))
+    return World(spark, str(folder), "w", SplitterConfig(size, 20, 10), models or Models(standin_embedder(), standin_extractor(), in_flight=2), buckets=1)
 
 
 def test_ingest_resume_append_retrieve(spark, tmp_path):
@@ -225,7 +225,7 @@ def test_reingest_leaves_only_the_new_graph(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("Anna met Boris.")
     state = str(tmp_path / "state")
     open(state, "w").write("there")
-    graph = Flaky(manifestation.TableGraph(str(tmp_path / "w/graph")), state)
+    graph = Flaky(manifestation.TableGraph(str(tmp_path / "w/graph"), buckets=1), state)
     models = lambda names: Models(standin_embedder(), naming(names), in_flight=1, gleans=0, graph=graph)
     world = make(spark, tmp_path / "w", models(["Anna", "Boris"]))
     first = world.ingest(str(tmp_path / "in"))

@@ -1,5 +1,7 @@
 """Response parsing, merging and manifestation: golden cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +139,17 @@ def test_cosine_search_and_context(spark):
     assert vectors.model_context(rows, ["q"], "r", "t").first().context == "one\n\ntwo"
     state = vectors.verified(spark.createDataFrame([(1, "h", 1.0), (2, "h", 1.0), (3, "h", 1.0)], "id int, text_hash string, score double"), spark.createDataFrame([(1, "h", "t"), (2, "g", "t")], "id int, stored_hash string, chunk_text string"), ["id"])
     assert {r.id: r.outcome for r in state.collect()} == {1: "valid", 2: "stale", 3: "missing"}
+
+
+def test_signatures_combine_and_tell_sorted_rows_apart(spark):
+    draw = random.Random(3)
+    old = [(c, draw.choice("xyz"), draw.randrange(3)) for c in range(60) for _ in range(draw.randrange(1, 5))]
+    new = [r for r in old if draw.random() < 0.97] + [r for r in old if draw.random() < 0.02] + [(70, None, 1)]
+    draw.shuffle(new)
+    frame = lambda rows: spark.createDataFrame(rows, "c int, a string, n int")
+    found = reconcile.signatures(frame(new), ["c"], ["a", "n"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect" not in plan and "partial_sum" in plan
+    rows = lambda part, c: sorted(((a or "", n) for k, a, n in part if k == c))
+    want = {c for c in {r[0] for r in old + new} if rows(old, c) != rows(new, c)}
+    assert {r.c for r in reconcile.stale_chunks(frame(old), frame(new), ["c"], ["a", "n"]).collect()} == want and 0 < len(want) < 40

@@ -78,11 +78,11 @@ class TableWriter:
     that was done but not acknowledged changes nothing when it is repeated.
     """
 
-    def __init__(self, folder: str, key: str, guard: Callable[[], None] | None = None):
-        self.folder, self.key, self.guard = folder, key, guard
+    def __init__(self, folder: str, key: str, guard: Callable[[], None] | None = None, buckets: int = 8):
+        self.folder, self.key, self.guard, self.buckets = folder, key, guard, buckets
 
     def table(self, rows: DataFrame) -> KeyedTable:
-        return KeyedTable(rows.sparkSession, self.folder, [self.key], guard=self.guard)
+        return KeyedTable(rows.sparkSession, self.folder, [self.key], self.buckets, self.guard)
 
     def rows(self, like: DataFrame) -> DataFrame:
         """What the table holds, in the columns of like."""
@@ -109,8 +109,8 @@ class TableWriter:
 class TableGraph:
     """UDF6: the graph sink that a world has unless another is injected: two tables; edges need both ends in the first."""
 
-    def __init__(self, folder: str, guard: Callable[[], None] | None = None):
-        self.nodes, self.edges = TableWriter(f"{folder}/nodes", "node_id", guard), TableWriter(f"{folder}/edges", "edge_id", guard)
+    def __init__(self, folder: str, guard: Callable[[], None] | None = None, buckets: int = 8):
+        self.nodes, self.edges = TableWriter(f"{folder}/nodes", "node_id", guard, buckets), TableWriter(f"{folder}/edges", "edge_id", guard, buckets)
 
     def write_nodes(self, rows: DataFrame) -> None:
         self.nodes.write(rows)
@@ -132,8 +132,8 @@ class TableGraph:
 class TableVectors:
     """UDF5: the node vector store that a world has unless another is injected."""
 
-    def __init__(self, folder: str, guard: Callable[[], None] | None = None):
-        self._writer = TableWriter(folder, "point_id", guard)
+    def __init__(self, folder: str, guard: Callable[[], None] | None = None, buckets: int = 8):
+        self._writer = TableWriter(folder, "point_id", guard, buckets)
 
     def rows(self, like: DataFrame) -> DataFrame:
         return self._writer.rows(like)

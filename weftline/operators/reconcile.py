@@ -27,9 +27,15 @@ def embedding_states(states: DataFrame, points: DataFrame, chunks: DataFrame, ru
 
 
 def signatures(rows: DataFrame, chunk: list[str], fields: list[str]) -> DataFrame:
-    """AGG6: (chunk, signature) over the sorted rows of a chunk, whatever their order."""
-    line = F.to_json(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields]))
-    return rows.select(*chunk, F.sha2(line, 256).alias("__line")).groupBy(*chunk).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__line")), ""), 256).alias("signature"))
+    """AGG6: (chunk, signature) of a chunk's rows with their repetitions, whatever their order.
+
+    A row's digest is eight numbers, and a chunk has the sums of each and a count, which combine before the shuffle.
+    """
+    line = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])), 256)
+    digests = rows.select(*chunk, line.alias("__line"))
+    sums = [F.sum(F.conv(F.substring("__line", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"__s{i}") for i in range(8)]
+    found = digests.groupBy(*chunk).agg(F.count("*").alias("__n"), *sums)
+    return found.select(*chunk, F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in found.columns if c.startswith("__")]), 256).alias("signature"))
 
 
 def stale_chunks(existing: DataFrame, fresh: DataFrame, chunk: list[str], fields: list[str]) -> DataFrame:

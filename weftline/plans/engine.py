@@ -127,7 +127,8 @@ class Models:
 class World:
     """One world. A driver that begins a run takes the world over; another's commits fail from then on and leave nothing."""
 
-    def __init__(self, spark: SparkSession, folder: str, name: str, splitter: SplitterConfig, models: Models):
+    def __init__(self, spark: SparkSession, folder: str, name: str, splitter: SplitterConfig, models: Models, buckets: int = 8):
+        self.buckets = buckets  # of each table by a hash of its key; the same for all who open the world
         self.spark, self.folder, self.name, self.splitter, self.models = spark, folder.rstrip("/"), name, splitter, models
         self.meta, self.lease = Numbered(spark, f"{self.folder}/meta"), Lease(spark, f"{self.folder}/lease")
         self._tables: dict[str, KeyedTable] = {}
@@ -145,14 +146,14 @@ class World:
 
     def _table(self, name: str) -> KeyedTable:
         if name not in self._tables:
-            self._tables[name] = KeyedTable(self.spark, f"{self.folder}/{name}", _KEYS[name], guard=self.lease.check)
+            self._tables[name] = KeyedTable(self.spark, f"{self.folder}/{name}", _KEYS[name], self.buckets, self.lease.check)
         return self._tables[name]
 
     def _vectors(self):
-        return self.models.vectors or manifestation.TableVectors(f"{self.folder}/node_vectors", self.lease.check)
+        return self.models.vectors or manifestation.TableVectors(f"{self.folder}/node_vectors", self.lease.check, self.buckets)
 
     def _graph(self):
-        return self.models.graph or manifestation.TableGraph(f"{self.folder}/graph", self.lease.check)
+        return self.models.graph or manifestation.TableGraph(f"{self.folder}/graph", self.lease.check, self.buckets)
 
     def _work(self) -> str:
         return f"{self.folder}/_work/{self.lease.token or 0}"
@@ -363,8 +364,7 @@ class World:
         Only chunks whose passes changed since, or that are not done, are looked at.
         """
         passes = self._table("passes").read(PASSES).filter("code is null")
-        line = F.xxhash64("pass_number", "text_hash", "response", "run_id")
-        now = passes.groupBy(*_CHUNK).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("pass_number", line.alias("h")).cast("string"))), ","), 256).alias("signature"))
+        now = reconcile.signatures(passes, _CHUNK, ["pass_number", "text_hash", "response", "run_id"])
         done = self._table("manifested").read(MANIFESTED)
         changed = now.join(done.withColumnRenamed("signature", "made"), _CHUNK, "full").filter("not (signature <=> made)").select(*_CHUNK, "signature")
         old, old_edges = self._table("nodes").read(NODES), self._table("edges").read(EDGES)

@@ -167,7 +167,9 @@ class KeyedTable:
     def _write(self, rows: DataFrame) -> str:
         path = uuid.uuid4().hex
         try:
-            rows.withColumn(_BUCKET, self._bucket()).repartition(_BUCKET).sortWithinPartitions(_BUCKET, *self.keys).write.partitionBy(_BUCKET).parquet(f"{self.folder}/{path}")
+            placed = rows.withColumn(_BUCKET, self._bucket())
+            dealt = placed.repartition(_BUCKET) if self.buckets > 1 else placed.coalesce(1)
+            dealt.sortWithinPartitions(_BUCKET, *self.keys).write.partitionBy(_BUCKET).parquet(f"{self.folder}/{path}")
         except BaseException:
             self._remove(path)
             raise
