@@ -67,3 +67,13 @@ def test_token_gate_fails_closed(spark):
     rows = spark.createDataFrame([(None, 5), (6, 5), (5, 5), (5, None)], "c int, m int")
     assert [r[0] for r in rows.select(worlds.token_gate(F.col("c"), F.col("m"))).collect()] == ["COUNT_FAILED", "TOO_LARGE", "pass", "pass"]
     assert rows.select(worlds.token_gate(F.col("c"), F.col("m"), True)).collect()[3][0] == "LIMIT_MISSING"
+
+
+def test_redacted_paths(spark):
+    """A drive with a name behind it becomes the mark and that name."""
+    lines = {
+        r"loaded C:\Users\a b\books\one.txt": r"loaded <local-path>\one.txt", r"D:\x": r"<local-path>\x", r"E:\a\b\c.json; F:\d\e.json": r"<local-path>\c.json; <local-path>\e.json", "only G:\\": "only G:\\",
+        r"C:\a\ " + "\\": r"<local-path>\ " + "\\", r"C:\a\\b": r"<local-path>\a\\b", "C:\\a\\:b": "<local-path>\\a\\:b", r"C:\a|b\c": r"<local-path>\a|b\c", "C:\\:x": "C:\\:x", "": "", "no path": "no path", r"\\share\x": r"\\share\x",
+    }
+    got = spark.createDataFrame([(k,) for k in lines] + [(None,)], "line string").select("line", text.redact_paths(F.col("line")).alias("out")).collect()
+    assert {r.line: r.out for r in got} == lines | {None: None}
