@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import identity, status
 from ..operators import extraction, manifestation, reconcile
+from ..sources.stored import kept, shared_folder
 from .registry import NAMESPACE, RUN, query, sql_strip, sql_uuid5, table
 
 def _world():
@@ -54,15 +57,16 @@ def extraction_parse(spark, sf_dir):
         F.count("*").alias("responses"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("nodes"), F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("edges"), F.count_if(whole).alias("strengths"))
 
 
-def _raw_nodes(spark, sf_dir):
+def _raw_nodes(spark, sf_dir, turns=None):
     """Names are roles; descriptions are the texts, some of them blank."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    turns = table(spark, sf_dir, "conversations") if turns is None else turns
+    c = turns.select("conv_id", F.col("turn").alias("seq"), "role", "text")
     text = F.when(F.col("conv_id") % 7 == 3, F.lit(" \t")).otherwise(F.concat(F.lit(" "), "text", F.lit("\n")))
     return c.select("conv_id", "seq", F.concat(F.lit("\t"), "role").alias("display_name"), text.alias("description"))
 
 
-def _nodes(spark, sf_dir):
-    return extraction.merge_nodes(_raw_nodes(spark, sf_dir), ["conv_id"], _world(), F.lit(RUN), F.lit(1), F.col("conv_id"))
+def _nodes(spark, sf_dir, turns=None):
+    return extraction.merge_nodes(_raw_nodes(spark, sf_dir, turns), ["conv_id"], _world(), F.lit(RUN), F.lit(1), F.col("conv_id"))
 
 
 _NODES_SQL = f"""
@@ -84,15 +88,16 @@ def candidate_ids(spark, sf_dir):
     return _nodes(spark, sf_dir).select("conv_id", "display_name", "node_id", identity.node_point_id(_world(), F.lit(RUN), F.lit(1), F.col("node_id")).alias("point_id"))
 
 
-def _raw_edges(spark, sf_dir):
+def _raw_edges(spark, sf_dir, turns=None):
     """Each turn points from its role to one chosen by its number; strengths run from 0 to 11, so some are invalid."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    turns = table(spark, sf_dir, "conversations") if turns is None else turns
+    c = turns.select("conv_id", F.col("turn").alias("seq"), "role", "text")
     to = F.get(F.array(F.lit("user"), F.lit("assistant"), F.lit("nobody")), (F.col("seq") % 3).cast("int"))
     return c.select("conv_id", "seq", F.col("role").alias("source_display_name"), to.alias("target_display_name"), F.col("text").alias("description"), ((F.col("conv_id") + F.col("seq")) % 12).cast("int").alias("strength"))
 
 
-def _edges(spark, sf_dir, nodes=None):
-    return extraction.merge_edges(_raw_edges(spark, sf_dir), nodes if nodes is not None else _nodes(spark, sf_dir), ["conv_id"], _world(), F.lit(RUN), F.lit(1), F.col("conv_id"))
+def _edges(spark, sf_dir, nodes=None, turns=None):
+    return extraction.merge_edges(_raw_edges(spark, sf_dir, turns), nodes if nodes is not None else _nodes(spark, sf_dir), ["conv_id"], _world(), F.lit(RUN), F.lit(1), F.col("conv_id"))
 
 
 _EDGES_SQL = f"""
@@ -221,3 +226,28 @@ def prompt_assembly(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     prompt = extraction.initial_prompt("Name what the chunk holds.\n", F.col("text"), F.when(F.col("turn") % 2 == 0, F.lit(" \n")).otherwise(F.concat(F.lit(" "), "role")))
     return c.select("conv_id", "turn", F.sha2(prompt, 256).alias("prompt_hash"))
+
+
+_FRESH_SQL = "conversations AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN text || '+' ELSE text END AS text FROM conversations WHERE conv_id % 17 <> 5)"
+
+
+@query("graph_after_changes", f"WITH {_FRESH_SQL}, {_NODES_SQL}, {_EDGES_SQL} SELECT 'node' AS kind, node_id AS id, sha256(description) AS said FROM ids UNION ALL SELECT 'edge', edge_id, sha256(d) FROM edge_ids")
+def graph_after_changes(spark, sf_dir):
+    """ST10, FLT2, JN12, JN13, SNK5-SNK7: a store with the graph of the stored turns forgets what changed chunks made and takes their
+    fresh rows; what it holds then is the graph of the fresh turns. All is sent twice, as behind a lost acknowledgement.
+    """
+    graph = manifestation.TableGraph(f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+    sides = []
+    for turns in _two_sides(spark, sf_dir):
+        nodes = kept(_nodes(spark, sf_dir, turns).select("conv_id", "node_id", "description", _world().alias("world_uuid")))
+        named = _nodes(spark, sf_dir, turns)
+        sides.append((nodes, kept(_edges(spark, sf_dir, named, turns).select("conv_id", "edge_id", "source_node_id", "target_node_id", "description", "strength", _world().alias("world_uuid")))))
+    (old_nodes, old_edges), (nodes, edges) = sides
+    differ = lambda a, b, *fields: reconcile.stale_chunks(a, b, ["conv_id"], list(fields))
+    stale = kept(differ(old_nodes, nodes, "node_id", "description").union(differ(old_edges, edges, "edge_id", "description", "strength")).distinct())
+    of = lambda rows: rows.join(stale, "conv_id", "left_semi")
+    for send, rows in ((graph.write_nodes, old_nodes), (graph.write_edges, old_edges), (graph.delete_edges, of(old_edges)), (graph.delete_nodes, of(old_nodes)), (graph.write_nodes, of(nodes)), (graph.write_edges, of(edges))):
+        send(rows)
+        send(rows)
+    held = graph.nodes.rows(nodes).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "description").union(graph.edges.rows(edges).select(F.lit("edge"), "edge_id", "description"))
+    return held.select("kind", "id", F.sha2("description", 256).alias("said"))

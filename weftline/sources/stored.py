@@ -9,17 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """rows, written to the folder that all machines share (spark.checkpoint.dir) and read from it from now on.
-
-    Where the setting is missing, on one machine alone, a folder of that machine does.
-    """
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share (spark.checkpoint.dir); where it is missing, on one machine alone, one of that machine."""
     if not spark.sparkContext.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="weftline-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, written to the shared folder and read from it from now on."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
