@@ -77,3 +77,14 @@ def test_redacted_paths(spark):
     }
     got = spark.createDataFrame([(k,) for k in lines] + [(None,)], "line string").select("line", text.redact_paths(F.col("line")).alias("out")).collect()
     assert {r.line: r.out for r in got} == lines | {None: None}
+
+
+def test_times_without_a_zone_are_utc_in_any_session(spark):
+    want = {"2024-05-06T07:08:09": 1714979289, "2024-05-06 07:08:09.5": 1714979289, "2024-05-06T07:08:09Z": 1714979289, "2024-05-06T07:08:09+02:00": 1714972089, "2024-05-06": 1714953600, "on 2024": None, "": None}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = spark.createDataFrame([(k,) for k in want], "t string").select("t", F.unix_seconds(status.utc_timestamp(F.col("t"))).alias("s")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert {r.t: r.s for r in got} == want

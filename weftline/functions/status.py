@@ -91,8 +91,10 @@ def cooldown_until(now: Column, retry_after: Column) -> Column:
 
 
 def utc_timestamp(text: Column) -> Column:
-    """SC12: ISO-8601; without a zone it is UTC (the session's zone must be UTC); null if it is none."""
-    return F.try_to_timestamp(text)
+    """SC12: ISO-8601; without a zone it is UTC, whatever the session's zone; null if it is none."""
+    day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    zoned = ~F.contains(text, F.lit(":")) | text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(day, F.concat(text, F.lit("T00:00:00Z"))).when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
 
 
 #: Content types by suffix.
