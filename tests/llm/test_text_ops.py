@@ -101,6 +101,25 @@ def test_secrets_of_any_length():
     assert scanner.spans("see " + "-".join(["theinganderenver"] * 100) + "1 here") == []
 
 
+def test_secrets_candidates_of_any_form(spark):
+    labelled = [("pin", "".join(random.Random(i).choices("0123456789", k=10))) for i in range(40)] + [("word", "Q" + "".join(random.Random(i).choices("QXZJVKW", k=13))) for i in range(60)]
+    scanner = secrets.Scanner(labelled)
+    word = "Q" + "".join(random.Random(99).choices("QXZJVKW", k=13))
+    assert scanner.spans(f"see ={word}. now") == [("format", 5, 5 + len(word))]
+    plain = "Readers of the 3d atlas (v2, 4th edition, 2024-05-17) call +49 30 1234567 or write to a1b2 at example.com; facade, defaced, ... --- 0x1f"
+    assert secrets.Scanner(secrets.example_credentials()).spans(plain) == []
+    scanner.known.update({str(i): False for i in range(secrets.REMEMBERED)})
+    assert scanner.spans(f"other {word}x {word}")[-1][2] == 6 + 2 * len(word) + 2 and len(scanner.known) < secrets.REMEMBERED
+    none = spark.createDataFrame([], "doc_id long, text string, spans int")
+    assert secrets.digests(none, scanner).count() == 0 and secrets.scan(none, scanner).count() == 0
+
+
+def test_toxicity_counts_long_obfuscated_words():
+    at = toxicity.NAMES.index("obfuscated")
+    word = "lorem" * 10 + "1psum"
+    assert len(word) > 40 and toxicity.features(f"a {word} b")[at] == toxicity.features("a l1psum b")[at] > 0
+
+
 def test_media_round_trip(spark):
     got = media.digests(docs(spark)).filter("doc_id is not null").collect()
     for r in got:

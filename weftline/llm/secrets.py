@@ -2,9 +2,9 @@
 
 Labelled credentials of each kind become a prefix tree with counts. States whose futures differ by no more than a
 Hoeffding bound are merged (red-blue order, folding subtrees), which leaves one probabilistic automaton a kind: its
-literal beginnings stay chains and its random parts become loops. Each candidate, a maximal run of token characters of
-sixteen or more with digits and letters, of any length, is scored by its mean log-likelihood ratio a character against a background
-of running text and hosts; those above the threshold are added as spans of kind "format", unless a base span is just that
+literal beginnings stay chains and its random parts become loops. Every maximal run of token characters is a candidate,
+whatever its length and characters. It is scored by its log-likelihood ratio against a background of running text and hosts; it is
+added as a span of kind "format" when the ratio is high both a character and in all, unless a base span is just that
 run. So a labelled credential behind "token=" has its assign span and the span of its own value.
 
 Base spans (assign, access, hex) are the fixed patterns of patterns(); they stay whatever the automata say. Offsets
@@ -33,13 +33,20 @@ from .shared import arrow_map
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_RUN, _LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+"), re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 #: Mean log-likelihood ratio a character (nats) from which a candidate is a credential.
-THRESHOLD = 1.2
+THRESHOLD = 0.6
+#: Log-likelihood ratio of a whole candidate (nats) below which it is no credential: a short run tells too little.
+EVIDENCE = 25.0
+#: Share of the background that gives every character the same chance.
+EVEN = 0.02
+#: Verdicts that a worker remembers, of runs of that many characters at most; more runs are judged anew.
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
 #: Confidence parameter of the merge test.
 ALPHA = 0.05
-_ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
+_SIGNS = "+/_.=-"
+_ALPHABET = string.ascii_letters + string.digits + _SIGNS
 
 
 def example_credentials(each: int = 40, seed: int = 7) -> list[tuple[str, str]]:
@@ -163,7 +170,7 @@ class Background:
         self.log = {}
         for a in "^" + _ALPHABET:
             total = sum(pairs[a].values()) + 0.02 * len(_ALPHABET)
-            self.log[a] = {b: math.log((pairs[a][b] + 0.02) / total) for b in _ALPHABET}
+            self.log[a] = {b: math.log((1 - EVEN) * (pairs[a][b] + 0.02) / total + EVEN / len(_ALPHABET)) for b in _ALPHABET}
 
     def score(self, word: str) -> float:
         return sum(self.log[a][b] for a, b in zip("^" + word, word))
@@ -179,6 +186,8 @@ def ordinary_runs(each: int = 120, seed: int = 11) -> list[str]:
         lambda: f"mail{number(1)}.{word()}.com", lambda: f"www.{word()}.org/{word()}/{word()}-{number(4)}.html", lambda: "_".join(word() for _ in range(4)) + number(2),
         lambda: number(16), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: "-" * 24, lambda: "=" * 24, lambda: "-".join(word() for _ in range(4)),
         lambda: word() + word() + word() + word(), lambda: word().upper() + "_" + word().upper() + number(3), lambda: f"{number(3)}.{number(3)}.{number(3)}.{number(3)}",
+        lambda: "".join(word().title() for _ in range(3)), lambda: f"{word()}.{word()}{word().title()}{word().title()}", lambda: f"{word().title()}.{word()}_{word()}={number(2)}",
+        lambda: "".join(draw.choices(string.ascii_uppercase, k=draw.randint(2, 8))),
     )
     return [make() for make in makers for _ in range(each)]
 
@@ -194,11 +203,32 @@ class Scanner:
         self.automata = {kind: Automaton(words, alpha) for kind, words in sorted(kinds.items())}
         self.background = Background(ordinary_runs())
         self.threshold = threshold
+        self.known: dict[str, bool] = {}
 
     def ratio(self, word: str) -> float:
-        """Mean log-likelihood ratio a character of the likeliest kind."""
+        """Log-likelihood ratio of the likeliest kind against the background."""
         best = max((a.score(word) for a in self.automata.values()), default=-math.inf)
-        return (best - self.background.score(word)) / len(word)
+        return best - self.background.score(word)
+
+    def judged(self, run: str) -> bool:
+        """Whether a run, without the signs at its ends, is a credential by its format."""
+        word = run.strip(_SIGNS)
+        return bool(word) and self.ratio(word) >= max(EVIDENCE, self.threshold * len(word))
+
+    def _candidates(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of the runs that are credentials by their format; repeated runs are judged once a worker."""
+        for m in _RUN.finditer(text):
+            run = m.group()
+            good = self.known.get(run)
+            if good is None:
+                good = self.judged(run)
+                if len(run) <= REMEMBERED_LENGTH:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[run] = good
+            if good:
+                start = m.start() + len(run) - len(run.lstrip(_SIGNS))
+                yield start, start + len(run.strip(_SIGNS))
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind as listed in KINDS."""
@@ -207,17 +237,12 @@ class Scanner:
         if any(k in low for k in _KEYS):
             found += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
         # Both other kinds lie within runs of token characters, which no match leaves.
-        runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
-        for a, b in runs:
+        for a, b in [(m.start(), m.end()) for m in _LONG_RUN.finditer(text)]:
             found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
             found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text, a, b)]
-        held = {(a, b) for _, a, b in found}
-        for a, b in runs:
-            word = text[a:b].strip("=.-/_+")
-            if self.automata and len(word) >= 16 and any(map(str.isdigit, word)) and any(map(str.isalpha, word)):
-                start = text.index(word, a)
-                if (start, start + len(word)) not in held and self.ratio(word) >= self.threshold:
-                    found.append(("format", start, start + len(word)))
+        if self.automata:
+            held = {(a, b) for _, a, b in found}
+            found += [("format", a, b) for a, b in self._candidates(text) if (a, b) not in held]
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

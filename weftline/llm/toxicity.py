@@ -61,7 +61,7 @@ def features(text: str, suspects: frozenset[str] = frozenset(), lexicon: frozens
     bare = [w.strip(_EDGE) for w in text.lower().split()] if raw else []
     hits = [i for i, w in enumerate(bare) if w in lexicon]
     you = [i for i, w in enumerate(bare) if w in SECOND_PERSON]
-    hidden = [w for w in raw if len(w) < 40 and not w.isalpha() and _INSIDE.search(w)]
+    hidden = [w for w in raw if not w.isalpha() and _INSIDE.search(w)]
     unmasked = sum(w.lower().translate(LETTERS).strip(_EDGE) in lexicon for w in hidden)
     suspicious = sum(w in suspects or w[:4] + "*" in suspects or w[:5] + "*" in suspects for w in bare) if suspects else 0
     nearest, near = 50, 0
