@@ -108,8 +108,12 @@ def test_secrets_candidates_of_any_form(spark):
     assert scanner.spans(f"see ={word}. now") == [("format", 5, 5 + len(word))]
     plain = "Readers of the 3d atlas (v2, 4th edition, 2024-05-17) call +49 30 1234567 or write to a1b2 at example.com; facade, defaced, ... --- 0x1f"
     assert secrets.Scanner(secrets.example_credentials()).spans(plain) == []
-    scanner.known.update({str(i): False for i in range(secrets.REMEMBERED)})
-    assert scanner.spans(f"other {word}x {word}")[-1][2] == 6 + 2 * len(word) + 2 and len(scanner.known) < secrets.REMEMBERED
+    scanner.ordinary.update(map(str, range(secrets.REMEMBERED)))
+    assert scanner.spans(f"other {word}x {word}")[-1][2] == 6 + 2 * len(word) + 2 and len(scanner.ordinary) < secrets.REMEMBERED
+    full = secrets.Scanner(secrets.example_credentials())
+    for w in [w for _, w in secrets.example_credentials(20, seed=5)] + secrets.ordinary_runs(20, seed=6) + ["a1b2c3", "q"]:
+        bare = w.strip(secrets._SIGNS)
+        assert full.judged(w) == (full.ratio(bare) >= max(secrets.EVIDENCE, full.threshold * len(bare)))
     none = spark.createDataFrame([], "doc_id long, text string, spans int")
     assert secrets.digests(none, scanner).count() == 0 and secrets.scan(none, scanner).count() == 0
 

@@ -42,7 +42,7 @@ EVIDENCE = 25.0
 #: Share of the background that gives every character the same chance.
 EVEN = 0.02
 #: Verdicts that a worker remembers, of runs of that many characters at most; more runs are judged anew.
-REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
 #: Confidence parameter of the merge test.
 ALPHA = 0.05
 _SIGNS = "+/_.=-"
@@ -149,13 +149,18 @@ class Automaton:
             out[s] = seen, math.log(0.5 / len(_ALPHABET) / total), math.log((self.ends[s] + 0.5) / total)
         return out
 
-    def score(self, word: str) -> float:
-        """Log-likelihood of word; an unseen character keeps the state and costs its smoothed share."""
-        state, total = 0, 0.0
+    def score(self, word: str, least: float = -math.inf) -> float:
+        """Log-likelihood of word; an unseen character keeps the state and costs its smoothed share.
+
+        Each character can only lower it, so a word is left (with -inf) as soon as it is below least.
+        """
+        state, total, tables = 0, 0.0, self.tables
         for c in word:
-            seen, other, _ = self.tables[state]
+            seen, other, _ = tables[state]
             p, state = seen.get(c, (other, state))
             total += p
+            if total < least:
+                return -math.inf
         return total + self.tables[state][2]
 
 
@@ -167,13 +172,13 @@ class Background:
         for w in words:
             for a, b in zip("^" + w, w):
                 pairs[a][b] += 1
-        self.log = {}
+        self.log: dict[tuple[str, str], float] = {}
         for a in "^" + _ALPHABET:
             total = sum(pairs[a].values()) + 0.02 * len(_ALPHABET)
-            self.log[a] = {b: math.log((1 - EVEN) * (pairs[a][b] + 0.02) / total + EVEN / len(_ALPHABET)) for b in _ALPHABET}
+            self.log |= {(a, b): math.log((1 - EVEN) * (pairs[a][b] + 0.02) / total + EVEN / len(_ALPHABET)) for b in _ALPHABET}
 
     def score(self, word: str) -> float:
-        return sum(self.log[a][b] for a, b in zip("^" + word, word))
+        return sum(map(self.log.__getitem__, zip("^" + word, word)))
 
 
 def ordinary_runs(each: int = 120, seed: int = 11) -> list[str]:
@@ -203,7 +208,7 @@ class Scanner:
         self.automata = {kind: Automaton(words, alpha) for kind, words in sorted(kinds.items())}
         self.background = Background(ordinary_runs())
         self.threshold = threshold
-        self.known: dict[str, bool] = {}
+        self.ordinary: set[str] = set()
 
     def ratio(self, word: str) -> float:
         """Log-likelihood ratio of the likeliest kind against the background."""
@@ -211,22 +216,25 @@ class Scanner:
         return best - self.background.score(word)
 
     def judged(self, run: str) -> bool:
-        """Whether a run, without the signs at its ends, is a credential by its format."""
+        """Whether a run, without the signs at its ends, is a credential by its format: its ratio reaches what is needed."""
         word = run.strip(_SIGNS)
-        return bool(word) and self.ratio(word) >= max(EVIDENCE, self.threshold * len(word))
+        least = self.background.score(word) + max(EVIDENCE, self.threshold * len(word))
+        # No likelihood is over one, so a run that the background explains well needs no automaton.
+        return least <= 0 and any(a.score(word, least) >= least for a in self.automata.values())
 
     def _candidates(self, text: str) -> Iterator[tuple[int, int]]:
-        """(start, end) of the runs that are credentials by their format; repeated runs are judged once a worker."""
-        for m in _RUN.finditer(text):
+        """(start, end) of the runs that are credentials by their format; runs that are none are judged once a worker."""
+        good = set()
+        for run in set(_RUN.findall(text)) - self.ordinary:
+            if self.judged(run):
+                good.add(run)
+            elif len(run) <= REMEMBERED_LENGTH:
+                if len(self.ordinary) >= REMEMBERED:
+                    self.ordinary.clear()
+                self.ordinary.add(run)
+        for m in _RUN.finditer(text) if good else ():
             run = m.group()
-            good = self.known.get(run)
-            if good is None:
-                good = self.judged(run)
-                if len(run) <= REMEMBERED_LENGTH:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[run] = good
-            if good:
+            if run in good:
                 start = m.start() + len(run) - len(run.lstrip(_SIGNS))
                 yield start, start + len(run.strip(_SIGNS))
 
