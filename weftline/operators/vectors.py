@@ -16,9 +16,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 if a vector is zero."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(F.round(dot(a, b) / norm, DIGITS))
+    """In double precision; 0 if a vector is zero, null if one is not finite."""
+    return cosine_of(a, b, F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def cosine_of(a: Column, b: Column, norms: Column) -> Column:
+    """cosine() where the product of the norms is known."""
+    return F.when(norms == 0, F.lit(0.0)).otherwise(F.round(F.nanvl(dot(a, b) / norms, F.lit(None).cast("double")), DIGITS))
 
 
 def top_k(points: DataFrame, query: list[float], k: int, minimum: float, id_column: str = "point_id", vector: str = "vector", world: Column | None = None) -> DataFrame:

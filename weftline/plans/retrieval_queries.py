@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import status
 from ..operators import chunking, reconcile, vectors
+from ..operators.cells import CellIndex
+from ..sources.stored import shared_folder
 from .registry import RUN, query, table
 
 _COSINE = "round(list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
@@ -42,6 +46,15 @@ def cosine_topk_batch(spark, sf_dir):
     return _batch(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("cosine_topk_cells", _BATCH)
+def cosine_topk_cells(spark, sf_dir):
+    """TOP1, TOP3 over an index of cells, which skips what cannot reach a query's k-th score."""
+    points = _points(spark, sf_dir).withColumnRenamed("label", "scope")
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    asked = points.filter("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), F.col("vector").alias("query_vector"), "scope")
+    return CellIndex.build(points, path).search(asked, 10, 0.15).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("topk_clamped", "SELECT label, least(60, count(*))::BIGINT AS k FROM embeddings GROUP BY label")
 def topk_clamped(spark, sf_dir):
     """TOP2, AGG4."""
