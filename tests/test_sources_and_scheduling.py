@@ -24,6 +24,17 @@ def test_decode_chain(spark):
     assert strict[3].d.encoding == "cp1252"
 
 
+def test_html_references_without_semicolon(spark, tmp_path):
+    """html_text against its SQL on titles that were cut off within a reference."""
+    pages = ["<title>a&amp;&amp</title><p>b&lt", "<h1>&copy &copy; &quot;x&quot</h1>&amplify; & &;", '<script>var t="&amp";if(a&&b){}</script>&amp;lt;', "plain"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(__spark_entry__.oracle_sql()["html_text"]).fetchall())
+    assert sorted(map(tuple, __spark_entry__.queries()["html_text"](spark, str(tmp_path)).collect())) == want
+    assert text_sources.text_of_closed_html(pages[0]) == "a&&amp\nb&lt" and text_sources.text_of_html(pages[0]) == "a&&\nb<"
+
+
 def test_html_and_epub(spark, tmp_path):
     assert text_sources.text_of_html("<p>a&amp;b</p><script>x</script><br/>c") == "\na&b\nx\n\nc"
     data = io.BytesIO()

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -74,12 +76,23 @@ def text_of_html(markup: str) -> str:
     return "".join(reader.parts)
 
 
-def html_text(markup: Column) -> Column:
-    """SRC6 over Arrow batches."""
+_AMPERSAND = re.compile("&(?:(#[0-9]+;|#[xX][0-9a-fA-F]+;)|([a-zA-Z][a-zA-Z0-9]*;))?")
+
+
+def text_of_closed_html(markup: str) -> str:
+    """SRC6 where only references that end with their semicolon are read; &amp without one stays as it is written."""
+    stand_in = next(chr(c) for c in range(0xF0000, 0xFFFFE) if chr(c) not in markup)
+    held = _AMPERSAND.sub(lambda m: m[0] if m[1] or m[2] in html5 else stand_in + m[0][1:], markup)
+    return text_of_html(held).replace(stand_in, "&")
+
+
+def html_text(markup: Column, closed: bool = False) -> Column:
+    """SRC6 over Arrow batches; closed: references without a semicolon are text."""
+    read = text_of_closed_html if closed else text_of_html
 
     @F.pandas_udf("string")
     def each(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else text_of_html(v))
+        return values.map(lambda v: None if v is None else read(v))
 
     return each(markup)
 
