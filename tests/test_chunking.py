@@ -57,6 +57,23 @@ def test_priority_of_separators(spark):
     assert found[1][0] == "a.\n\n"
 
 
+def test_workers_hold_few_texts_at_once(spark):
+    """Batches are bounded by rows and bytes, and no more than SLICE texts stand as lists of Python objects."""
+    from weftline.operators import chunking
+
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(name)
+    n = 3 * chunking.SLICE + 1
+    docs = spark.range(n, numPartitions=1).selectExpr("id", "if(id % 7 = 3, null, repeat(concat('word', id, '. '), 40)) as text")
+    rows = split(docs, SplitterConfig(100, 20, 10)).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r.id, r.chunk_number)):
+        whole[r.id] = whole.get(r.id, "") + r.chunk_text
+    assert whole == {i: f"word{i}. " * 40 for i in range(n) if i % 7 != 3}
+
+
 def test_many_texts_against_the_rule(spark):
     import random
 

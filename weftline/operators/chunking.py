@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import chunk_filename, chunk_point_id, sha256
+from ..functions.workers import bounded_batches, give_back
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,8 @@ class SplitterConfig:
 
 #: Boundaries by rank: kind and the strings that a chunk may end with.
 BOUNDARIES = (("paragraph", ("\n\n",)), ("line", ("\n",)), ("sentence", ("!", ".", "?")), ("space", (" ",)))
+#: Texts whose lists of Python objects stand at once.
+SLICE = 32
 _CHUNK = "array<struct<start:int,kind:string,overlap_text:string,chunk_text:string>>"
 
 
@@ -58,11 +61,19 @@ def walk(text: str, config: SplitterConfig) -> Iterator[tuple[int, int, str]]:
 
 
 def _listed(make: Callable[[str], list], kind: pa.DataType, returned: str) -> Callable[[Column], Column]:
-    """An Arrow function from a text to the list that make gives; null texts give null."""
+    """An Arrow function from a text to the list that make gives; null texts give null.
+
+    Python holds the lists of SLICE texts at once, and freed memory goes back when a task ends.
+    """
 
     @F.arrow_udf(returned)
-    def each(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else make(t) for t in texts.to_pylist()], pa.list_(kind))
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        made = lambda part: pa.array([None if t is None else make(t) for t in part.to_pylist()], pa.list_(kind))
+        try:
+            for texts in batches:
+                yield pa.concat_arrays([made(texts.slice(a, SLICE)) for a in range(0, max(1, len(texts)), SLICE)])
+        finally:
+            give_back()
 
     return each
 
@@ -84,6 +95,7 @@ def split(docs: DataFrame, config: SplitterConfig, text: str = "text") -> DataFr
 
     An empty text is one empty chunk, as a text that fits into one chunk is returned as it is.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col(text).isNotNull()).withColumn("__chunks", chunks_of(F.col(text), config))
     rows = rows.select(*docs.columns, F.size("__chunks").alias("total_chunks"), F.posexplode("__chunks").alias("__i", "__c"))
     return rows.select(*docs.columns, (F.col("__i") + 1).alias("chunk_number"), "total_chunks", F.col("__c.start").alias("start"), F.col("__c.kind").alias("boundary"), F.col("__c.overlap_text").alias("overlap_text"), F.col("__c.chunk_text").alias("chunk_text"))
