@@ -104,6 +104,27 @@ def test_many_queries_go_in_blocks(spark):
     assert rows(7) == rows(10_000) and len(rows(7)) == 120
 
 
+def test_blocks_of_points_meet_blocks_of_queries(spark, monkeypatch):
+    """Products of small blocks against a plain scan, with copies, ties, other lengths, zeros and vectors that are no numbers."""
+    monkeypatch.setattr(vectors, "POINTS_BLOCK", 16)
+    monkeypatch.setattr(vectors, "QUERIES_BLOCK", 4)
+    draw = random.Random(9)
+    made = [[draw.gauss(0, 1) for _ in range(4)] for _ in range(30)]
+    rows = [(i, i % 2, made[i % 60 // 2]) for i in range(300)] + [(400, 0, [0.0] * 4), (401, 0, [1.0, float("nan"), 1.0, 1.0]), (402, 0, [float("inf")] * 4), (403, 1, [1.0] * 3), (404, 1, None), (405, 0, [1.0, None, 0.0, 2.0]), (406, None, [1.0] * 4)]
+    points = spark.createDataFrame(rows, "point_id long, label int, vector array<float>")
+    asked = points.filter("point_id % 4 < 2 or point_id >= 400").selectExpr("point_id as query_id", "vector as query_vector", "label")
+    scored = points.join(asked, "label").select("query_id", "point_id", vectors.cosine(F.col("vector"), F.col("query_vector")).alias("score")).collect()
+    for k, minimum in ((3, 0.1), (7, -1.0), (1, 0.9)):
+        want = set()
+        for q in {r.query_id for r in scored}:
+            best = sorted((-r.score, r.point_id) for r in scored if r.query_id == q and r.score is not None and r.score >= minimum)[:k]
+            want |= {(q, p, -s, n + 1) for n, (s, p) in enumerate(best)}
+        for limit in (10_000, 20):
+            found = vectors.top_k_batch(points, asked, k, minimum, "label", limit)
+            assert {tuple(r) for r in found.collect()} == want, (k, minimum, limit)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_responses_are_judged_alike(spark):
     good = '{"nodes":[{"display_name":"a","description":"b"}],"edges":[]}'
     texts = [good + extraction.MARKER, good, "not json " + extraction.MARKER, "[1]" + extraction.MARKER, f"```json\n{good}\n```\n{extraction.MARKER} more", f"Sure: {good} done {extraction.MARKER}", '{"nodes":[{"display_name":1,"description":"b"}],"edges":[]}' + extraction.MARKER, '{"nodes":[]}' + extraction.MARKER, "", '{"nodes":[],"edges":[],"x":NaN}' + extraction.MARKER]
