@@ -8,12 +8,15 @@ Jaccard similarity with concentration bounds. Bands of ROWS bins are hashed: BAN
 
 Texts with equal sets are one node, named by the least id. In each bucket (a band's value) all members are compared with
 its least member on their full sets, which costs rows in proportion to the members; the members of a hot leader are dealt
-over salts, to each of which its set is copied. Buckets whose members these links leave in several components are mixed;
-nodes that mixed buckets connect form a crowd. A crowd that fits into a block (BLOCK members and ELEMENTS shingles) is
-compared as a whole. In a larger crowd each mixed bucket is compared by itself, of buckets with the same members one, as
-other pairs share no bucket. All pairs of a group in different components are compared on their full sets within tasks,
-a block against a block at a time: what leaves a task is links between components, not pairs. So no link between members
-of a bucket is lost, and no pairs are written. Only a bucket of g members beyond a block moves g * g / BLOCK sets.
+over salts, to each of which its set is copied. Buckets whose members these links leave in several components are mixed.
+Mixed buckets beyond a block (BLOCK members and ELEMENTS shingles) get other leaders for up to ROUNDS rounds, each of
+which is compared with the members outside its component. Nodes that mixed buckets connect then form a crowd. A crowd
+that fits into a block is compared as a whole. In a larger crowd each mixed bucket is compared by itself, of buckets with
+the same members one, as other pairs share no bucket: those outside its largest component with each other and with all
+others. All pairs of a group in different components are compared on their full sets within tasks, a block against a
+block at a time: what leaves a task is links between components, not pairs. So no link between members of a bucket is
+lost, and no pairs are written. A bucket of g members moves some 2 * g sets if a block holds those outside its largest
+component; only one with o of them beyond a block moves g * o / BLOCK sets.
 
 Defined cases: words are runs of other characters than space and \\t \\n \\v \\f \\r, with A-Z lower-cased; texts with
 fewer words than a shingle are one shingle; null texts and texts without words have an empty set and link with nothing.
@@ -24,10 +27,11 @@ null component and are kept. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,6 +41,8 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Members of a group that are compared with as many others at once, their shingles together, and members that share a shingle from which its pairs are counted by a matrix product.
 BLOCK, ELEMENTS, DENSE = 512, 500_000, 24
+#: Rounds in which large mixed buckets get a further leader, before what is left is compared block by block.
+ROUNDS = 6
 _REMEMBERED = 100_000
 _U = np.uint64
 
@@ -237,25 +243,68 @@ def _compared(percent: int):
     return run
 
 
+def _blocks(size: Column, held: Column) -> Column:
+    """Blocks that those members take of whom held is true."""
+    return F.greatest(F.ceil(F.count_if(held) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(held, size)), F.lit(0)) / ELEMENTS)).cast("int")
+
+
 def _groups_to_compare(left: DataFrame, crowds: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(kind, crowd, i, j, block, node): for each pair of blocks (i, j) of a group its nodes; groups are crowds that fit into a block (kind 0), else buckets (kind 1)."""
-    weighed = lambda rows: rows.groupBy("crowd").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / ELEMENTS)).cast("int").alias("blocks"))
+    """(kind, crowd, i, j, block, node): for each pair of blocks (i, j) of a group its nodes; groups are crowds that fit into a block (kind 0), else buckets (kind 1).
+
+    Blocks of a bucket hold either members of its largest component, which need not meet each other, or others.
+    """
+    every = F.lit(True)
     placed = crowds.join(sizes, "node")
-    of_crowds = weighed(placed)
-    whole = placed.join(of_crowds.filter("blocks = 1"), "crowd").select(F.lit(0).alias("kind"), "crowd", "node", "blocks")
+    of_crowds = placed.groupBy("crowd").agg(_blocks(F.col("size"), every).alias("blocks"))
+    whole = placed.join(of_crowds.filter("blocks = 1"), "crowd").select(F.lit(0).alias("kind"), "crowd", "node", F.lit(0).alias("block"), F.lit(0).alias("last"))
 
     large = placed.join(of_crowds.filter("blocks > 1").select("crowd"), "crowd", "left_semi").select("node", "size")
-    in_buckets = left.select(F.col("bucket").alias("crowd"), "node").join(large, "node")
+    in_buckets = left.select(F.col("bucket").alias("crowd"), "node", "component").join(large, "node")
     # Buckets with the same members say the same; 128 bits name a bucket's members whatever their order.
     named = in_buckets.groupBy("crowd").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     one = named.groupBy("n", "x", "y").agg(F.min("crowd").alias("crowd")).select("crowd")
     chosen = in_buckets.join(one, "crowd")
-    parts = chosen.join(weighed(chosen), "crowd").select(F.lit(1).alias("kind"), "crowd", "node", "blocks")
-
-    rows = whole.union(parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    largest = chosen.groupBy("crowd", "component").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "component"))["component"].alias("most"))
+    sides = chosen.join(largest, "crowd").withColumn("out", F.col("component") != F.col("most"))
+    size, out = F.col("size"), F.col("out")
+    weighed = sides.groupBy("crowd").agg(_blocks(size, every).alias("blocks"), _blocks(size, out).alias("outs"), _blocks(size, ~out).alias("ins"))
+    dealt_by = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    block = F.when(F.col("blocks") == 1, 0).when(out, dealt_by("outs")).otherwise(F.col("outs") + dealt_by("ins"))
+    last = F.when(F.col("blocks") == 1, 0).when(out, F.col("outs") + F.col("ins") - 1).otherwise(F.col("outs") - 1)
+    parts = sides.join(weighed, "crowd").select(F.lit(1).alias("kind"), "crowd", "node", block.alias("block"), last.alias("last"))
+
+    rows = whole.union(parts).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return rows.select("kind", "crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
 
 
+def _mixed(now: DataFrame) -> DataFrame:
+    """(bucket, first, node, component): the buckets of now (bucket, node, component) whose members are in several components."""
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high").select("bucket", "first")
+    return materialise(now.join(mixed, "bucket").select("bucket", "first", "node", "component"), "left")
+
+
+def _to(links: list[DataFrame]) -> DataFrame:
+    """(component, to): what the components that links (a, b) connect become. Their graph is small."""
+    return components(reduce(DataFrame.union, links)).select(F.col("node").alias("component"), F.col("component").alias("to"))
+
+
+def _further_leaders(left: DataFrame, held: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Mixed buckets and links between the components of left, after large buckets had further leaders; each round moves no more rows than they hold."""
+    links = []
+    for seed in range(ROUNDS):
+        large = materialise(left.join(sizes, "node").groupBy("bucket").agg(_blocks(F.col("size"), F.lit(True)).alias("blocks")).filter("blocks > 1").select("bucket"), "large-buckets")
+        if not large.limit(1).count():
+            break
+        asked = left.join(large, "bucket")
+        leaders = asked.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(seed))).alias("leader"))
+        # Buckets with much the same members have the same leader, so that their pairs are few.
+        pairs = materialise(asked.join(leaders, "bucket").filter("component <> leader.component").select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.component").alias("from"), "component").distinct(), "further")
+        good = _verified(pairs.select("a", "b"), held, percent)
+        links.append(materialise(good.join(pairs, ["a", "b"]).select(F.col("from").alias("a"), F.col("component").alias("b")).distinct(), "lifted"))
+        left = _mixed(left.join(_to(links[-1:]), "component", "left").select("bucket", "node", F.coalesce("to", "component").alias("component")))
+    return left, links
+
+
 def joined(nodes: DataFrame, texts: DataFrame, given: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of nodes (node, bands) that verified links or given ones (a, b) join; texts are (node, text)."""
     spark = nodes.sparkSession
@@ -266,18 +315,16 @@ def joined(nodes: DataFrame, texts: DataFrame, given: DataFrame, width: int, per
     tried = materialise(members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     named = materialise(components(_verified(tried, held, percent).union(given)), "components")
 
+    sizes = held.groupBy("node").agg(F.sum("size").alias("size"))
     now = members.select("bucket", "node").join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high").select("bucket", "first")
-    left = materialise(now.join(mixed, "bucket").select("bucket", "first", "node", "component"), "left")
+    left, links = _further_leaders(_mixed(now), held, sizes, percent)
     crowds = materialise(components(left.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()).withColumnRenamed("component", "crowd"), "crowds")
-    dealt_out = _groups_to_compare(left, crowds, held.groupBy("node").agg(F.sum("size").alias("size"))).join(left.select("node", "component").distinct(), "node").join(held.select("node", "members"), "node")
+    dealt_out = _groups_to_compare(left, crowds, sizes).join(left.select("node", "component").distinct(), "node").join(held.select("node", "members"), "node")
     order = ["kind", "crowd", "i", "j"]
     dealt_out = dealt_out.repartition(partitions(spark), *order).sortWithinPartitions(*order).select(*order, "component", "block", "members")
-    lifted = materialise(arrow_map(dealt_out, _compared(percent), "a long, b long"), "lifted")
-    # Components meet in a graph of components, which is small.
-    moved = components(lifted).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    links.append(materialise(arrow_map(dealt_out, _compared(percent), "a long, b long"), "lifted"))
     known = members.select("node").union(named.select("node")).distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    return materialise(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+    return materialise(known.join(_to(links), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
