@@ -165,6 +165,31 @@ def test_near_dedup(spark, monkeypatch, block):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_dedup_of_a_large_group_moves_few_sets(spark, monkeypatch):
+    """Near copies of one text beyond a block, of which the least id links with some only."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [draw.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(160):
+        copy = list(base)
+        for _ in range(draw.choice([1, 2, 3]) if i else 3):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        rows.append((i, " ".join(copy)))
+    moved, compare = [], near_dedup._groups_to_compare
+
+    def counted(left, *rest):
+        found = compare(left, *rest)
+        moved.append((left.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "_groups_to_compare", counted)
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 4)
+    assert moved[0][1] <= 3 * moved[0][0], moved
+
+
 def test_near_dedup_ids_with_two_texts(spark):
     rows = [(5, "a b c d e"), (1, "a b c d e"), (5, "f g h i j"), (9, "f g h i j"), (7, "k l m n o")]
     got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
@@ -218,6 +243,27 @@ def test_line_dedup_cases(spark):
     assert by[2][0].text == by[2][1].text and by[2][0].line_dedup.removed_lines > 0
 
 
+def test_line_dedup_shuffles_texts_once(spark):
+    rows = [(i, f"own {i}\nsame one\nsame two\nsame three\nsame four\nsame five\nend {i}") for i in range(6)]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and "Generate explode(filter" not in plan and sum(r.line_dedup.removed_lines for r in found.collect()) > 0
+
+
+def test_line_dedup_stage_takes_content_defined_chunks(spark):
+    """Chunks of a few short lines go in the pipeline's stage too, wherever dedup_lines takes them."""
+    shared = "\n".join(f"s {i}" for i in range(9))
+    rows = [(i, f"own text {i}\n{shared}\nlast {i}", 0) for i in range(4)] + [(9, f"\n\nblank first\n\n\n{shared}\n\n", 0), (10, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    chunks = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup_stage(spark, docs, FOLDER).collect()}
+    assert len(got) == 6 and got[0].text == rows[0][1] and got[10].text is None
+    for i in (1, 2, 3):
+        assert chunks[i].line_dedup.removed_lines > 1 and set(got[i].text.split("\n")) <= set(chunks[i].text.split("\n"))
+        assert got[i].text.startswith(f"own text {i}") and got[i].n_chars == len(got[i].text)
+    assert got[9].text.startswith("\n\nblank first") and {x for r in got.values() for x in (r.text or "").split("\n")} >= set(shared.split("\n"))
+
+
 def test_passages_of_few_lines(spark):
     """Shared passages of one, two and three lines of over 50 words go whole, whatever stands around them."""
     draw = random.Random(21)
