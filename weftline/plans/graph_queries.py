@@ -239,8 +239,8 @@ def graph_after_changes(spark, sf_dir):
     graph = manifestation.TableGraph(f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
     sides = []
     for turns in _two_sides(spark, sf_dir):
-        nodes = kept(_nodes(spark, sf_dir, turns).select("conv_id", "node_id", "description", _world().alias("world_uuid")))
-        named = _nodes(spark, sf_dir, turns)
+        named = kept(_nodes(spark, sf_dir, turns))
+        nodes = named.select("conv_id", "node_id", "description", _world().alias("world_uuid"))
         sides.append((nodes, kept(_edges(spark, sf_dir, named, turns).select("conv_id", "edge_id", "source_node_id", "target_node_id", "description", "strength", _world().alias("world_uuid")))))
     (old_nodes, old_edges), (nodes, edges) = sides
     differ = lambda a, b, *fields: reconcile.stale_chunks(a, b, ["conv_id"], list(fields))
