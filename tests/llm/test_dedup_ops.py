@@ -190,6 +190,31 @@ def test_near_dedup_of_a_large_group_moves_few_sets(spark, monkeypatch):
     assert moved[0][1] <= 3 * moved[0][0], moved
 
 
+def test_near_dedup_compares_a_crowd_once_and_not_in_each_bucket(spark, monkeypatch):
+    """Near copies of one text share many buckets, in each of which a few stay outside its largest component."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = [draw.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(draw.choice([1, 2, 3])):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        rows.append((i, " ".join(copy)))
+    moved, compare = [], near_dedup._groups_to_compare
+
+    def counted(left, *rest):
+        found = compare(left, *rest)
+        moved.append((left.select("bucket", "node").distinct().count(), found.count()))
+        return found
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "_groups_to_compare", counted)
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 4)
+    assert moved[0][1] * 3 <= moved[0][0], moved
+
+
 def test_near_dedup_ids_with_two_texts(spark):
     rows = [(5, "a b c d e"), (1, "a b c d e"), (5, "f g h i j"), (9, "f g h i j"), (7, "k l m n o")]
     got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """Large: each node's larger neighbours move to the least of it and its neighbours. Small: its smaller ones and itself do."""
-    both = links.select("a", "b").union(links.select("b", "a"))
-    side = both if large else both.filter("b < a")
-    least = side.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    """Large: each node's larger neighbours move to the least of it and its neighbours. Small: its smaller ones and itself do.
+
+    links are (a, b) with a > b, possibly more than once. Each star is one shuffle by its centre.
+    """
+    sides = links.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))) if large else links
+    least = sides.withColumn("m", F.min("b").over(Window.partitionBy("a")))
     if large:
-        moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = side.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-    return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return least.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    return least.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
 def _is_forest_of_stars(links: DataFrame) -> bool:
     """Whether each node has one link to a least node that itself has none."""
-    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(links.select("b", F.lit(0), F.lit(1)))
+    ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("top")))))
     return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 or up + top > 1").limit(1).count()
 
 
@@ -34,5 +34,5 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while not _is_forest_of_stars(now):
-        now = materialise(_stars(_stars(now, True), False), "links")
+        now = materialise(_stars(_stars(now, True), False).distinct(), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()

@@ -6,17 +6,17 @@ by the round, so every bin fills at last; rounds end when all bins are full. Equ
 Jaccard similarity with concentration bounds. Bands of ROWS bins are hashed: BANDS of them miss a pair of similarity
 0.8 with a probability of 1e-7.
 
-Texts with equal sets are one node, named by the least id. In each bucket (a band's value) all members are compared with
-its least member on their full sets, which costs rows in proportion to the members; the members of a hot leader are dealt
-over salts, to each of which its set is copied. Buckets whose members these links leave in several components are mixed.
-Mixed buckets beyond a block (BLOCK members and ELEMENTS shingles) get other leaders for up to ROUNDS rounds, each of
-which is compared with the members outside its component. Nodes that mixed buckets connect then form a crowd. A crowd
-that fits into a block is compared as a whole. In a larger crowd each mixed bucket is compared by itself, of buckets with
-the same members one, as other pairs share no bucket: those outside its largest component with each other and with all
-others. All pairs of a group in different components are compared on their full sets within tasks, a block against a
-block at a time: what leaves a task is links between components, not pairs. So no link between members of a bucket is
-lost, and no pairs are written. A bucket of g members moves some 2 * g sets if a block holds those outside its largest
-component; only one with o of them beyond a block moves g * o / BLOCK sets.
+Texts with equal sets are one node, named by the least id. Of buckets (a band's value) with the same members one is kept.
+In each all members are compared with its least member on their full sets, which costs rows in proportion to the members;
+the members of a hot leader are dealt over salts, to each of which its set is copied. Buckets whose members these links
+leave in several components are mixed. Mixed buckets with more than a block (BLOCK members or ELEMENTS shingles) outside
+their largest component get other leaders for up to ROUNDS rounds, each of which is compared with the members outside its
+component. Nodes that mixed buckets connect then form a crowd. A crowd is compared as a whole, or each of its mixed
+buckets by itself where that moves fewer rows (other pairs share no bucket): those outside the largest component with
+each other and with all others. All pairs of a group in different components are compared on their full sets within
+tasks, a block against a block at a time: what leaves a task is links between components, not pairs. So no link between
+members of a bucket is lost, and no pairs are written. A group of g members moves some 2 * g sets if a block holds those
+outside its largest component; with o of them beyond a block it moves some 2 * g * o / BLOCK sets.
 
 Defined cases: words are runs of other characters than space and \\t \\n \\v \\f \\r, with A-Z lower-cased; texts with
 fewer words than a shingle are one shingle; null texts and texts without words have an empty set and link with nothing.
@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -243,44 +243,60 @@ def _compared(percent: int):
     return run
 
 
-def _blocks(size: Column, held: Column) -> Column:
-    """Blocks that those members take of whom held is true."""
-    return F.greatest(F.ceil(F.count_if(held) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(held, size)), F.lit(0)) / ELEMENTS)).cast("int")
+def _weighed(rows: DataFrame, group: str) -> DataFrame:
+    """(group, most, outs, ins, moved, n, away) of rows (group, node, component, size), one for each group.
+
+    most is its largest component, ins are blocks that this takes and outs those of all others, of whom away are held; a
+    group that fits into a block has ins 0 and outs 1. moved are the rows by which its blocks meet.
+    """
+    each = rows.groupBy(group, "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    both = each.groupBy(group).agg(F.max(F.struct("n", "component", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / ELEMENTS)).cast("int")
+    n, size, top = F.col("n"), F.col("size"), F.col("top")
+    apart = blocks(n, size) > 1
+    cut = both.withColumn("outs", F.when(apart, blocks(n - top["n"], size - top["size"])).otherwise(1)).withColumn("ins", F.when(apart, blocks(top["n"], top["size"])).otherwise(0))
+    moved = F.when(F.col("ins") == 0, n).otherwise(top["n"] * F.col("outs") + (n - top["n"]) * (F.col("outs") + F.col("ins")))
+    return cut.select(group, top["component"].alias("most"), "outs", "ins", moved.alias("moved"), "n", (n - top["n"]).alias("away"))
 
 
-def _groups_to_compare(left: DataFrame, crowds: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(kind, crowd, i, j, block, node): for each pair of blocks (i, j) of a group its nodes; groups are crowds that fit into a block (kind 0), else buckets (kind 1).
+def _parts(rows: DataFrame, weighed: DataFrame, group: str, kind: int) -> DataFrame:
+    """(kind, crowd, i, j, block, node, component) of rows (group, node, component, size): for each pair of blocks (i, j) of a weighed group its nodes.
 
-    Blocks of a bucket hold either members of its largest component, which need not meet each other, or others.
+    Blocks hold either members of the largest component, which need not meet each other, or others. Hot groups are dealt over salts.
     """
-    every = F.lit(True)
-    placed = crowds.join(sizes, "node")
-    of_crowds = placed.groupBy("crowd").agg(_blocks(F.col("size"), every).alias("blocks"))
-    whole = placed.join(of_crowds.filter("blocks = 1"), "crowd").select(F.lit(0).alias("kind"), "crowd", "node", F.lit(0).alias("block"), F.lit(0).alias("last"))
-
-    large = placed.join(of_crowds.filter("blocks > 1").select("crowd"), "crowd", "left_semi").select("node", "size")
-    in_buckets = left.select(F.col("bucket").alias("crowd"), "node", "component").join(large, "node")
-    # Buckets with the same members say the same; 128 bits name a bucket's members whatever their order.
-    named = in_buckets.groupBy("crowd").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    one = named.groupBy("n", "x", "y").agg(F.min("crowd").alias("crowd")).select("crowd")
-    chosen = in_buckets.join(one, "crowd")
-    largest = chosen.groupBy("crowd", "component").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "component"))["component"].alias("most"))
-    sides = chosen.join(largest, "crowd").withColumn("out", F.col("component") != F.col("most"))
-    size, out = F.col("size"), F.col("out")
-    weighed = sides.groupBy("crowd").agg(_blocks(size, every).alias("blocks"), _blocks(size, out).alias("outs"), _blocks(size, ~out).alias("ins"))
+    heavy = materialise(hot(weighed, [group], rows.count()), "hot-groups")
+    sides = dealt(rows.select(group, "node", "component"), heavy, [group], ["node"]).join(copied(weighed.select(group, "most", "outs", "ins"), heavy, [group]), [group, "salt"])
     dealt_by = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    block = F.when(F.col("blocks") == 1, 0).when(out, dealt_by("outs")).otherwise(F.col("outs") + dealt_by("ins"))
-    last = F.when(F.col("blocks") == 1, 0).when(out, F.col("outs") + F.col("ins") - 1).otherwise(F.col("outs") - 1)
-    parts = sides.join(weighed, "crowd").select(F.lit(1).alias("kind"), "crowd", "node", block.alias("block"), last.alias("last"))
+    inside = (F.col("component") == F.col("most")) & (F.col("ins") > 0)
+    block = F.when(inside, F.col("outs") + dealt_by("ins")).otherwise(dealt_by("outs"))
+    last = F.when(inside, F.col("outs") - 1).otherwise(F.col("outs") + F.col("ins") - 1)
+    met = sides.select(F.lit(kind).alias("kind"), F.col(group).alias("crowd"), block.alias("block"), "node", "component", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return met.select("kind", "crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+
+
+def _groups_to_compare(left: DataFrame, crowds: DataFrame) -> DataFrame:
+    """(kind, crowd, i, j, block, node, component): for each pair of blocks (i, j) of a group its nodes; groups are crowds (kind 0) or buckets (kind 1).
 
-    rows = whole.union(parts).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return rows.select("kind", "crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
+    A crowd is compared as a whole where this moves no more rows than its mixed buckets one by one; both find the same links of members of a bucket.
+    """
+    placed = materialise(left.groupBy("node").agg(F.first("component").alias("component"), F.first("size").alias("size")).join(crowds, "node"), "crowded")
+    whole = materialise(_weighed(placed, "crowd"), "weighed")
+    large = whole.filter("ins > 0")
+    if not large.limit(1).count():
+        return _parts(placed, whole, "crowd", 0)
+    by_bucket = left.groupBy("bucket").agg(F.min("first").alias("node")).join(placed.join(large.select("crowd"), "crowd", "left_semi").select("node", "crowd"), "node").join(_weighed(left, "bucket"), "bucket")
+    by_bucket = materialise(by_bucket.select("crowd", "bucket", "most", "outs", "ins", "moved", "n"), "weighed")
+    split = materialise(by_bucket.groupBy("crowd").agg(F.sum("moved").alias("apart")).join(large, "crowd").filter("apart < moved").select("crowd"), "split")
+    rows = _parts(placed, whole.join(split, "crowd", "left_anti"), "crowd", 0)
+    if not split.limit(1).count():
+        return rows
+    return rows.union(_parts(left, by_bucket.join(split, "crowd", "left_semi"), "bucket", 1))
 
 
 def _mixed(now: DataFrame) -> DataFrame:
-    """(bucket, first, node, component): the buckets of now (bucket, node, component) whose members are in several components."""
+    """(bucket, first, node, component, size): the buckets of now (bucket, node, component, size) whose members are in several components."""
     mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high").select("bucket", "first")
-    return materialise(now.join(mixed, "bucket").select("bucket", "first", "node", "component"), "left")
+    return materialise(now.join(mixed, "bucket").select("bucket", "first", "node", "component", "size"), "left")
 
 
 def _to(links: list[DataFrame]) -> DataFrame:
@@ -288,11 +304,14 @@ def _to(links: list[DataFrame]) -> DataFrame:
     return components(reduce(DataFrame.union, links)).select(F.col("node").alias("component"), F.col("component").alias("to"))
 
 
-def _further_leaders(left: DataFrame, held: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Mixed buckets and links between the components of left, after large buckets had further leaders; each round moves no more rows than they hold."""
-    links = []
+def _further_leaders(left: DataFrame, held: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Mixed buckets and links between the components of left, after buckets with more than a block outside their largest component had further leaders.
+
+    Each round moves no more rows than these buckets hold. After two rounds that link less than a tenth of what they ask, no more follow.
+    """
+    links, idle = [], 0
     for seed in range(ROUNDS):
-        large = materialise(left.join(sizes, "node").groupBy("bucket").agg(_blocks(F.col("size"), F.lit(True)).alias("blocks")).filter("blocks > 1").select("bucket"), "large-buckets")
+        large = materialise(_weighed(left, "bucket").filter("outs > 1").select("bucket"), "large-buckets")
         if not large.limit(1).count():
             break
         asked = left.join(large, "bucket")
@@ -301,29 +320,37 @@ def _further_leaders(left: DataFrame, held: DataFrame, sizes: DataFrame, percent
         pairs = materialise(asked.join(leaders, "bucket").filter("component <> leader.component").select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.component").alias("from"), "component").distinct(), "further")
         good = _verified(pairs.select("a", "b"), held, percent)
         links.append(materialise(good.join(pairs, ["a", "b"]).select(F.col("from").alias("a"), F.col("component").alias("b")).distinct(), "lifted"))
-        left = _mixed(left.join(_to(links[-1:]), "component", "left").select("bucket", "node", F.coalesce("to", "component").alias("component")))
+        if made := links[-1].count():
+            left = _mixed(left.join(_to(links[-1:]), "component", "left").select("bucket", "node", F.coalesce("to", "component").alias("component"), "size"))
+        idle = idle + 1 if made * 10 < pairs.count() else 0
+        if idle == 2:
+            break
     return left, links
 
 
 def joined(nodes: DataFrame, texts: DataFrame, given: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, component) of nodes (node, bands) that verified links or given ones (a, b) join; texts are (node, text)."""
+    """(node, component) of nodes (node, digest, bands) that verified links or given ones (a, b) join; texts are (node, text)."""
     spark = nodes.sparkSession
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").select("bucket", "leader")
-    members = materialise(placed.join(shared, "bucket").select("bucket", "leader", "node").distinct(), "buckets")
+    placed = nodes.select("node", F.xxhash64("digest").alias("x"), F.explode("bands").alias("bucket"))
+    bucket = Window.partitionBy("bucket")
+    shared = placed.select("bucket", "node", F.min("node").over(bucket).alias("leader"), F.max("node").over(bucket).alias("last"), F.count("*").over(bucket).alias("n"), F.bit_xor("x").over(bucket).alias("x"))
+    shared = materialise(shared.filter("leader <> last"), "shared")
+    # Buckets with the same sets say the same: their least and last node, their number and 64 bits of their digests name them.
+    one = shared.groupBy("leader", "last", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = materialise(shared.select("bucket", "leader", "node").join(one, "bucket", "left_semi").distinct(), "buckets")
     held = materialise(sets(texts.join(members.select("node").distinct(), "node"), width), "shingles")
     tried = materialise(members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     named = materialise(components(_verified(tried, held, percent).union(given)), "components")
 
     sizes = held.groupBy("node").agg(F.sum("size").alias("size"))
-    now = members.select("bucket", "node").join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    left, links = _further_leaders(_mixed(now), held, sizes, percent)
-    crowds = materialise(components(left.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()).withColumnRenamed("component", "crowd"), "crowds")
-    dealt_out = _groups_to_compare(left, crowds, sizes).join(left.select("node", "component").distinct(), "node").join(held.select("node", "members"), "node")
+    known = materialise(sizes.join(named, "node", "full").select("node", F.coalesce("component", "node").alias("component"), "size"), "known")
+    now = materialise(members.select("bucket", "node").join(known, "node"), "now")
+    left, links = _further_leaders(_mixed(now), held, percent)
+    crowds = components(left.select(F.col("first").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "crowd")
+    dealt_out = _groups_to_compare(left, crowds).join(held.select("node", "members"), "node")
     order = ["kind", "crowd", "i", "j"]
     dealt_out = dealt_out.repartition(partitions(spark), *order).sortWithinPartitions(*order).select(*order, "component", "block", "members")
     links.append(materialise(arrow_map(dealt_out, _compared(percent), "a long, b long"), "lifted"))
-    known = members.select("node").union(named.select("node")).distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return materialise(known.join(_to(links), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
 
 
