@@ -338,7 +338,8 @@ def joined(nodes: DataFrame, texts: DataFrame, given: DataFrame, width: int, per
     # Buckets with the same sets say the same: their least and last node, their number and 64 bits of their digests name them.
     one = shared.groupBy("leader", "last", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = materialise(shared.select("bucket", "leader", "node").join(one, "bucket", "left_semi").distinct(), "buckets")
-    held = materialise(sets(texts.join(members.select("node").distinct(), "node"), width), "shingles")
+    # Nodes are as many as the input makes them: this join is a merge at every size, never a broadcast.
+    held = materialise(sets(texts.hint("merge").join(members.select("node").distinct(), "node"), width), "shingles")
     tried = materialise(members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     named = materialise(components(_verified(tried, held, percent).union(given)), "components")
 
